@@ -8,6 +8,7 @@ non-deterministic: the planner then neither copies a fit into a filter nor runs
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 # Ship this module inside the task, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-UNIT_ROOT = "tau double, used_lag int, n_used int, status string"
+UNIT_ROOT = "tau double, used_lag int, n_used int, p_value double, status string"
 
 
 def unit_root_fit(y: np.ndarray, fixed_lag: int | None = None) -> tuple:
@@ -66,7 +67,20 @@ def unit_root_fit(y: np.ndarray, fixed_lag: int | None = None) -> tuple:
     return float(beta[1] / error), p, rows, "ok"
 
 
-def unit_root_udf(fixed_lag: int | None = None):
+def unit_root_udf(surface, fixed_lag: int | None = None):
+    """Pandas UDF (series) -> struct of ``UNIT_ROOT``; ``surface`` turns the t-value into a p-value."""
+
+    def p_value(tau: float | None) -> float | None:
+        if tau is None:
+            return None
+        if tau > surface["max"]:
+            return 1.0
+        if tau < surface["min"]:
+            return 0.0
+        weights = surface["small"] if tau <= surface["star"] else surface["large"]
+        z = sum(w * tau**i for i, w in enumerate(weights))
+        return 0.5 * math.erfc(-z / math.sqrt(2.0))
+
     @F.pandas_udf(UNIT_ROOT)
     def fit(series: pd.Series) -> pd.DataFrame:
         rows = []
@@ -76,7 +90,8 @@ def unit_root_udf(fixed_lag: int | None = None):
             except np.linalg.LinAlgError as problem:
                 rows.append((None, None, None, f"error: {problem}"))
         out = pd.DataFrame(rows, columns=["tau", "used_lag", "n_used", "status"])
-        return out.astype({"tau": "float64", "used_lag": "Int32", "n_used": "Int32"})
+        out.insert(3, "p_value", [p_value(row[0]) for row in rows])
+        return out.astype({"tau": "float64", "used_lag": "Int32", "n_used": "Int32", "p_value": "float64"})
 
     return fit.asNondeterministic()
 

@@ -16,7 +16,8 @@ def service_candidates(flagged: DataFrame) -> DataFrame:
     """Fit the candidates of the service rule on packed series with flags ``seasonal`` and ``stationary``:
     a seasonal model when the series is seasonal; the integrated model when it is not stationary, else
     the three stationary ones."""
-    seasonal, stationary = F.col("seasonal"), F.col("stationary")
+    stationary = F.col("stationary")
+    seasonal = F.col("seasonal") & stationary.isNotNull()
     specs = [models.SARIMA, models.ARIMA, models.AR, models.MA, models.ARMA]
     active = [seasonal, ~stationary, stationary, stationary, stationary]
     return models.fit_specs(flagged, specs, [F.coalesce(a, F.lit(False)) for a in active])
@@ -25,7 +26,8 @@ def service_candidates(flagged: DataFrame) -> DataFrame:
 def classic_candidates(flagged: DataFrame) -> DataFrame:
     """Fit the candidates of the classic rule: a seasonal series gets the seasonal model alone, with a plain
     difference when it is not stationary; else as in the service rule."""
-    seasonal, stationary = F.col("seasonal"), F.col("stationary")
+    stationary = F.col("stationary")
+    seasonal = F.col("seasonal") & stationary.isNotNull()
     specs = [models.SARIMA, models.SARIMA_DIFF, models.ARIMA, models.AR, models.MA, models.ARMA]
     active = [
         seasonal & stationary,

@@ -9,9 +9,13 @@ from ..functions import fixed, kernels
 from .series import by_month
 
 # Response surface of the unit-root t-value with a constant (MacKinnon 1994).
-TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
-SMALL_P = [2.1659, 1.4412, 0.038269]
-LARGE_P = [1.7339, 0.93202, -0.12745, -0.010368]
+SURFACE = {
+    "max": 2.74,
+    "min": -18.83,
+    "star": -1.61,
+    "small": [2.1659, 1.4412, 0.038269],
+    "large": [1.7339, 0.93202, -0.12745, -0.010368],
+}
 # Normal distribution function (Abramowitz and Stegun 26.2.17).
 CDF_RATE = 0.2316419
 CDF_WEIGHTS = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
@@ -34,8 +38,10 @@ def normal_cdf(z: Column) -> Column:
 
 
 def p_value(tau: Column) -> Column:
-    z = F.when(tau <= TAU_STAR, polynomial(tau, SMALL_P)).otherwise(polynomial(tau, LARGE_P))
-    return F.when(tau > TAU_MAX, 1.0).when(tau < TAU_MIN, 0.0).otherwise(normal_cdf(z))
+    z = F.when(tau <= SURFACE["star"], polynomial(tau, SURFACE["small"])).otherwise(
+        polynomial(tau, SURFACE["large"])
+    )
+    return F.when(tau > SURFACE["max"], 1.0).when(tau < SURFACE["min"], 0.0).otherwise(normal_cdf(z))
 
 
 def with_unit_root(series: DataFrame, fixed_lag: int | None = None) -> DataFrame:
@@ -43,17 +49,16 @@ def with_unit_root(series: DataFrame, fixed_lag: int | None = None) -> DataFrame
 
     ``stationary`` is null when the test cannot be run (constant or too short a series).
     """
-    rows = series.withColumn("_test", kernels.unit_root_udf(fixed_lag)(F.col("ys")))
+    rows = series.withColumn("_test", kernels.unit_root_udf(SURFACE, fixed_lag)(F.col("ys")))
     rows = rows.select(
         *series.columns,
         F.col("_test.tau").alias("tau"),
         F.col("_test.used_lag").alias("used_lag"),
         F.col("_test.n_used").alias("n_used"),
         F.col("_test.status").alias("unit_root_status"),
+        F.col("_test.p_value").alias("p_value"),
     )
-    return rows.withColumn("p_value", p_value(F.col("tau"))).withColumn(
-        "stationary", F.col("p_value") <= fixed.STATIONARY_P
-    )
+    return rows.withColumn("stationary", F.col("p_value") <= fixed.STATIONARY_P)
 
 
 def plain_unit_root(monthly: DataFrame) -> DataFrame:
