@@ -197,7 +197,8 @@ def usage_overview(users: DataFrame, files: DataFrame, predictions: DataFrame, a
 def duplicate_files(files: DataFrame) -> DataFrame:
     """Contents that were uploaded more than once, with the first file that brought them."""
     return (
-        files.groupBy("file_hash")
+        files.filter(F.col("file_hash").isNotNull())
+        .groupBy("file_hash")
         .agg(
             F.count(F.lit(1)).alias("copies"),
             F.count_distinct("user_id").alias("owners"),
