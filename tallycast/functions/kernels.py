@@ -85,6 +85,9 @@ def unit_root_udf(surface, fixed_lag: int | None = None):
     def fit(series: pd.Series) -> pd.DataFrame:
         rows = []
         for values in series:
+            if values is None:
+                rows.append((None, None, None, "not tested"))
+                continue
             try:
                 rows.append(unit_root_fit(np.asarray(values, dtype=float), fixed_lag))
             except np.linalg.LinAlgError as problem:

@@ -14,37 +14,65 @@ def parse_amount(c: Column) -> Column:
     return F.translate(c.cast("string"), ",\u00a0 ", ".").try_cast(MONEY)
 
 
-def _day_text(c: Column) -> Column:
-    """The day part, without time of day, with one kind of separator."""
-    day = F.regexp_extract(F.trim(c.cast("string")), r"^[^ T]+", 0)
-    day = F.translate(day, "/.", "--")
-    return F.when(day.rlike(r"^\d{4}-\d{1,2}$"), F.concat(day, F.lit("-1"))).otherwise(day)
+def date_parts(c: Column) -> Column:
+    """The numbers of a date cell as text, without the time of day: ``31/01/2024 10:00`` is 31, 01, 2024."""
+    day = F.substring_index(F.substring_index(F.trim(c.cast("string")), " ", 1), "T", 1)
+    return F.split(F.translate(day, "/.", "--"), "-")
 
 
-def parse_date(c: Column, day_first: Column | bool = True) -> Column:
-    """Cell by cell: ISO always wins, then the preferred order, then the other; null when none fits.
+def _joined(year: Column, month: Column, day: Column) -> Column:
+    """A date out of three texts, the year with four digits.
+
+    The cast gives null at once where it fails, while a failing format pattern raises and catches an exception for
+    every cell.
+    """
+    return F.when(F.length(year) == 4, F.concat_ws("-", year, month, day).try_cast("date"))
+
+
+def _iso(parts: Column) -> Column:
+    """``2024-01-31``, ``2024-01`` (its first day) or ``20240131``."""
+    one, two, three = (F.get(parts, F.lit(i)) for i in range(3))
+    compact = F.length(one) == 8
+    return (
+        F.when(F.size(parts) == 3, _joined(one, two, three))
+        .when(F.size(parts) == 2, _joined(one, two, F.lit("01")))
+        .when(compact, _joined(F.substring(one, 1, 4), F.substring(one, 5, 2), F.substring(one, 7, 2)))
+    )
+
+
+def _dmy(parts: Column) -> Column:
+    one, two, three = (F.get(parts, F.lit(i)) for i in range(3))
+    return F.when(F.size(parts) == 3, _joined(three, two, one))
+
+
+def _mdy(parts: Column) -> Column:
+    one, two, three = (F.get(parts, F.lit(i)) for i in range(3))
+    return F.when(F.size(parts) == 3, _joined(three, one, two))
+
+
+def date_from_parts(parts: Column, day_first: Column | bool = True) -> Column:
+    """ISO always wins, then the preferred order, then the other; null when none fits.
 
     ``day_first`` may be a column, so that a whole source can be read in one order.
     """
-    day = _day_text(c)
-    iso = F.coalesce(F.try_to_date(day, "yyyy-M-d"), F.try_to_date(day, "yyyyMMdd"))
-    dmy = F.try_to_date(day, "d-M-yyyy")
-    mdy = F.try_to_date(day, "M-d-yyyy")
+    iso, dmy, mdy = _iso(parts), _dmy(parts), _mdy(parts)
     if isinstance(day_first, bool):
         return F.coalesce(iso, dmy, mdy) if day_first else F.coalesce(iso, mdy, dmy)
     return F.coalesce(iso, F.when(day_first, F.coalesce(dmy, mdy)).otherwise(F.coalesce(mdy, dmy)))
 
 
-def only_day_first(c: Column) -> Column:
+def parse_date(c: Column, day_first: Column | bool = True) -> Column:
+    return date_from_parts(date_parts(c), day_first)
+
+
+def only_day_first(parts: Column) -> Column:
     """True for a cell that makes sense only with the day before the month."""
-    day = _day_text(c)
-    return F.try_to_date(day, "d-M-yyyy").isNotNull() & F.try_to_date(day, "M-d-yyyy").isNull()
+    return _dmy(parts).isNotNull() & _mdy(parts).isNull()
 
 
-def only_month_first(c: Column) -> Column:
+def only_month_first(parts: Column) -> Column:
     """True for a cell that makes sense only with the month before the day."""
-    day = _day_text(c)
-    return F.try_to_date(day, "M-d-yyyy").isNotNull() & F.try_to_date(day, "d-M-yyyy").isNull()
+    return _mdy(parts).isNotNull() & _dmy(parts).isNull()
 
 
 def safe_key(c: Column) -> Column:

@@ -18,9 +18,10 @@ def source_day_first(raw: DataFrame, date: str, prefer_day_first: bool, source:
     row per source (one row in all without ``source``).
     """
     keys = [F.col(source).alias("source_key")] if source else []
-    cells = raw.groupBy(*keys).agg(
-        F.max(text.only_day_first(F.col(date))).alias("has_dmy"),
-        F.max(text.only_month_first(F.col(date))).alias("has_mdy"),
+    parts = raw.select(*keys, text.date_parts(F.col(date)).alias("parts"))
+    cells = parts.groupBy(*(["source_key"] if source else [])).agg(
+        F.max(text.only_day_first(F.col("parts"))).alias("has_dmy"),
+        F.max(text.only_month_first(F.col("parts"))).alias("has_mdy"),
     )
     if prefer_day_first:
         decided = F.coalesce(F.col("has_dmy"), F.lit(False)) | ~F.coalesce(F.col("has_mdy"), F.lit(False))
@@ -55,13 +56,17 @@ def tag_rows(
         day_first: Column | bool = F.col("day_first")
     else:
         day_first = date_order == "day_first"
-    tagged = rows.select(
-        "entity",
-        "raw_date",
-        "raw_amount",
-        text.parse_date(F.col("raw_date"), day_first).alias("date"),
+    # The parts are a column of their own: named many times, split once. The one-element explode keeps the
+    # later filter on the reason behind the parsing; pushed below it, the filter would parse every cell
+    # again for each time a part is named.
+    split = rows.withColumn("parts", text.date_parts(F.col("raw_date")))
+    parsed = F.struct(
+        text.date_from_parts(F.col("parts"), day_first).alias("date"),
         text.parse_amount(F.col("raw_amount")).alias("amount"),
     )
+    tagged = split.select("entity", "raw_date", "raw_amount", F.explode(F.array(parsed)).alias("p")).select(
+        "entity", "raw_date", "raw_amount", "p.date", "p.amount"
+    )
     reason = (
         F.when(F.col("entity").isNull(), "no entity")
         .when(F.col("date").isNull(), "bad date")

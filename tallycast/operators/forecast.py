@@ -31,9 +31,8 @@ def with_path(chosen: DataFrame, months: Column, values: str = "ys") -> DataFram
         F.col("_run.growth"),
         lambda v, growth: _band(v, F.lit(fixed.Z95) * F.sqrt(fit["sigma2"] * growth)),
     )
-    return (
-        chosen.withColumn("_run", run).withColumn("errors", F.col("_run.errors")).withColumn("path", band).drop("_run")
-    )
+    ran = chosen.withColumn("_run", run)
+    return ran.select(*chosen.columns, F.col("_run.errors").alias("errors"), band.alias("path"))
 
 
 def _band(value: Column, half: Column) -> Column:

@@ -35,7 +35,7 @@ def smart_duration(profiled: DataFrame, requested: Column | None = None) -> Data
         .when(within_limits, F.format_string("USER OVERRIDE (%d)", wanted))
         .otherwise(F.format_string("USER REQUEST REDUCED (%d → %d)", wanted, safe))
     )
-    return rows.withColumn("requested_months", asked).withColumn("months", months).withColumn("reason", reason)
+    return rows.withColumns({"requested_months": asked, "months": months, "reason": reason})
 
 
 def with_requests(profiled: DataFrame, requests: DataFrame) -> DataFrame:

@@ -104,12 +104,14 @@ def fit_specs(
     ]
     start = F.greatest(F.lit(0), *[F.when(usable[i], spec.start).otherwise(0) for i, spec in enumerate(specs)])
     rows = series.withColumn("_start", start)
+    fitted = {}
     for i, spec in enumerate(specs):
         search = PLANE_SEARCH if spec.s else LINE_SEARCH
         bound = ENFORCED_BOUND if spec.enforced else math.inf
         udf = kernels.css_udf((spec.p, spec.q), (spec.sp, spec.sq, spec.s), search, bound)
         worked = F.when(usable[i], working_series(F.col(values), spec.d, spec.sd))
-        rows = rows.withColumn(f"_fit{i}", udf(worked, (F.col("_start") - spec.lost).cast("int")))
+        fitted[f"_fit{i}"] = udf(worked, (F.col("_start") - spec.lost).cast("int"))
+    rows = rows.withColumns(fitted)  # one projection: one round trip to Python for all candidates
     structs = []
     for i, spec in enumerate(specs):
         fit = F.col(f"_fit{i}")
@@ -133,7 +135,7 @@ def fit_specs(
             )
         )
     fits = F.filter(F.array(*structs), lambda f: f.isNotNull())
-    return rows.withColumn(column, fits).drop("_start", *[f"_fit{i}" for i in range(len(specs))])
+    return rows.select(*series.columns, fits.alias(column))
 
 
 def fit_one(series: DataFrame, spec: Spec, values: str = "ys", column: str = "fit") -> DataFrame:

@@ -65,11 +65,11 @@ def choose_with_margin(candidates: DataFrame) -> DataFrame:
     best, second = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
     judged = (best["name"] == models.SARIMA.name) & second.isNotNull()
     replaced = judged & ~keeps_margin(best, second)
-    return (
-        rows.withColumn("fit", F.when(replaced, second).otherwise(best))
-        .withColumn("runner_up", F.when(replaced, best).otherwise(second))
-        .withColumn("margin_rule", F.when(replaced, "replaced").when(judged, "kept").otherwise("not applicable"))
-        .drop("_ranked")
+    return rows.select(
+        *candidates.columns,
+        F.when(replaced, second).otherwise(best).alias("fit"),
+        F.when(replaced, best).otherwise(second).alias("runner_up"),
+        F.when(replaced, "replaced").when(judged, "kept").otherwise("not applicable").alias("margin_rule"),
     )
 
 

@@ -44,12 +44,13 @@ def p_value(tau: Column) -> Column:
     return F.when(tau > SURFACE["max"], 1.0).when(tau < SURFACE["min"], 0.0).otherwise(normal_cdf(z))
 
 
-def with_unit_root(series: DataFrame, fixed_lag: int | None = None) -> DataFrame:
+def with_unit_root(series: DataFrame, fixed_lag: int | None = None, values: Column | None = None) -> DataFrame:
     """Add tau, used_lag, n_used, unit_root_status, p_value and stationary to packed series.
 
-    ``stationary`` is null when the test cannot be run (constant or too short a series).
+    ``stationary`` is null when the test cannot be run (constant or too short a series, or null ``values``).
     """
-    rows = series.withColumn("_test", kernels.unit_root_udf(SURFACE, fixed_lag)(F.col("ys")))
+    tested = F.col("ys") if values is None else values
+    rows = series.withColumn("_test", kernels.unit_root_udf(SURFACE, fixed_lag)(tested))
     rows = rows.select(
         *series.columns,
         F.col("_test.tau").alias("tau"),
@@ -57,8 +58,9 @@ def with_unit_root(series: DataFrame, fixed_lag: int | None = None) -> DataFrame
         F.col("_test.n_used").alias("n_used"),
         F.col("_test.status").alias("unit_root_status"),
         F.col("_test.p_value").alias("p_value"),
+        (F.col("_test.p_value") <= fixed.STATIONARY_P).alias("stationary"),
     )
-    return rows.withColumn("stationary", F.col("p_value") <= fixed.STATIONARY_P)
+    return rows
 
 
 def plain_unit_root(monthly: DataFrame) -> DataFrame:

@@ -20,37 +20,55 @@ RULES = {
 }
 
 
-def diagnosed_series(ledger: DataFrame, rule: str = "service") -> DataFrame:
-    """One row per entity: packed series, profile, seasonality and stationarity."""
+def diagnosed_series(
+    ledger: DataFrame, rule: str = "service", requests: DataFrame | None = None, months: int | None = None
+) -> DataFrame:
+    """One row per entity: packed series, profile, horizon, seasonality and stationarity.
+
+    A series that is too thin, constant or skipped by request is not tested and gets no model.
+    """
     trailing, share = RULES[rule]
     monthly = series.monthly_series(ledger, trailing, with_rows=True)
-    parts = decompose.decompose(monthly.drop("n_months"))
     active = F.count_if(F.col("y") > 0)
-    rows = parts.groupBy("entity").agg(
-        F.array_sort(F.collect_list(F.struct("month", "y"))).alias("points"),
-        F.count(F.lit(1)).alias("n_months"),
-        active.alias("active_months"),
-        (active * F.lit(100.0) / F.count(F.lit(1))).alias("density"),
-        F.max("month").alias("last_month"),
-        F.max_by("y", "month").alias("last_y"),
-        (F.max("seasonal") - F.min("seasonal")).alias("season_amplitude"),
-        (F.max("y") - F.min("y")).alias("total_amplitude"),
-        F.max("ledger_rows").alias("ledger_rows"),
-        F.max("ledger_constant").alias("ledger_constant"),
+    rows = (
+        decompose.decompose(monthly)
+        .groupBy("entity")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("month", "y"))).alias("points"),
+            F.count(F.lit(1)).alias("n_months"),
+            active.alias("active_months"),
+            (active * F.lit(100.0) / F.count(F.lit(1))).alias("density"),
+            (F.max("seasonal") - F.min("seasonal")).alias("season_amplitude"),
+            (F.max("y") - F.min("y")).alias("total_amplitude"),
+            F.max("ledger_rows").alias("ledger_rows"),
+            F.max("ledger_constant").alias("ledger_constant"),
+        )
+    )
+    if requests is not None:
+        rows = horizon.with_requests(rows, requests)
+    else:
+        rows = horizon.smart_duration(rows, F.lit(months) if months is not None else None)
+        rows = rows.withColumn("status", F.lit("ok"))
+    thin = (
+        horizon.too_thin(F.col("ledger_rows"), F.col("ledger_constant"))
+        | (F.col("total_amplitude") == 0)
+        | (F.col("status") != "ok")
     )
-    thin = horizon.too_thin(F.col("ledger_rows"), F.col("ledger_constant")) | (F.col("total_amplitude") == 0)
-    rows = rows.select(
+    unasked = F.col("requested_months").isNull()
+    seasonal = decompose.is_seasonal(F.col("season_amplitude"), F.col("total_amplitude"), share)
+    kept = [c for c in rows.columns if c not in ("entity", "points", "ledger_constant", "months")]
+    flagged = rows.select(
         "entity",
         F.col("points.month").alias("months_axis"),
         F.col("points.y").alias("ys"),
-        *[c for c in rows.columns if c not in ("entity", "points", "ledger_constant")],
+        F.element_at("points", -1)["month"].alias("last_month"),
+        F.element_at("points", -1)["y"].alias("last_y"),
+        *kept,
         thin.alias("thin"),
+        F.when(thin & unasked, fixed.NAIVE_MONTHS).otherwise(F.col("months")).cast("int").alias("months"),
+        (~thin & seasonal).alias("seasonal"),
     )
-    flagged = rows.withColumn(
-        "seasonal", ~F.col("thin") & decompose.is_seasonal(F.col("season_amplitude"), F.col("total_amplitude"), share)
-    )
-    tested = unitroot.with_unit_root(flagged)
-    return tested.withColumn("stationary", F.when(~F.col("thin"), F.col("stationary")))
+    return unitroot.with_unit_root(flagged, values=F.when(~F.col("thin"), F.col("ys")))
 
 
 def chosen_models(diagnosed: DataFrame, rule: str = "service") -> DataFrame:
@@ -58,11 +76,11 @@ def chosen_models(diagnosed: DataFrame, rule: str = "service") -> DataFrame:
     if rule == "classic":
         chosen = select.choose_best(select.classic_candidates(diagnosed))
         none = F.lit(None).cast(chosen.schema["fit"].dataType)
-        chosen = chosen.withColumn("runner_up", none).withColumn("margin_rule", F.lit("not applicable"))
+        chosen = chosen.withColumns({"runner_up": none, "margin_rule": F.lit("not applicable")})
     else:
         chosen = select.choose_with_margin(select.service_candidates(diagnosed))
     needed = F.when(F.col("fit").isNull() & ~F.col("thin"), F.col("ys"))
-    return models.fit_smoothing(chosen.withColumn("_needed", needed), values="_needed").drop("_needed")
+    return models.fit_smoothing(chosen.withColumn("_needed", needed), values="_needed").drop("_needed", "fits")
 
 
 def forecast_ledger(
@@ -78,45 +96,35 @@ def forecast_ledger(
     Columns: status, method (model, smoothing, naive), model, model_order, seasonal_order, aic, months, reason,
     path, errors, anomalies, explanations, and the diagnosis.
     """
-    rows = diagnosed_series(ledger, rule)
-    if requests is not None:
-        rows = horizon.with_requests(rows, requests)
-    else:
-        rows = horizon.smart_duration(rows, F.lit(months) if months is not None else None)
-        rows = rows.withColumn("status", F.lit("ok"))
-    unasked = F.col("thin") & F.col("requested_months").isNull()
-    rows = rows.withColumn("months", F.when(unasked, fixed.NAIVE_MONTHS).otherwise(F.col("months")).cast("int"))
-    rows = chosen_models(rows.filter(F.col("status") == "ok"), rule).unionByName(
-        rows.filter(F.col("status") != "ok"), allowMissingColumns=True
-    ) if requests is not None else chosen_models(rows, rule)
-    rows = forecast.with_path(rows, F.col("months"))
+    chosen = chosen_models(diagnosed_series(ledger, rule, requests, months), rule)
+    fit, smooth = F.col("fit"), F.col("smooth")
     method = (
         F.when(F.col("status") != "ok", None)
-        .when(F.col("fit").isNotNull(), "model")
-        .when(F.col("smooth").isNotNull(), "smoothing")
+        .when(fit.isNotNull(), "model")
+        .when(smooth.isNotNull(), "smoothing")
         .otherwise("naive")
     )
-    rows = rows.withColumn("method", method)
-    path = (
-        F.when(F.col("method") == "model", F.col("path"))
-        .when(F.col("method") == "smoothing", forecast.smooth_path(F.col("smooth"), F.col("n_months"), F.col("months")))
-        .when(F.col("method") == "naive", forecast.naive_path(F.col("last_y"), F.col("months")))
-    )
-    fit, naive_order = F.col("fit"), F.lit("()")
-    rows = (
-        rows.withColumn("path", path)
-        .withColumn(
-            "model",
-            F.when(F.col("method") == "model", fit["name"])
-            .when(F.col("method") == "smoothing", "HOLT_WINTERS")
-            .when(F.col("method") == "naive", "NAIVE_CONSTANT"),
-        )
-        .withColumn("model_order", F.coalesce(models.order_of(fit), naive_order))
-        .withColumn("seasonal_order", F.coalesce(models.season_order_of(fit), naive_order))
-        .withColumn("aic", F.coalesce(fit["aic"], F.col("smooth.aic"), F.lit(0.0)))
-        .withColumn("anomalies", anomaly.anomaly_list(include_burn_in))
+    rows = forecast.with_path(chosen.withColumn("method", method), F.col("months"))
+    by_method = {
+        "model": (F.col("path"), fit["name"]),
+        "smoothing": (forecast.smooth_path(smooth, F.col("n_months"), F.col("months")), F.lit("HOLT_WINTERS")),
+        "naive": (forecast.naive_path(F.col("last_y"), F.col("months")), F.lit("NAIVE_CONSTANT")),
+    }
+    path, model = F.when(F.lit(False), F.col("path")), F.when(F.lit(False), F.lit(""))
+    for name, (its_path, its_model) in by_method.items():
+        path = path.when(F.col("method") == name, its_path)
+        model = model.when(F.col("method") == name, its_model)
+    rows = rows.withColumns(
+        {
+            "path": path,
+            "model": model,
+            "model_order": F.coalesce(models.order_of(fit), F.lit("()")),
+            "seasonal_order": F.coalesce(models.season_order_of(fit), F.lit("()")),
+            "aic": F.coalesce(fit["aic"], smooth["aic"], F.lit(0.0)),
+            "anomalies": anomaly.anomaly_list(include_burn_in),
+        }
     )
-    return rows.withColumn("explanations", explanations()).drop("fits", "worked")
+    return rows.withColumn("explanations", explanations())
 
 
 def explanations() -> Column:
