@@ -60,10 +60,11 @@ def unit_root_fit(y: np.ndarray, fixed_lag: int | None = None) -> tuple:
         return None, p, rows, "collinear"
     inverse = np.linalg.inv(inner)
     beta = inverse @ target
-    sigma2 = triangle[width, -1] ** 2 / (rows - width)
-    error = np.sqrt(sigma2 * np.sum(inverse[1] ** 2))
-    if error == 0:
+    left = triangle[width, -1] ** 2
+    if left < 1e-20 * np.sum(triangle[:, -1] ** 2):
         return None, p, rows, "exact fit"
+    sigma2 = left / (rows - width)
+    error = np.sqrt(sigma2 * np.sum(inverse[1] ** 2))
     return float(beta[1] / error), p, rows, "ok"
 
 

@@ -81,9 +81,9 @@ def working_series(ys: Column, d: Column | int, sd: Column | int, s: int = fixed
 
 
 def aic(sse: Column, n_used: Column, n_values: Column | int) -> Column:
-    """Gaussian AIC of a conditional fit; null when nothing is left to explain."""
-    spread = F.lit(2 * math.pi) * sse / n_used
-    return F.when((sse > 0) & (n_used > 0), n_used * (F.log(spread) + 1) + 2.0 * n_values)
+    """Gaussian AIC of a conditional fit; a perfect fit counts as one with a tiny error."""
+    spread = F.lit(2 * math.pi) * F.greatest(sse, F.lit(1e-300)) / n_used
+    return F.when(sse.isNotNull() & (n_used > 0), n_used * (F.log(spread) + 1) + 2.0 * n_values)
 
 
 def fit_specs(
@@ -117,7 +117,7 @@ def fit_specs(
         fit = F.col(f"_fit{i}")
         score = aic(fit["sse"], fit["n_used"], spec.n_values)
         score = F.when(~F.isnan(score), score)
-        status = F.when(n < spec.least_months, "short").when(score.isNull(), "no spread").otherwise("ok")
+        status = F.when(n < spec.least_months, "short").when(score.isNull(), "no fit").otherwise("ok")
         structs.append(
             F.when(
                 active[i] if active else F.lit(True),

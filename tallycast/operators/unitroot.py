@@ -48,6 +48,7 @@ def with_unit_root(series: DataFrame, fixed_lag: int | None = None, values: Colu
     """Add tau, used_lag, n_used, unit_root_status, p_value and stationary to packed series.
 
     ``stationary`` is null when the test cannot be run (constant or too short a series, or null ``values``).
+    A series that follows its own past exactly has no t-value; it is not taken for stationary.
     """
     tested = F.col("ys") if values is None else values
     rows = series.withColumn("_test", kernels.unit_root_udf(SURFACE, fixed_lag)(tested))
@@ -58,7 +59,9 @@ def with_unit_root(series: DataFrame, fixed_lag: int | None = None, values: Colu
         F.col("_test.n_used").alias("n_used"),
         F.col("_test.status").alias("unit_root_status"),
         F.col("_test.p_value").alias("p_value"),
-        (F.col("_test.p_value") <= fixed.STATIONARY_P).alias("stationary"),
+        F.when(F.col("_test.status").isin("exact fit", "collinear"), F.lit(False))
+        .otherwise(F.col("_test.p_value") <= fixed.STATIONARY_P)
+        .alias("stationary"),
     )
     return rows
 

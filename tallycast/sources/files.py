@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, roles, text
 from ..operators import clean
@@ -46,9 +47,11 @@ def inspect_files(spark: SparkSession, path: str, max_bytes: int | None = fixed.
     )
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], delimiter: str) -> DataFrame:
-    """Text columns only; broken lines are kept as far as they can be read."""
-    reader = spark.read.option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE")
+def read_csv(spark: SparkSession, paths: str | list[str], delimiter: str, columns: list[str]) -> DataFrame:
+    """Text columns only, named by the caller (no pass to infer them); broken lines are kept as far as they can
+    be read."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    reader = spark.read.schema(schema).option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE")
     return reader.option("encoding", "UTF-8").csv(paths)
 
 
@@ -83,8 +86,8 @@ def read_ledger(
             unread.append((kind.header, str(problem)))
             continue
         same = usable.filter((F.col("header") == kind.header) & (F.col("delimiter") == kind.delimiter))
-        raw = read_csv(spark, path, kind.delimiter)
-        keyed = raw.toDF(*_unique(probe, len(raw.columns))).withColumn("file_path", F.col("_metadata.file_path"))
+        raw = read_csv(spark, path, kind.delimiter, _unique(probe))
+        keyed = raw.withColumn("file_path", F.col("_metadata.file_path"))
         mine = keyed.join(same.select("file_path", "stem"), "file_path")
         entity = F.col("stem") if entity_from_file or role.entity is None else None
         parts.append(clean.tag_rows(mine, role, date_order, entity, source="file_path"))
@@ -96,14 +99,12 @@ def read_ledger(
     return reduce(DataFrame.unionByName, parts), refused
 
 
-def _unique(names: list[str], width: int) -> list[str]:
-    """Column names of a header, made unique and filled up to the width of the scan."""
-    seen: dict[str, int] = {}
-    out = []
-    for place in range(width):
-        name = names[place] if place < len(names) and names[place] else f"column_{place + 1}"
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+def _unique(names: list[str]) -> list[str]:
+    """Column names of a header, made unique; a column without a name is called by its place."""
+    out: list[str] = []
+    for place, name in enumerate(names, start=1):
+        name = name or f"column_{place}"
+        out.append(f"{name}_{place}" if name in out else name)
     return out
 
 
