@@ -19,7 +19,7 @@ from ..operators import (
 )
 from ..plans import pipeline
 from .ledger_queries import DECOMPOSED, asked_months
-from .ledgers import MONTHLY, SUPPLIER, customer_ledger, supplier_ledger
+from .ledgers import MONTHLY, PROFILE, SAFE, SUPPLIER, customer_ledger, supplier_ledger
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -145,7 +145,7 @@ def _cross(name: str, order: str, rows: str) -> str:
     )"""
 
 
-ADF = f"""WITH RECURSIVE {BASE}, sd AS (
+ADF_PARTS = f"""sd AS (
   SELECT entity, t, n, (y - avg(y) OVER e) / stddev_pop(y) OVER e AS y FROM ser WINDOW e AS (PARTITION BY entity)
 ), st AS (
   SELECT entity, t - 1 AS t, n, lag(y) OVER w AS level, y - lag(y) OVER w AS step
@@ -154,21 +154,24 @@ ADF = f"""WITH RECURSIVE {BASE}, sd AS (
 ), most AS (
   SELECT DISTINCT entity, least(CAST(ceil(12 * pow(n / 100.0, 0.25)) AS BIGINT), n // 2 - 2) AS p FROM st
 ), {_cross("wide", "most", "o.p")}, {_sweeps("widec", "ws")},
-scored AS (
+adf_scored AS (
   SELECT ws.entity, k - 2 AS p, n_rows * ln(a[ws.m * ws.m] / n_rows) + 2 * k AS score
   FROM ws JOIN wide ON wide.entity = ws.entity WHERE k >= 2
-), best AS (SELECT entity, arg_min(p, score) AS p FROM scored GROUP BY 1
-), {_cross("fin", "best", "o.p")}, {_sweeps("finc", "fs")},
-f AS (
+), adf_best AS (SELECT entity, arg_min(p, score) AS p FROM adf_scored GROUP BY 1
+), {_cross("fin", "adf_best", "o.p")}, {_sweeps("finc", "fs")},
+adf AS (
   SELECT fs.entity, p AS used_lag, n_rows AS n_used,
          a[2 * fs.m] / sqrt(a[fs.m * fs.m] / (n_rows - fs.pivots) * a[fs.m + 2]) AS tau
   FROM fs JOIN fin ON fin.entity = fs.entity WHERE k = fs.pivots
-)
-SELECT entity, CAST(used_lag AS INTEGER) AS used_lag, CAST(n_used AS INTEGER) AS n_used, round(tau, 5) AS tau,
-  {STATIONARY} AS stationary FROM f"""
+)"""
 
 
-@query("adf_test", ADF)
+@query(
+    "adf_test",
+    f"""WITH RECURSIVE {BASE}, {ADF_PARTS}
+    SELECT entity, CAST(used_lag AS INTEGER) AS used_lag, CAST(n_used AS INTEGER) AS n_used, round(tau, 5) AS tau,
+      {STATIONARY} AS stationary FROM adf""",
+)
 def adf_test(spark, folder):
     rows = unitroot.with_unit_root(packed(spark, folder))
     return rows.select("entity", "used_lag", "n_used", F.round("tau", 5).alias("tau"), "stationary")
@@ -185,27 +188,31 @@ def four_fits(spark, folder: str) -> DataFrame:
 
 def _run(name: str, points: str) -> str:
     """The two filtered series and their cross products, month by month, for each theta of ``points``.
-    d is the number of differences; squares count after the months that the longest start takes."""
+    d is the number of differences; squares count after the months that the longest start takes (``start``)."""
     return f"""{name}(entity, d, theta, t, a, b, aa, ab, bb) AS (
       SELECT entity, d, theta, CAST(1 AS BIGINT), 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM {points}
       UNION ALL
       SELECT entity, d, theta, t, a, b, aa + c * a * a, ab + c * a * b, bb + c * b * b FROM (
         SELECT r.entity, r.d, r.theta, w.t, r.aa, r.ab, r.bb, w.w - r.theta * r.a AS a, w.wp - r.theta * r.b AS b,
-               CASE WHEN w.t > 2 - r.d THEN 1 ELSE 0 END AS c
+               CASE WHEN w.t > w.start - r.d THEN 1 ELSE 0 END AS c
         FROM {name} r JOIN wl w ON w.entity = r.entity AND w.d = r.d AND w.t = r.t + 1) s
     )"""
 
 
 FAMILIES = """(VALUES ('AR', 0, 0), ('MA', 1, 0), ('ARMA', 2, 0), ('ARIMA', 3, 1)) v(name, place, d)"""
 SSE = "CASE WHEN v.name = 'MA' THEN aa ELSE aa - ab * ab / bb END"
-WORKED = """wl AS MATERIALIZED (
-  SELECT entity, d, t, w, lag(w) OVER (PARTITION BY entity, d ORDER BY t) AS wp, m FROM (
-    SELECT entity, 0 AS d, t, y AS w, n AS m FROM ser
+
+
+def _fitted(start: str, source: str = "ser") -> str:
+    """The four plain models by two searches over theta. ``start`` is the number of first months whose squares
+    do not count, as an expression over a row of ``u``; ``source`` is the table of the series."""
+    return f"""wl AS MATERIALIZED (
+  SELECT entity, d, t, w, lag(w) OVER (PARTITION BY entity, d ORDER BY t) AS wp, m, {start} AS start FROM (
+    SELECT entity, 0 AS d, t, y AS w, n AS m FROM {source}
     UNION ALL
     SELECT entity, 1, t - 1, y - p, n - 1 FROM (
-      SELECT *, lag(y) OVER (PARTITION BY entity ORDER BY t) AS p FROM ser) WHERE p IS NOT NULL)
-), whole AS (SELECT DISTINCT entity, d, m FROM wl)"""
-FITTED = f"""{WORKED}, p1 AS (
+      SELECT *, lag(y) OVER (PARTITION BY entity ORDER BY t) AS p FROM {source}) WHERE p IS NOT NULL) u
+), whole AS (SELECT DISTINCT entity, d, m, start FROM wl), p1 AS (
   SELECT entity, d, CAST(k * 0.05 AS DOUBLE) AS theta FROM whole, (SELECT unnest(range(-19, 20)) AS k)
 ), {_run("r1", "p1")}, c1 AS (
   SELECT entity, name, d, CASE WHEN name = 'AR' THEN 0 ELSE arg_min(theta, sse) END AS theta FROM (
@@ -217,9 +224,9 @@ FITTED = f"""{WORKED}, p1 AS (
   UNION ALL SELECT entity, d, name, theta FROM c1 WHERE name = 'AR'
 ), p2d AS (SELECT DISTINCT entity, d, theta FROM p2), {_run("r2", "p2d")}, fits AS (
   SELECT entity, name, place, d, arg_min(theta, sse) AS theta, arg_min(phi, sse) AS phi, min(sse) AS sse,
-         any_value(m) - 2 + d AS n_used
+         any_value(m - start) + d AS n_used
   FROM (
-    SELECT p2.entity, p2.name, place, p2.d, p2.theta, m, {SSE} AS sse,
+    SELECT p2.entity, p2.name, place, p2.d, p2.theta, m, start, {SSE} AS sse,
            CASE WHEN v.name = 'MA' THEN 0 ELSE ab / bb END AS phi
     FROM p2 JOIN {FAMILIES} ON v.name = p2.name
     JOIN r2 ON r2.entity = p2.entity AND r2.d = p2.d AND r2.theta = p2.theta
@@ -229,6 +236,7 @@ FITTED = f"""{WORKED}, p1 AS (
   SELECT *, n_used * (ln(2 * pi() * sse / n_used) + 1)
             + 2 * CASE name WHEN 'AR' THEN 2 WHEN 'MA' THEN 2 ELSE 3 END AS aic FROM fits
 )"""
+FITTED = _fitted("2")
 LABEL = "CASE name WHEN 'AR' THEN 'AR(1)' WHEN 'MA' THEN 'MA(1)' WHEN 'ARMA' THEN 'ARMA(1,1)' ELSE 'ARIMA(1,1,1)' END"
 
 
@@ -419,7 +427,7 @@ def residual_moments(spark, folder):
 # --- Back-test ------------------------------------------------------------------------------------------------------
 
 # One model alone counts its squares from its own start.
-TRAINED = FITTED.replace("FROM ser", "FROM tr_").replace("w.t > 2 - r.d", "w.t > 1")
+TRAINED = _fitted("1 + d", "tr_")
 
 
 @query(
@@ -518,24 +526,129 @@ def holt_winters_forecast(spark, folder):
     return ahead.select("entity", "h", "month", *[F.round(c, 1).alias(c) for c in ("value", "lower", "upper")])
 
 
-# --- Pipelines (rows only: the seasonal fit has no SQL form) ---------------------------------------------------------
+# --- The seasonal model (1, 0, 1)(1, 1, 1, 12) -----------------------------------------------------------------------
+
+
+def _plane(name: str, points: str) -> str:
+    """Best point of one search. The inverse of the moving-average polynomial is written out as weights
+    of the past values; the autoregressive values come from twelve alternating least-squares steps."""
+    return f"""{name}w AS MATERIALIZED (
+      SELECT entity, th, bt, place, [list_sum([pow(-th, k - 12 * j) * pow(-bt, j) for j in range(0, k // 12 + 1)])
+        for k in range(0, longest)] AS weights
+      FROM {points}, (SELECT max(m) AS longest FROM sw)
+    ), {name}f AS (
+      SELECT g.entity, th, bt, place, list_inner_product(weights[1:t - 1], x0) AS f0, list_inner_product(weights[1:t - 1], x1) AS f1,
+        list_inner_product(weights[1:t - 1], x2) AS f2, list_inner_product(weights[1:t - 1], x3) AS f3
+      FROM {name}w g JOIN sx ON sx.entity = g.entity
+    ), {name}m AS (
+      SELECT entity, th, bt, place, sum(f0 * f0) AS m00, sum(f0 * f1) AS m01, sum(f0 * f2) AS m02, sum(f0 * f3) AS m03,
+        sum(f1 * f1) AS m11, sum(f1 * f2) AS m12, sum(f1 * f3) AS m13, sum(f2 * f2) AS m22, sum(f2 * f3) AS m23, sum(f3 * f3) AS m33
+      FROM {name}f GROUP BY 1, 2, 3, 4
+    ), {name}a AS (
+      SELECT *, 0 AS step, 0::DOUBLE AS phi, 0::DOUBLE AS big FROM {name}m
+      UNION ALL
+      SELECT * EXCLUDE (step, phi, big, nphi), step + 1, nphi,
+        (m02 - nphi * (m03 + m12) + nphi * nphi * m13) / (m22 - 2 * nphi * m23 + nphi * nphi * m33)
+      FROM (SELECT *, (m01 - big * (m03 + m12) + big * big * m23) / (m11 - 2 * big * m13 + big * big * m33) AS nphi
+            FROM {name}a WHERE step < 12) s
+    ), {name} AS (
+      SELECT entity, th, bt, phi, big, m00 + phi * phi * m11 + big * big * m22 + phi * phi * big * big * m33
+          - 2 * phi * m01 - 2 * big * m02 + 2 * phi * big * m03 + 2 * phi * big * m12 - 2 * phi * phi * big * m13
+          - 2 * phi * big * big * m23 AS sse
+      FROM {name}a WHERE step = 12 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY sse, place) = 1
+    )"""
+
+
+def _around(best: str, half: int, step: float) -> str:
+    def near(c: str, k: str) -> str:
+        return f"least(0.99, greatest(-0.99, round({c} + {k} * {step}, 6)))"
+
+    return f"""(SELECT entity, min(place) AS place, th, bt FROM (
+        SELECT entity, {near("th", "i")} AS th, {near("bt", "j")} AS bt, (i + {half}) * {2 * half + 1} + j AS place
+        FROM {best}, (SELECT unnest(range(-{half}, {half + 1})) AS i), (SELECT unnest(range(-{half}, {half + 1})) AS j))
+      GROUP BY entity, th, bt)"""
+
+
+SEASONAL = f"""sw AS (
+  SELECT entity, t - 12 AS t, n - 12 AS m, y - before AS w FROM (
+    SELECT *, lag(y, 12) OVER (PARTITION BY entity ORDER BY t) AS before FROM ser WHERE n >= 24) WHERE before IS NOT NULL
+), sl2 AS (
+  SELECT entity, m, list_concat([CAST(0 AS DOUBLE) for i in range(0, 13)], list(w ORDER BY t)) AS ws FROM sw GROUP BY 1, 2
+), sx AS MATERIALIZED (
+  SELECT entity, t, [ws[13 + t - k] for k in range(0, t - 1)] AS x0, [ws[12 + t - k] for k in range(0, t - 1)] AS x1,
+    [ws[1 + t - k] for k in range(0, t - 1)] AS x2, [ws[t - k] for k in range(0, t - 1)] AS x3
+  FROM (SELECT *, unnest(range(2, m + 1)) AS t FROM sl2)
+), z0 AS (SELECT entity, 0::DOUBLE AS th, 0::DOUBLE AS bt FROM sl2
+), {_plane("z1", _around("z0", 4, 0.2))}, {_plane("z2", _around("z1", 3, 0.05))}, {_plane("z3", _around("z2", 3, 0.0125))},
+seasonal_fits AS (
+  SELECT z3.entity, phi, th AS theta, big AS seasonal_phi, bt AS seasonal_theta, sse, m - 1 AS n_used,
+         (m - 1) * (ln(2 * pi() * sse / (m - 1)) + 1) + 10 AS aic FROM z3 JOIN sl2 ON sl2.entity = z3.entity
+)"""
 
 
-@query("seasonal_fit")
+@query(
+    "seasonal_fit",
+    f"""WITH RECURSIVE {BASE}, {SEASONAL} SELECT entity, round(phi, 5) AS phi, round(theta, 5) AS theta,
+      round(seasonal_phi, 5) AS seasonal_phi, round(seasonal_theta, 5) AS seasonal_theta,
+      round(sse / 1e6, 1) AS sse_millions, CAST(n_used AS INTEGER) AS n_used, round(aic, 5) AS aic FROM seasonal_fits""",
+)
 def seasonal_fit(spark, folder):
-    rows = models.fit_one(packed(spark, folder), models.SARIMA)
-    return rows.select("entity", "fit.*")
+    rows = models.fit_one(packed(spark, folder), models.SARIMA).filter(F.col("fit").isNotNull())
+    names = ("phi", "theta", "seasonal_phi", "seasonal_theta")
+    return rows.select(
+        "entity",
+        *[F.round(f"fit.{c}", 5).alias(c) for c in names],
+        F.round(F.col("fit.sse") / 1e6, 1).alias("sse_millions"),
+        F.col("fit.n_used").alias("n_used"),
+        F.round("fit.aic", 5).alias("aic"),
+    )
 
 
-@query("seasonal_final_forecast")
-def seasonal_final_forecast(spark, folder):
-    return forecast.long_forecast(pipeline.final_forecast(supplier_ledger(spark, folder)))
+# --- Choice of a model by the service rule ---------------------------------------------------------------------------
+
+FLAGS = f"""{DECOMPOSED}, {ADF_PARTS}, flags AS (
+  SELECT a.entity, seasonal, stationary, CASE WHEN seasonal THEN 13 WHEN stationary THEN 1 ELSE 2 END AS start
+  FROM (SELECT entity, coalesce(max(seasonal) - min(seasonal) > 0.2 * (max(y) - min(y)), false) AS seasonal FROM dec GROUP BY 1) a
+  JOIN (SELECT entity, {STATIONARY} AS stationary FROM adf) b ON b.entity = a.entity
+)"""
+CHOSEN = f"""{FLAGS}, {_fitted("(SELECT start FROM flags WHERE flags.entity = u.entity)")}, {SEASONAL}, cands AS (
+  SELECT s.entity, name, CASE name WHEN 'ARIMA' THEN 1 WHEN 'AR' THEN 2 WHEN 'MA' THEN 3 ELSE 4 END AS place, aic
+  FROM scored s JOIN flags ON flags.entity = s.entity WHERE (name = 'ARIMA') <> stationary
+  UNION ALL
+  SELECT s.entity, 'SARIMA', 0, aic FROM seasonal_fits s JOIN flags ON flags.entity = s.entity WHERE seasonal
+), ranked AS (
+  SELECT *, row_number() OVER w AS rank, lead(name) OVER w AS name2, lead(aic) OVER w AS aic2
+  FROM cands WINDOW w AS (PARTITION BY entity ORDER BY aic, place)
+), picked AS (
+  SELECT *, name = 'SARIMA' AND name2 IS NOT NULL AS judged,
+         name = 'SARIMA' AND name2 IS NOT NULL AND NOT (aic2 - aic > 2 AND (aic2 - aic) / abs(aic) > 0.10) AS replaced
+  FROM ranked WHERE rank = 1
+)"""
 
 
-@query("select_service")
+@query(
+    "select_service",
+    f"""WITH RECURSIVE {BASE}, {CHOSEN}, m AS (
+      SELECT *, CASE WHEN replaced THEN name2 ELSE name END AS model FROM picked)
+    SELECT m.entity, model, CASE model WHEN 'AR' THEN '(1, 0, 0)' WHEN 'MA' THEN '(0, 0, 1)' WHEN 'ARIMA' THEN '(1, 1, 1)'
+        ELSE '(1, 0, 1)' END AS model_order,
+      CASE model WHEN 'SARIMA' THEN '(1, 1, 1, 12)' ELSE '(0, 0, 0, 0)' END AS seasonal_order,
+      round(CASE WHEN replaced THEN aic2 ELSE aic END, 5) AS aic, seasonal, stationary,
+      CASE WHEN replaced THEN 'replaced' WHEN judged THEN 'kept' ELSE 'not applicable' END AS margin_rule
+    FROM m JOIN flags ON flags.entity = m.entity""",
+)
 def select_service(spark, folder):
     chosen = pipeline.chosen_models(pipeline.diagnosed_series(supplier_ledger(spark, folder)))
-    return select.model_report(chosen).join(chosen.select("entity", "seasonal", "stationary", "margin_rule"), "entity")
+    report = select.model_report(chosen, "seasonal", "stationary", "margin_rule")
+    return report.withColumn("aic", F.round("aic", 5))
+
+
+# --- Pipelines ------------------------------------------------------------------------------------------------------
+
+
+@query("seasonal_final_forecast")
+def seasonal_final_forecast(spark, folder):
+    return forecast.long_forecast(pipeline.final_forecast(supplier_ledger(spark, folder)))
 
 
 @query("select_classic")
@@ -551,9 +664,57 @@ def select_extended(spark, folder):
     return select.extended_choice(select.score_table(scored))
 
 
-@query("forecast_selected")
+def _ahead(w: str, e: str) -> str:
+    """Next value of a differenced series out of the ends of its values and errors."""
+    return f"""phi * {w}[-1] + big * {w}[-12] - phi * big * {w}[-13] + theta * {e}[-1] + bth * {e}[-12] + theta * bth * {e}[-13]"""
+
+
+ZEROS = "[CAST(0 AS DOUBLE) for z in range(0, 13)]"
+SELECTED = f"""{CHOSEN}, m AS (SELECT entity, CASE WHEN replaced THEN name2 ELSE name END AS model FROM picked
+), params AS (
+  SELECT m.entity, model, s.d, 0 AS sd, phi, theta, 0::DOUBLE AS big, 0::DOUBLE AS bth, sse / n_used AS s2
+  FROM m JOIN scored s ON s.entity = m.entity AND s.name = model
+  UNION ALL
+  SELECT m.entity, model, 0, 1, phi, theta, seasonal_phi, seasonal_theta, sse / n_used
+  FROM m JOIN seasonal_fits s ON s.entity = m.entity AND model = 'SARIMA'
+), series_ AS (
+  SELECT p.*, list_concat({ZEROS}, w) AS w, list_concat({ZEROS}, y) AS y, len(w) AS m, last_month
+  FROM params p
+  JOIN (SELECT entity, list(y ORDER BY t) AS y, max(month) AS last_month FROM ser GROUP BY 1) a ON a.entity = p.entity
+  JOIN (SELECT entity, d, 0 AS sd, list(w ORDER BY t) AS w FROM wl GROUP BY 1, 2
+        UNION ALL SELECT entity, 0, 1, list(w ORDER BY t) FROM sw GROUP BY 1) b
+    ON b.entity = p.entity AND b.d = p.d AND b.sd = p.sd
+), errs AS (
+  SELECT entity, 1 AS t, m, phi, theta, big, bth, w, list_append({ZEROS}, CAST(0 AS DOUBLE)) AS e FROM series_
+  UNION ALL
+  SELECT entity, t + 1, m, phi, theta, big, bth, w, list_append(e,
+    w[t + 14] - phi * w[t + 13] - big * w[t + 2] + phi * big * w[t + 1] - theta * e[-1] - bth * e[-12] - theta * bth * e[-13])
+  FROM errs WHERE t < m
+), path AS (
+  SELECT s.entity, model, d, sd, s.phi, s.theta, s.big, s.bth, s2, last_month, 0 AS h, s.w, e, y,
+    list_append({ZEROS}, CAST(1 AS DOUBLE)) AS pw, list_append({ZEROS}, CAST(1 AS DOUBLE)) AS pe,
+    list_append({ZEROS}, CAST(1 AS DOUBLE)) AS py, 0::DOUBLE AS var
+  FROM series_ s JOIN errs ON errs.entity = s.entity AND errs.t = errs.m
+  UNION ALL
+  SELECT entity, model, d, sd, phi, theta, big, bth, s2, last_month, h + 1, list_append(w, nw), list_append(e, CAST(0 AS DOUBLE)),
+    list_append(y, nw + d * y[-1] + sd * y[-12] - d * sd * y[-13]), list_append(pw, np), list_append(pe, CAST(0 AS DOUBLE)),
+    list_append(py, np + d * py[-1] + sd * py[-12] - d * sd * py[-13]), var + py[-1] * py[-1]
+  FROM (SELECT *, {_ahead("w", "e")} AS nw, {_ahead("pw", "pe")} AS np FROM path WHERE h < 24) q
+)"""
+
+
+@query(
+    "forecast_selected",
+    f"""WITH RECURSIVE {BASE}, {PROFILE}, {SELECTED}
+    SELECT path.entity, model, 'model' AS method, h, CAST(path.last_month + to_months(h) AS DATE) AS month,
+      round(y[-1], 1) AS value, round(y[-1] - 1.959963984540054 * sqrt(s2 * var), 1) AS lower,
+      round(y[-1] + 1.959963984540054 * sqrt(s2 * var), 1) AS upper
+    FROM path JOIN prof ON prof.entity = path.entity WHERE h BETWEEN 1 AND {SAFE}""",
+)
 def forecast_selected(spark, folder):
-    return pipeline.forecast_rows(pipeline.forecast_ledger(supplier_ledger(spark, folder)))
+    rows = pipeline.forecast_rows(pipeline.forecast_ledger(supplier_ledger(spark, folder)))
+    bands = [F.round(c, 1).alias(c) for c in ("value", "lower", "upper")]
+    return rows.select("entity", "model", "method", "h", "month", *bands)
 
 
 @query("forecast_sparse")

@@ -36,24 +36,30 @@ def tag_rows(
     date_order: str = "day_first",
     entity: Column | None = None,
     source: str | None = None,
+    decided: Column | None = None,
 ) -> DataFrame:
     """(entity, raw_date, raw_amount, date, amount, reason); ``reason`` is null for a good row.
 
     ``date_order`` is ``day_first`` or ``month_first`` (per cell, ISO always wins), or
-    ``auto_day_first`` / ``auto_month_first`` (decided once per source, see ``source_day_first``).
+    ``auto_day_first`` / ``auto_month_first`` (decided once per source, see ``source_day_first``). ``decided`` is a
+    column of ``raw`` that holds the decision already.
     """
     key = entity if entity is not None else F.trim(F.col(roles.entity).cast("string")) if roles.entity else F.lit("ALL")
     kept = [F.col(source).alias("source_key")] if source else []
+    if decided is not None:
+        kept = [decided.alias("day_first")]
     rows = raw.select(
         *kept,
         key.alias("entity"),
         F.col(roles.date).alias("raw_date"),
         F.col(roles.amount).alias("raw_amount"),
     )
-    if date_order.startswith("auto_"):
+    if decided is not None:
+        day_first: Column | bool = F.col("day_first")
+    elif date_order.startswith("auto_"):
         order = source_day_first(raw, roles.date, date_order == "auto_day_first", source)
         rows = rows.join(order, "source_key") if source else rows.crossJoin(F.broadcast(order))  # one row
-        day_first: Column | bool = F.col("day_first")
+        day_first = F.col("day_first")
     else:
         day_first = date_order == "day_first"
     # The parts are a column of their own: named many times, split once. The one-element explode keeps the

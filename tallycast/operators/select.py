@@ -123,8 +123,8 @@ def extended_choice(scores: DataFrame) -> DataFrame:
     return rank_scores(scores).filter((F.col("rank") == 1) & (F.col("status") == "ok"))
 
 
-def model_report(chosen: DataFrame) -> DataFrame:
-    """(entity, model, model_order, seasonal_order, aic)"""
+def model_report(chosen: DataFrame, *carried: str) -> DataFrame:
+    """(entity, model, model_order, seasonal_order, aic) and the carried columns."""
     fit = F.col("fit")
     return chosen.filter(fit.isNotNull()).select(
         "entity",
@@ -132,4 +132,5 @@ def model_report(chosen: DataFrame) -> DataFrame:
         models.order_of(fit).alias("model_order"),
         models.season_order_of(fit).alias("seasonal_order"),
         fit["aic"].alias("aic"),
+        *carried,
     )

@@ -58,9 +58,13 @@ def spread(df: DataFrame) -> DataFrame:
     The windows, the packing and the fits behind need rows together by entity anyway. A plain exchange would be merged
     into a few tasks when the months are few bytes, and the fits, which cost far more than their bytes, would
     queue in them; a partition count that is asked for is kept.
+
+    On a cluster that is the configured number of shuffle partitions, and at least two tasks per core.
     """
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    context = df.sparkSession.sparkContext
+    tasks = context.defaultParallelism
+    if not context.master.startswith("local"):
+        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * tasks)
     return df.repartition(tasks, "entity")
 
 

@@ -89,9 +89,15 @@ def read_ledger(
         same = usable.filter((F.col("header") == kind.header) & (F.col("delimiter") == kind.delimiter))
         raw = read_csv(spark, path, kind.delimiter, _unique(probe))
         keyed = raw.withColumn("file_path", F.col("_metadata.file_path"))
-        mine = keyed.join(same.select("file_path", "stem"), "file_path")
         entity = F.col("stem") if entity_from_file or role.entity is None else None
-        parts.append(clean.tag_rows(mine, role, date_order, entity, source="file_path"))
+        kept, decided = same.select("file_path", "stem"), None
+        if date_order.startswith("auto_"):
+            order = clean.source_day_first(keyed, role.date, date_order == "auto_day_first", "file_path")
+            kept = kept.join(order.withColumnRenamed("source_key", "file_path"), "file_path")
+            decided = F.col("day_first")
+        # What is known per file is put together first, so the rows take part in one join.
+        mine = keyed.join(kept, "file_path")
+        parts.append(clean.tag_rows(mine, role, date_order, entity, decided=decided))
     if not parts:
         raise roles.MissingColumn(f"no readable ledger under {path}: {unread}")
     spoilt = spark.createDataFrame(unread, "header string, problem string")
