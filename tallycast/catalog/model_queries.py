@@ -363,7 +363,7 @@ def in_sample_mse(spark, folder):
 
 # --- Anomalies ------------------------------------------------------------------------------------------------------
 
-SCAN = """st AS (SELECT *, stddev_samp(residual) OVER (PARTITION BY entity) AS sd FROM rows_),
+SCAN = """spread_ AS (SELECT *, stddev_samp(residual) OVER (PARTITION BY entity) AS sd FROM rows_),
 an AS (
   SELECT entity, month AS anomaly_date, round(y, 1) AS actual_value, round(y - residual, 1) AS predicted_value,
     round(residual, 1) AS residual, round(abs(residual) / sd, 6) AS std_deviations,
@@ -371,7 +371,7 @@ an AS (
     CASE WHEN abs(residual) / sd >= 3 THEN '🔴' ELSE '🟡' END || ' Dépense '
       || CAST(CAST(round(abs(residual) / abs(y - residual) * 100) AS BIGINT) AS VARCHAR)
       || '% ' || CASE WHEN residual > 0 THEN 'supérieure' ELSE 'inférieure' END || ' à la normale' AS description
-  FROM st WHERE sd > 0 AND abs(residual) / sd >= 2
+  FROM spread_ WHERE sd > 0 AND abs(residual) / sd >= 2
 )
 SELECT * FROM an"""
 
@@ -740,9 +740,15 @@ def whole_ledger_pipeline(spark, folder):
     return pipeline.forecast_rows(pipeline.whole_ledger(supplier_ledger(spark, folder)))
 
 
-@query("pipeline_anomalies")
+@query(
+    "pipeline_anomalies",
+    f"""WITH RECURSIVE {BASE}, {SELECTED}, rows_ AS (
+      SELECT s.entity, s.month, s.y, e[13 + s.t - (s.n - m)] AS residual
+      FROM errs JOIN ser s ON s.entity = errs.entity WHERE errs.t = errs.m AND s.t - (s.n - m) >= 2), {SCAN}""",
+)
 def pipeline_anomalies(spark, folder):
-    return pipeline.anomaly_rows(pipeline.forecast_ledger(supplier_ledger(spark, folder)))
+    rows = pipeline.anomaly_rows(pipeline.forecast_ledger(supplier_ledger(spark, folder)))
+    return rounded_anomalies(rows.withColumn("anomaly_date", F.col("date").cast("date")))
 
 
 @query("result_json")
