@@ -19,7 +19,7 @@ from ..operators import (
 )
 from ..plans import pipeline
 from .ledger_queries import DECOMPOSED, asked_months
-from .ledgers import MONTHLY, PROFILE, SAFE, SUPPLIER, customer_ledger, supplier_ledger
+from .ledgers import INCOMPLETE, MONTHLY, PROFILE, SAFE, SUPPLIER, customer_ledger, supplier_ledger
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -529,17 +529,17 @@ def holt_winters_forecast(spark, folder):
 # --- The seasonal model (1, 0, 1)(1, 1, 1, 12) -----------------------------------------------------------------------
 
 
-def _plane(name: str, points: str) -> str:
+def _plane(name: str, points: str, tag: str) -> str:
     """Best point of one search. The inverse of the moving-average polynomial is written out as weights
     of the past values; the autoregressive values come from twelve alternating least-squares steps."""
     return f"""{name}w AS MATERIALIZED (
       SELECT entity, th, bt, place, [list_sum([pow(-th, k - 12 * j) * pow(-bt, j) for j in range(0, k // 12 + 1)])
         for k in range(0, longest)] AS weights
-      FROM {points}, (SELECT max(m) AS longest FROM sw)
+      FROM {points}, (SELECT max(m) AS longest FROM sw{tag})
     ), {name}f AS (
       SELECT g.entity, th, bt, place, list_inner_product(weights[1:t - 1], x0) AS f0, list_inner_product(weights[1:t - 1], x1) AS f1,
         list_inner_product(weights[1:t - 1], x2) AS f2, list_inner_product(weights[1:t - 1], x3) AS f3
-      FROM {name}w g JOIN sx ON sx.entity = g.entity
+      FROM {name}w g JOIN sx{tag} x ON x.entity = g.entity
     ), {name}m AS (
       SELECT entity, th, bt, place, sum(f0 * f0) AS m00, sum(f0 * f1) AS m01, sum(f0 * f2) AS m02, sum(f0 * f3) AS m03,
         sum(f1 * f1) AS m11, sum(f1 * f2) AS m12, sum(f1 * f3) AS m13, sum(f2 * f2) AS m22, sum(f2 * f3) AS m23, sum(f3 * f3) AS m33
@@ -569,23 +569,31 @@ def _around(best: str, half: int, step: float) -> str:
       GROUP BY entity, th, bt)"""
 
 
-SEASONAL = f"""sw AS (
-  SELECT entity, t - 12 AS t, n - 12 AS m, y - before AS w FROM (
-    SELECT *, lag(y, 12) OVER (PARTITION BY entity ORDER BY t) AS before FROM ser WHERE n >= 24) WHERE before IS NOT NULL
-), sl2 AS (
-  SELECT entity, m, list_concat([CAST(0 AS DOUBLE) for i in range(0, 13)], list(w ORDER BY t)) AS ws FROM sw GROUP BY 1, 2
-), sx AS MATERIALIZED (
+def _seasonal(d: int = 0) -> str:
+    """The fit on the seasonal difference, after d plain differences."""
+    tag = f"_{d}" if d else ""
+    plain = "y" if d == 0 else "y - lag(y) OVER (PARTITION BY entity ORDER BY t)"
+    return f"""sw{tag} AS (
+  SELECT entity, t - {12 + d} AS t, n - {12 + d} AS m, x - before AS w FROM (
+    SELECT *, lag(x, 12) OVER (PARTITION BY entity ORDER BY t) AS before FROM (
+      SELECT *, {plain} AS x FROM ser WHERE n >= {24 + d})) WHERE before IS NOT NULL
+), sl2{tag} AS (
+  SELECT entity, m, list_concat([CAST(0 AS DOUBLE) for i in range(0, 13)], list(w ORDER BY t)) AS ws FROM sw{tag} GROUP BY 1, 2
+), sx{tag} AS MATERIALIZED (
   SELECT entity, t, [ws[13 + t - k] for k in range(0, t - 1)] AS x0, [ws[12 + t - k] for k in range(0, t - 1)] AS x1,
     [ws[1 + t - k] for k in range(0, t - 1)] AS x2, [ws[t - k] for k in range(0, t - 1)] AS x3
-  FROM (SELECT *, unnest(range(2, m + 1)) AS t FROM sl2)
-), z0 AS (SELECT entity, 0::DOUBLE AS th, 0::DOUBLE AS bt FROM sl2
-), {_plane("z1", _around("z0", 4, 0.2))}, {_plane("z2", _around("z1", 3, 0.05))}, {_plane("z3", _around("z2", 3, 0.0125))},
-seasonal_fits AS (
-  SELECT z3.entity, phi, th AS theta, big AS seasonal_phi, bt AS seasonal_theta, sse, m - 1 AS n_used,
-         (m - 1) * (ln(2 * pi() * sse / (m - 1)) + 1) + 10 AS aic FROM z3 JOIN sl2 ON sl2.entity = z3.entity
+  FROM (SELECT *, unnest(range(2, m + 1)) AS t FROM sl2{tag})
+), z0{tag} AS (SELECT entity, 0::DOUBLE AS th, 0::DOUBLE AS bt FROM sl2{tag}
+), {_plane(f"z1{tag}", _around(f"z0{tag}", 4, 0.2), tag)}, {_plane(f"z2{tag}", _around(f"z1{tag}", 3, 0.05), tag)},
+{_plane(f"z3{tag}", _around(f"z2{tag}", 3, 0.0125), tag)}, seasonal_fits{tag} AS (
+  SELECT z.entity, phi, th AS theta, big AS seasonal_phi, bt AS seasonal_theta, sse, m - 1 AS n_used,
+         (m - 1) * (ln(2 * pi() * sse / (m - 1)) + 1) + 10 AS aic FROM z3{tag} z JOIN sl2{tag} l ON l.entity = z.entity
 )"""
 
 
+SEASONAL = _seasonal()
+
+
 @query(
     "seasonal_fit",
     f"""WITH RECURSIVE {BASE}, {SEASONAL} SELECT entity, round(phi, 5) AS phi, round(theta, 5) AS theta,
@@ -651,10 +659,31 @@ def seasonal_final_forecast(spark, folder):
     return forecast.long_forecast(pipeline.final_forecast(supplier_ledger(spark, folder)))
 
 
-@query("select_classic")
+CLASSIC_BASE = f"{SUPPLIER}, {MONTHLY.replace(INCOMPLETE, 'month = m1 AND m1 > m0')}"
+CLASSIC_FLAGS = FLAGS.replace("> 0.2 *", "> 0.1 *").replace("WHEN seasonal THEN 13", "WHEN seasonal AND stationary THEN 13 WHEN seasonal THEN 14")
+
+
+@query(
+    "select_classic",
+    f"""WITH RECURSIVE {CLASSIC_BASE}, {CLASSIC_FLAGS},
+    {_fitted("(SELECT start FROM flags WHERE flags.entity = u.entity)")}, {SEASONAL}, {_seasonal(1)}, cands AS (
+      SELECT s.entity, name, place, '(0, 0, 0, 0)' AS seasonal_order, aic,
+        CASE name WHEN 'AR' THEN '(1, 0, 0)' WHEN 'MA' THEN '(0, 0, 1)' WHEN 'ARMA' THEN '(1, 0, 1)' ELSE '(1, 1, 1)' END AS model_order
+      FROM scored s JOIN flags ON flags.entity = s.entity WHERE NOT seasonal AND (name = 'ARIMA') <> stationary
+      UNION ALL
+      SELECT s.entity, 'SARIMA', 0, '(1, 1, 1, 12)', aic, '(1, 0, 1)'
+      FROM seasonal_fits s JOIN flags ON flags.entity = s.entity WHERE seasonal AND stationary
+      UNION ALL
+      SELECT s.entity, 'SARIMA', 0, '(1, 1, 1, 12)', aic, '(1, 1, 1)'
+      FROM seasonal_fits_1 s JOIN flags ON flags.entity = s.entity WHERE seasonal AND NOT stationary
+    )
+    SELECT entity, name AS model, model_order, seasonal_order, round(aic, 5) AS aic FROM cands
+    QUALIFY row_number() OVER (PARTITION BY entity ORDER BY aic, place) = 1""",
+)
 def select_classic(spark, folder):
     diagnosed = pipeline.diagnosed_series(supplier_ledger(spark, folder), "classic")
-    return select.model_report(pipeline.chosen_models(diagnosed, "classic"))
+    report = select.model_report(pipeline.chosen_models(diagnosed, "classic"))
+    return report.withColumn("aic", F.round("aic", 5))
 
 
 @query("select_extended")
