@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import neardup, store
+from tallycast.llm import decontam, neardup, packing, pii, store, toxicity
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain calls toxic go."""
+    labelled = toxicity.labelled_documents(docs, store.table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, toxicity.fit(labelled, toxicity.CATEGORIES))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +18,32 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return neardup.kept_documents(docs)
 
 
-STAGES = [("near_duplicates", without_near_duplicates)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontam.without_contaminated(docs, store.table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.masked(docs)
+
+
+def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    import public_tokenizers
+
+    return packing.packed(docs, packing.Tokens(public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_duplicates),
+    ("benchmark", without_benchmark),
+    ("personal_data", without_personal_data),
+    ("packing", in_sequences),
+]
 
+#: SQL can express neither the classifier chain nor the tokenizer.
 ORACLE_SQL = None
 
 
