@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .words import LETTERED, lowered, words
+from .words import LETTERED, lowered, window_hash, words
 
 WIDTH = 10
 #: At most so many windows are broadcast at once (about 60 MB); a larger benchmark is taken in blocks.
@@ -22,7 +22,7 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     each = worded.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.slice("w", F.col("i"), F.lit(width)).alias("window"))
     items = F.collect_set(F.col("item_id").cast("string")).alias("items")
-    return each.groupBy(F.xxhash64("window").alias("hash"), "window").agg(items)
+    return each.groupBy(window_hash("window", F.lit(0), width).alias("hash"), "window").agg(items)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -38,19 +38,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int =
     blocks = max(1, -(-sum(row["grams"] for row in shape) // block))
     text = F.col("text")
     worded = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), words(lowered(text), LETTERED).alias("w"))
-    starts = F.sequence(F.lit(1), F.size("w"))
-    hashes = [F.transform(starts, lambda i, n=n: F.xxhash64(F.slice("w", i, F.lit(n)))) for n in lengths]
+    starts = F.sequence(F.lit(0), F.size("w") - 1)
+
+    def hashes_of(n: int) -> Column:
+        return F.transform(starts, lambda i: window_hash("w", i, n))
+
+    hashes = [hashes_of(n) for n in lengths]
     nothing = F.array().cast("array<bigint>")
     # The null at the end matches nothing; it stands for the document itself.
     hashed = worded.withColumn("h", F.concat(F.when(F.size("w") > 0, F.concat(*hashes)).otherwise(nothing), F.array(F.lit(None).cast("bigint"))))
     parts = []
     for number in range(blocks):
         some = grams.where(F.pmod("hash", F.lit(blocks)) == number)
-        exploded = hashed.select("doc_id", "text_hash", "w", F.posexplode("h").alias("at", "hash"))
+        # The outer form: for the plain one Spark tests the array's size first, below the words' projection, and reads the words again for each.
+        exploded = hashed.select("doc_id", "text_hash", "w", F.posexplode_outer("h").alias("at", "hash"))
         met = exploded.join(F.broadcast(some), "hash", "left")
         itself = F.col("at") == F.size("w") * len(lengths)
         start = F.col("at") % F.greatest(F.size("w"), F.lit(1)) + 1
-        same = F.coalesce(F.slice("w", start, F.greatest(F.size("window"), F.lit(1))) == F.col("window"), F.lit(False))
+        same = F.when(F.col("window").isNotNull(), F.slice("w", start, F.size("window")) == F.col("window")).otherwise(False)
         met = met.where(same | itself)
         hit = F.when(same, F.struct(start.alias("start"), F.size("window").alias("length"), "items"))
         parts.append(met.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), hit.alias("hit"), F.when(itself & F.lit(number == 0), 1).alias("one")))

@@ -197,7 +197,7 @@ class Arrays:
 
 
 def _save_upper(folder: str) -> Callable:
-    def save(key, rows: pa.Table) -> pa.Table:
+    def save(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
         keys, (counts,) = _merged(rows, [np.uint32])
         _save(folder, f"upper-key-{part:06d}", keys)
@@ -238,7 +238,7 @@ def _added(have: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray,
 
 
 def _save_lower(folder: str) -> Callable:
-    def save(key, rows: pa.Table) -> pa.Table:
+    def save(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
         keys, sums = _merged(rows, [np.float64] * 5)
         sums = [np.rint(x).astype(np.int64) for x in sums]

@@ -6,6 +6,8 @@ import hashlib
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -53,8 +55,8 @@ class Index:
     slots: int = 48
     chunks: int = 12
     threshold: int = 23
-    #: Pairs that share a key but differ in more slots than this aren't looked at (1 in 10**8 at similarity 0.75).
-    farthest: int = 32
+    #: Bits of the parity sketch of a set, a multiple of 64.
+    bits: int = 2048
     seed: int = 7
 
     @property
@@ -89,38 +91,35 @@ class Index:
         return out
 
 
-LANES = 3  # 16-bit slots in a long: the sums below then never overflow
-LOW = 0x7FFF7FFF7FFF
+def sketch(shingles: np.ndarray, bits: int) -> list[int]:
+    """For each bit, whether an odd number of shingles fall on it. Where two sketches differ, one set has a shingle the other lacks."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def packed(signature: np.ndarray) -> list[int]:
-    lanes = np.zeros(-(-len(signature) // LANES) * LANES, np.int64)
-    lanes[: len(signature)] = signature
-    return (lanes[0::3] | lanes[1::3] << 16 | lanes[2::3] << 32).tolist()
+def may_link(percent: int, bits: int) -> Column:
+    """False only if two sets, of columns n, s0, s1, ... and m, t0, t1, ..., can't have 100 * intersection >= percent * union.
 
-
-def distance(left: str, right: str, slots: int) -> Column:
-    """In how many slots two packed signatures differ."""
-    words = -(-slots // LANES)
-    same = F.lit(0)
-    for i in range(words):
-        x = F.col(left)[i].bitwiseXOR(F.col(right)[i])
-        nonzero = (x.bitwiseAND(F.lit(LOW)) + F.lit(LOW)).bitwiseOR(x).bitwiseAND(F.lit(0x800080008000))
-        same = same + (LANES - F.bit_count(nonzero))
-    return F.lit(words * LANES) - same
+    Then at most (100 - percent) / (100 + percent) of all their shingles are in one set only, and the sketches can't differ in more bits.
+    The sketches are plain columns, as this is asked of every two nodes that meet.
+    """
+    apart = reduce(add, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(bits // 64)])
+    m, n = F.col("m"), F.col("n")
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (apart * (100 + percent) <= (100 - percent) * (m + n))
 
 
 def _read_sets(index: Index):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, signatures = [], [], []
+            sizes, classes, signatures, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text)
                 sizes.append(len(shingles))
                 classes.append(hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None)
-                signatures.append(packed(index.signature(shingles)) if len(shingles) else None)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "signature"])
+                signatures.append(index.signature(shingles).tobytes() if len(shingles) else None)
+                sketches.append(sketch(shingles, index.bits) if len(shingles) else None)
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "signature", "sketch"])
 
     return signed
 
@@ -130,9 +129,8 @@ def _keyed(index: Index):
         for batch in batches:
             if not len(batch):
                 continue
-            words = np.array(batch.column("signature").to_pylist(), np.int64)
-            lanes = np.stack([words & 0xFFFF, words >> 16 & 0xFFFF, words >> 32 & 0xFFFF], axis=2).reshape(len(batch), -1)
-            keys = index.keys(lanes[:, : index.slots].astype(np.uint64))
+            signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(len(batch), index.slots)
+            keys = index.keys(signatures.astype(np.uint64))
             nodes = np.repeat(batch.column("node").to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], ["key", "node"])
 
@@ -149,9 +147,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signed(docs: DataFrame, index: Index) -> DataFrame:
-    """(row, doc_id, n_shingles, class, signature) for each document, written: a row keeps its number from here on."""
+    """(row, doc_id, n_shingles, class, signature, sketch) for each document, written: a row keeps its number from here on."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    made = rows.mapInArrow(_read_sets(index), "doc_id long, n_shingles long, class binary, signature array<long>")
+    made = rows.mapInArrow(_read_sets(index), "doc_id long, n_shingles long, class binary, signature binary, sketch array<long>")
     return store.written(made.withColumn("row", F.monotonically_increasing_id()), "signed")
 
 
@@ -178,11 +176,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, index: Index = Index())
     shingles have 100 * intersection >= percent * union. ``component_id`` is the smallest doc_id reachable over links.
 
     1. Rows of equal sets are one node from the start, so a group of copies of any size is one row of the join.
-    2. Multi-index Hamming join: every node has the keys of its signature's chunks (see :class:`Index`). In the first rounds each
-       node is held against one node of each of its keys, not against all of them.
+    2. Multi-index Hamming join: every node has the keys of its signature's chunks (see :class:`Index`). First each node is held
+       against one node of each of its keys, another for every key, not against all of them.
     3. A key whose nodes are all in one component by then can add nothing. For the others, nodes outside the key's largest
        component are held against all nodes of other components, so no link between components is lost.
 
+    Of what meets under a key only pairs that :func:`may_link` can't rule out leave the join; their full sets are compared then.
+
     Null or empty texts have no shingles, no links and their own doc_id as component. Null doc_ids count as largest; a
     component of nothing else has a null id, and its rows are kept. Rows that repeat a doc_id are judged on their own.
     """
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, index: Index = Index())
 def components_of(docs: DataFrame, rows: DataFrame, percent: int, index: Index) -> DataFrame:
     """(class, component_id) for every distinct set."""
     first = rows.where("n_shingles > 0").groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
-    own = rows.select(F.col("row").alias("node"), "doc_id", "signature", F.col("n_shingles").alias("size"))
+    own = rows.select(F.col("row").alias("node"), "doc_id", "signature", "sketch", F.col("n_shingles").alias("size"))
     nodes = store.written(first.join(own, "node"), "nodes")
     links, roots = _links(docs, nodes, percent, index)
     ids = nodes.join(roots, "node", "left").select("class", "least", F.coalesce("root", "node").alias("root"))
@@ -205,58 +205,52 @@ def components_of(docs: DataFrame, rows: DataFrame, percent: int, index: Index)
 
 
 def _links(docs: DataFrame, nodes: DataFrame, percent: int, index: Index) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links that join all components, and (node, root) of the linked nodes."""
     keyed = nodes.select("node", "signature").mapInArrow(_keyed(index), "key long, node long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = store.written(keyed.join(shared, "key"), "members")
-    done = None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn == 0:
-            apart = members.withColumn("root", F.col("node"))
-        else:
-            apart = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-            open_keys = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            apart = store.written(apart.join(open_keys, "key"), "apart")
-        pairs = _star(apart, turn) if turn < STAR_ROUNDS else _rest(apart)
-        pairs = _near(pairs, nodes, percent, index)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = store.written(pairs, "pairs")
-        if turn and pairs.isEmpty() and turn < STAR_ROUNDS:
-            continue
-        good = store.written(confirmed(docs, nodes, pairs, percent), "links")
-        links = good if done is None else links.union(good)
-        done = pairs if done is None else done.union(pairs)
-        roots = store.written(graph.components(links), "roots")
-    return links, roots
-
-
-#: In so many rounds a key's nodes are held against one node of it only, each time another one.
-STAR_ROUNDS = 2
-
-
-def _star(apart: DataFrame, turn: int) -> DataFrame:
-    """Each node of a key with the one node whose hash is least in this round, if that's in another component."""
-    order = F.struct(F.xxhash64(F.lit(turn), "node").alias("by"), "node", "root")
-    hubs = apart.groupBy("key").agg(F.min(order).alias("hub"))
-    return apart.join(hubs, "key").where("hub.root <> root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-
-
-def _rest(apart: DataFrame) -> DataFrame:
-    """Each node outside its key's largest component with every node of the key's other components."""
-    counts = apart.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("top"))
-    outside = apart.join(largest, "key").where("root <> top").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    # Of two nodes outside, one direction is enough.
-    met = outside.join(apart.join(largest, "key"), "key").where("x_root <> root and (root = top or x < node)")
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    sketches = [F.col("sketch")[i].alias(f"s{i}") for i in range(index.bits // 64)]
+    members = keyed.join(shared, "key").join(nodes.select("node", F.col("size").alias("n"), *sketches), "node")
+    members = store.written(members, "members")
+
+    first = store.written(_star(members, percent, index), "pairs")
+    links = store.written(confirmed(docs, nodes, first, percent), "links")
+    roots = store.written(graph.components(links), "roots")
+
+    apart = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = store.written(_rest(apart, percent, index), "pairs").join(first, ["a", "b"], "left_anti")
+    if rest.isEmpty():
+        return links, roots
+    links = links.union(store.written(confirmed(docs, nodes, store.written(rest, "pairs"), percent), "links"))
+    return links, store.written(graph.components(links), "roots")
+
 
+def _other_side(members: DataFrame, index: Index) -> DataFrame:
+    """The same columns under the names of the other set."""
+    names = {"node": "other", "n": "m"} | {f"s{i}": f"t{i}" for i in range(index.bits // 64)}
+    return members.withColumnsRenamed(names)
 
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int, index: Index) -> DataFrame:
-    """The pairs whose set sizes allow the similarity and whose signatures aren't too far apart."""
-    left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("x"), F.col("size").alias("m"))
-    right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("y"), F.col("size").alias("n"))
-    met = pairs.join(left, "a").join(right, "b").where(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
-    return met.where(distance("x", "y", index.slots) <= index.farthest).select("a", "b")
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _star(members: DataFrame, percent: int, index: Index) -> DataFrame:
+    """Each node of a key with one node of that key: that with the least hash of both."""
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node"), "node")).alias("hub")).select("key", F.col("hub.node").alias("node"))
+    hubs = _other_side(hubs.join(members, ["key", "node"]), index).withColumnRenamed("key", "_key")
+    return _pairs(members.join(hubs, (F.col("key") == F.col("_key")) & (F.col("node") != F.col("other")) & may_link(percent, index.bits)))
+
+
+def _rest(apart: DataFrame, percent: int, index: Index) -> DataFrame:
+    """Each node outside its key's largest component with every node of the key's other components."""
+    counts = apart.groupBy("key", "root").agg(F.count("*").alias("size"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"))
+    largest = largest.where("roots > 1").select("key", F.col("top.root").alias("top"))
+    open_ = store.written(apart.join(largest, "key"), "apart")
+    outside = _other_side(open_.where("root <> top"), index).drop("top").withColumnsRenamed({"root": "other_root", "key": "_key"})
+    # Of two nodes outside, one direction is enough.
+    once = (F.col("root") != F.col("other_root")) & ((F.col("root") == F.col("top")) | (F.col("other") < F.col("node")))
+    return _pairs(open_.join(outside, (F.col("key") == F.col("_key")) & once & may_link(percent, index.bits)))
 
 
 def kept_documents(docs: DataFrame, percent: int = 75, index: Index = Index()) -> DataFrame:

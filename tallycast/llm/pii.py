@@ -81,6 +81,15 @@ def located(text: Column, pattern: str) -> Column:
     return F.aggregate(both, state, step, lambda have: have["found"])
 
 
+def _base_spans(kind: str, place: int) -> Column:
+    valid = F.filter(kind, lambda x: _valid(kind, x["match"]))
+    return F.transform(valid, lambda x: F.struct(F.lit(place).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+
+def _count(found: str, place: int) -> Column:
+    return F.size(F.filter(found, lambda x: x["kind"] == place)).cast("long")
+
+
 def scanned(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
     """(doc_id, text_hash, base, candidates) for each row: base spans as (kind, start, end), candidates with their contexts.
 
@@ -94,10 +103,7 @@ def scanned(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
         *[F.when(text.contains("@") if kind == "email" else digit, located(text, pattern)).otherwise(none).alias(kind) for kind, pattern in PATTERNS.items()],
         F.when(digit, located(text, CANDIDATE)).otherwise(none).alias("tokens"),
     )
-    kinds = [
-        F.transform(F.filter(kind, lambda x, kind=kind: _valid(kind, x["match"])), lambda x, i=i: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-        for i, kind in enumerate(PATTERNS)
-    ]
+    kinds = [_base_spans(kind, i) for i, kind in enumerate(PATTERNS)]
     with_base = found.select("doc_id", "text_hash", "text", F.concat(*kinds).alias("base"), F.filter("tokens", lambda x: (F.length(x["match"]) >= bootstrap.shortest) & x["match"].rlike("[0-9]")).alias("tokens"))
 
     def context(x: Column) -> Column:
@@ -167,7 +173,7 @@ def listed(found: Column) -> Column:
 def report(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id), a row for each row of ``docs``."""
     found = spans(docs, bootstrap)
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
+    counts = [_count("base", i).alias(f"n_{kind}") for i, kind in enumerate(PATTERNS)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"), (F.size("all") - F.size("base")).cast("long").alias("n_id"))
 
 

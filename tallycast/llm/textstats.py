@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import words
+from .words import window_hash, words
 
 WINDOW = 8
 
@@ -19,8 +19,8 @@ def counted(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     read = docs.select(*keep, text.alias("_text"), words(text).alias("_words"), lines.alias("_lines"))
-    starts = F.sequence(F.lit(1), F.size("_words") - WINDOW + 1)
-    hashes = F.when(F.size("_words") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW)))))
+    starts = F.sequence(F.lit(0), F.size("_words") - WINDOW)
+    hashes = F.when(F.size("_words") >= WINDOW, F.transform(starts, lambda i: window_hash("_words", i, WINDOW)))
     counts = read.select(
         *keep,
         F.size("_words").cast("long").alias("n_words"),

@@ -24,3 +24,11 @@ def lowered(text: Column) -> Column:
 def words(text: Column, pattern: str = SPACED) -> Column:
     """The words of a text in order; none for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def window_hash(array: str, start: Column, width: int) -> Column:
+    """Hash of the ``width`` words from the 0-based ``start`` on, or of as many as are left.
+
+    Each word is taken by its place: ``slice`` inside a lambda copies the whole array every time.
+    """
+    return F.xxhash64(*[F.get(array, start + i) for i in range(width)])
