@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .quality_rules import CUTOFFS, Risk
+from .urls import RULES, Prior
+
 #: Words between ASCII white space, A-Z lower-cased. DuckDB's lower() knows more letters, so translate() does it.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+')".format(upper=UPPER, lower=LOWER)
@@ -26,6 +29,130 @@ SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, l.component_id,
 FROM sets s JOIN least l ON l.node = s.doc_id
 """
 
+
+_PRIOR = Prior()
+
+
+def _shrunk(level: str, parent: str | None) -> str:
+    """A level's groups with the beta posterior under their parent's mean."""
+    keys = f"b.{level}" + (f", b.{parent}" if parent else "")
+    mean = "p.mean" if parent else "(SELECT (coalesce(sum(k), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) FROM base)"
+    source = f"base b JOIN {parent}_post p ON p.{parent} = b.{parent}" if parent else "base b"
+    return f"""
+{level}_sum AS (SELECT {keys}, sum(b.n)::DOUBLE AS n, sum(b.k)::DOUBLE AS k, min({mean}) AS m FROM {source} GROUP BY {keys}),
+{level}_weight AS (
+  SELECT 1 / least(greatest(CASE WHEN sum(n * (n - 1) * m * (1 - m)) <> 0
+      THEN (sum((k - n * m) * (k - n * m)) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)) ELSE 0.0 END, {_PRIOR.least}), {_PRIOR.most}) - 1 AS w
+  FROM {level}_sum),
+{level}_post AS (SELECT s.*, k + w * m AS alpha, n - k + w * (1 - m) AS beta, (k + w * m) / (n + w) AS mean FROM {level}_sum s, {level}_weight)"""
+
+
+def _rule() -> str:
+    whens = []
+    for rule, _ in sorted(RULES, key=lambda r: (-len(r[0]), r[0])):
+        at, _, begin = rule.partition("/")
+        whens.append(f"WHEN (host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '/{begin}') THEN '{rule}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+HOST_REPUTATION = f"""
+WITH cut AS (SELECT page_id, url, strpos(url, '://') AS mark FROM pages),
+split AS (
+  SELECT page_id, CASE WHEN mark > 0 THEN translate(regexp_extract(url[mark + 3:], '^[^/?#]*'), '{UPPER}', '{LOWER}') ELSE '' END AS host,
+    CASE WHEN mark > 0 THEN regexp_extract(url[mark + 3:], '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM cut),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS faulty FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+outcomes AS (
+  SELECT s.page_id, m.faulty FROM split s JOIN marks m ON m.doc_id = try_cast(regexp_extract(s.path, '/([0-9]{{1,18}})(?:\\.html|/)?$', 1) AS BIGINT)),
+base AS (
+  SELECT s.host, array_to_string(list_reverse(list_reverse(string_split(s.host, '.'))[1:2]), '.') AS domain, string_split(s.host, '.')[-1] AS suffix,
+    count(o.faulty)::DOUBLE AS n, coalesce(sum(o.faulty), 0)::DOUBLE AS k
+  FROM split s LEFT JOIN outcomes o ON o.page_id = s.page_id GROUP BY s.host),
+{_shrunk("suffix", None)},{_shrunk("domain", "suffix")},{_shrunk("host", "domain")},
+ruled AS (
+  SELECT s.page_id, s.host, s.path, {_rule().replace("host", "s.host").replace("path", "s.path")} AS rule,
+    1 / (1 + exp(-(ln(p.alpha / p.beta) - {_PRIOR.z} * sqrt(1 / p.alpha + 1 / p.beta)))) AS bound
+  FROM split s JOIN host_post p ON p.host = s.host)
+SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES)} WHEN bound > {_PRIOR.worst} THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""
+
+_VALUES = {
+    "symbols": "CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END",
+    "dup_lines": "CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END",
+    "repeats": "CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END",
+    "long_words": "CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END",
+    "short_words": "-(CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END)",
+}
+_GRID = ", ".join(f"('{name}', {place}, CAST({cut} AS DOUBLE))" for name, cuts in CUTOFFS.items() for place, cut in enumerate(cuts))
+_RISK = Risk()
+_P = f"({_RISK.rate} / {len(_VALUES)})"
+_TAIL = f"list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P}) + (n - i) * ln(1 - {_P})) FOR i IN range(0, k + 1)])"
+
+CONTROLLED_RULES = rf"""
+WITH worded AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w FROM worded, unnest(range(1, len(words) - 6)) AS r(i)),
+twice AS (SELECT doc_id, w FROM windows GROUP BY doc_id, w HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM windows JOIN twice USING (doc_id, w), unnest(range(0, 8)) AS r(j) GROUP BY doc_id),
+stats AS (
+  SELECT d.doc_id, d.lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM worded d LEFT JOIN repeated r ON r.doc_id = d.doc_id),
+marked AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM stats),
+each AS ({" UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{name}' AS rule, {value} AS value FROM marked" for name, value in _VALUES.items())}),
+grid(rule, place, cutoff) AS (VALUES {_GRID}),
+tried AS (
+  SELECT e.lang, e.rule, g.place, g.cutoff, count(*) AS n, count(*) FILTER (e.value > g.cutoff) AS k
+  FROM each e JOIN grid g ON g.rule = e.rule WHERE NOT e.base_failed AND e.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+  GROUP BY e.lang, e.rule, g.place, g.cutoff),
+passed AS (
+  SELECT *, CASE WHEN k > n * {_P} THEN FALSE ELSE {_TAIL} <= {_RISK.doubt} / ({len(_VALUES)} * (SELECT count(DISTINCT coalesce(lang, '?')) FROM tried)) END AS ok FROM tried),
+proven AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY place) AS all_ok FROM passed),
+cuts AS (SELECT lang, rule, min(cutoff) AS cutoff FROM proven WHERE all_ok GROUP BY lang, rule),
+rejected AS (SELECT DISTINCT e.doc_id FROM each e JOIN cuts c ON c.lang IS NOT DISTINCT FROM e.lang AND c.rule = e.rule AND e.value > c.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM marked
+"""
+
+WARC_ROUND_TRIP = """
+WITH paid AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digested AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS bytes, sha1(payload) AS hex FROM paid),
+named AS (
+  SELECT page_id, bytes, array_to_string([
+      array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((CAST('0x' || hex[g * 5 + 1:g * 5 + 5] AS BIGINT) >> s) & 31) + 1] FOR s IN [15, 10, 5, 0]], '')
+      FOR g IN range(0, 8)], '') AS digest FROM digested),
+firsts AS (SELECT digest, bytes, max(page_id) AS original FROM named GROUP BY digest, bytes)
+SELECT n.page_id, n.bytes AS payload_bytes, n.digest AS payload_digest,
+  CASE WHEN n.page_id = f.original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n.page_id <> f.original THEN f.original END AS refers_to
+FROM named n JOIN firsts f ON f.digest = n.digest AND f.bytes = n.bytes
+"""
+
+_LETTERED = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+BENCHMARK_HITS = f"""
+WITH worded AS (SELECT doc_id, {_LETTERED} AS words FROM documents),
+items AS (SELECT item_id, {_LETTERED} AS words FROM benchmark),
+grams AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[i:i + 9], ' ') AS w
+  FROM items, unnest(range(1, greatest(len(words) - 8, 2))) AS r(i) WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT size FROM grams),
+windows AS (
+  SELECT doc_id, i, s.size, array_to_string(words[i:i + s.size - 1], ' ') AS w FROM worded, sizes s, unnest(range(1, len(words) - s.size + 2)) AS r(i)),
+found AS (SELECT n.doc_id, n.i, n.size, g.item_id FROM windows n JOIN grams g ON g.w = n.w AND g.size = n.size),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM found, unnest(range(0, size)) AS r(j) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM worded d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
+"""
+
 ORACLES = {
+    "op2_host_reputation": HOST_REPUTATION,
     "op3_near_duplicates": NEAR_DUPLICATES,
+    "op4_controlled_rules": CONTROLLED_RULES,
+    "op7_warc_round_trip": WARC_ROUND_TRIP,
+    "op8_benchmark_hits": BENCHMARK_HITS,
 }

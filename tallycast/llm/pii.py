@@ -64,21 +64,41 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+#: Matches are placed in blocks, as an array that grows by one is copied each time.
+BLOCK = 256
+FOUND = "array<struct<start:int,end:int,match:string,gap:string,after:string>>"
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match) of all leftmost matches that don't overlap; code points, end exclusive."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    both = F.arrays_zip(between.alias("gap"), matches.alias("match"))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    """(gap, match) of all leftmost matches that don't overlap, each with the text between it and the one before; the last is the text
+    behind all matches, without a match."""
+    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.arrays_zip(between.alias("gap"), matches.alias("match"))
+
+
+def placed(pieces: str) -> Column:
+    """The matches of :func:`located`, a column: (start, end, match, gap, after), the ends in code points and exclusive."""
+    n = F.size(pieces) - 1
+    empty = F.array().cast(FOUND)
+
+    def within(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+        return F.aggregate(F.slice(pieces, block * BLOCK + 1, F.least(F.lit(BLOCK), n - block * BLOCK)), start, step)
 
     def step(have: Column, piece: Column) -> Column:
         start = have["at"] + F.length(piece["gap"])
         end = start + F.length(piece["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match"))
-        return F.when(piece["match"].isNull(), have).otherwise(F.struct(end.alias("at"), F.concat(have["found"], F.array(span)).alias("found")))
+        span = F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("match"), piece["gap"].alias("gap"), F.lit(None).cast("string").alias("after"))
+        return F.struct(end.alias("at"), F.concat(have["found"], F.array(span)).alias("found"))
+
+    def shift(have: Column, block: Column) -> Column:
+        moved = F.transform(block["found"], lambda x: F.struct((x["start"] + have["at"]).alias("start"), (x["end"] + have["at"]).alias("end"), x["match"].alias("match"), x["gap"].alias("gap"), x["after"].alias("after")))
+        return F.struct((have["at"] + block["at"]).alias("at"), F.concat(have["blocks"], F.array(moved)).alias("blocks"))
 
-    return F.aggregate(both, state, step, lambda have: have["found"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), within)
+    whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("blocks")), shift, lambda have: F.flatten(have["blocks"]))
+    with_after = F.transform(whole, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), x["gap"].alias("gap"), F.get(pieces, i + 1)["gap"].alias("after")))
+    return F.when(n > 0, with_after).otherwise(empty)
 
 
 def _base_spans(kind: str, place: int) -> Column:
@@ -97,22 +117,22 @@ def scanned(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     digit = text.rlike("[0-9]")
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    none = F.array().cast("array<struct<gap:string,match:string>>")
     found = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"),
+        "doc_id", F.xxhash64("text").alias("text_hash"),
         *[F.when(text.contains("@") if kind == "email" else digit, located(text, pattern)).otherwise(none).alias(kind) for kind, pattern in PATTERNS.items()],
         F.when(digit, located(text, CANDIDATE)).otherwise(none).alias("tokens"),
     )
+    found = found.select("doc_id", "text_hash", *[placed(kind).alias(kind) for kind in [*PATTERNS, "tokens"]])
     kinds = [_base_spans(kind, i) for i, kind in enumerate(PATTERNS)]
-    with_base = found.select("doc_id", "text_hash", "text", F.concat(*kinds).alias("base"), F.filter("tokens", lambda x: (F.length(x["match"]) >= bootstrap.shortest) & x["match"].rlike("[0-9]")).alias("tokens"))
+    long_enough = F.filter("tokens", lambda x: (F.length(x["match"]) >= bootstrap.shortest) & x["match"].rlike("[0-9]"))
+    with_base = found.select("doc_id", "text_hash", F.concat(*kinds).alias("base"), long_enough.alias("tokens"))
 
     def context(x: Column) -> Column:
-        before = F.substring("text", F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40)))
-        after = F.substring("text", x["end"] + 1, F.lit(40))
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("token"),
-            F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("left"),
-            F.lower(F.regexp_extract(after, r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)).alias("right"),
+            F.lower(F.regexp_extract(x["gap"], r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$", 1)).alias("left"),
+            F.lower(F.regexp_extract(x["after"], r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,40})", 1)).alias("right"),
             F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])).alias("known"),
         )
 

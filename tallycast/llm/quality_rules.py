@@ -21,15 +21,26 @@ def _share(part: str, whole: str) -> Column:
 
 
 
+#: Each rule rejects what exceeds its cutoff; the cutoffs are tried from the loosest to the strictest.
+CUTOFFS: dict[str, list[float]] = {
+    "symbols": [x / 100 for x in range(60, 0, -2)],
+    "dup_lines": [x / 100 for x in range(95, 0, -5)],
+    "repeats": [x / 200 for x in range(60, 0, -2)],
+    "long_words": [x / 4 for x in range(80, 16, -1)],
+    "short_words": [-x / 4 for x in range(2, 20)],
+}
+
+
 def rules() -> dict[str, tuple[Column, list[float]]]:
-    """Name to (statistic, cutoffs from the loosest to the strictest)."""
-    return {
-        "symbols": (_share("n_symbols", "word_chars"), [x / 100 for x in range(60, 0, -2)]),
-        "dup_lines": (_share("n_dup_lines", "n_lines"), [x / 100 for x in range(95, 0, -5)]),
-        "repeats": (_share("n_repeat_words", "n_words"), [x / 200 for x in range(60, 0, -2)]),
-        "long_words": (_share("word_chars", "n_words"), [x / 4 for x in range(80, 16, -1)]),
-        "short_words": (-_share("word_chars", "n_words"), [-x / 4 for x in range(2, 20)]),
+    """Name to (statistic, cutoffs)."""
+    values = {
+        "symbols": _share("n_symbols", "word_chars"),
+        "dup_lines": _share("n_dup_lines", "n_lines"),
+        "repeats": _share("n_repeat_words", "n_words"),
+        "long_words": _share("word_chars", "n_words"),
+        "short_words": -_share("word_chars", "n_words"),
     }
+    return {name: (value, CUTOFFS[name]) for name, value in values.items()}
 
 
 @dataclass(frozen=True)
