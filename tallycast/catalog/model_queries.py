@@ -764,9 +764,22 @@ def by_code_pipeline(spark, folder):
     return rows.select("entity", "place", "status", "method", "model", "months", "reason", "path")
 
 
-@query("whole_ledger_pipeline")
+POOLED_BASE = BASE.replace("CAST(l_suppkey AS VARCHAR) AS entity", "'ALL' AS entity")
+
+
+@query(
+    "whole_ledger_pipeline",
+    f"""WITH RECURSIVE {POOLED_BASE}, {PROFILE}, {SELECTED}
+    SELECT path.entity, model, 'model' AS method, h, CAST(path.last_month + to_months(h) AS DATE) AS month,
+      round(y[-1] / 1e3, 1) AS value_thousands, round((y[-1] - 1.959963984540054 * sqrt(s2 * var)) / 1e3, 1) AS lower_thousands,
+      round((y[-1] + 1.959963984540054 * sqrt(s2 * var)) / 1e3, 1) AS upper_thousands
+    FROM path JOIN prof ON prof.entity = path.entity WHERE h BETWEEN 1 AND {SAFE}""",
+)
 def whole_ledger_pipeline(spark, folder):
-    return pipeline.forecast_rows(pipeline.whole_ledger(supplier_ledger(spark, folder)))
+    rows = pipeline.forecast_rows(pipeline.whole_ledger(supplier_ledger(spark, folder)))
+    # The pooled sums are large, so they're shown in thousands.
+    bands = [F.round(F.col(c) / 1e3, 1).alias(f"{c}_thousands") for c in ("value", "lower", "upper")]
+    return rows.select("entity", "model", "method", "h", "month", *bands)
 
 
 @query(

@@ -47,7 +47,6 @@ MARGIN_POINTS = 2.0
 MARGIN_SHARE = 0.10
 SIGMA_MEDIUM = 2.0
 SIGMA_HIGH = 3.0
-MAX_FILE_BYTES = 50 * 1024 * 1024
 LOOK_BACK = 12
 HOLD_OUT = 12
 FINAL_MONTHS = 18

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 # Exact money: sums do not depend on the order or the partitioning of the rows.
 MONEY = "decimal(20,4)"
+# Wide enough to see whether an amount has more places than money keeps.
+EXACT = "decimal(38,12)"
 
 
 def parse_amount(c: Column) -> Column:
-    """Drop blanks and no-break blanks, read a comma as the decimal point; null when not a number."""
-    return F.translate(c.cast("string"), ",\u00a0 ", ".").try_cast(MONEY)
+    """Drop blanks and no-break blanks, read a comma as the decimal point; null when not a number, or when money can't
+    hold it exactly (16 digits before the point, four behind it)."""
+    cell = F.translate(c.cast("string"), ",\u00a0 ", ".")
+    exact, kept = cell.try_cast(EXACT), cell.try_cast(MONEY)
+    return F.when(kept == exact, kept)
 
 
 def date_parts(c: Column) -> Column:

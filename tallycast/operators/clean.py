@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.roles import Roles
 
-LARGEST = 1e15
-
 
 def source_day_first(raw: DataFrame, date: str, prefer_day_first: bool, source: str | None = None) -> DataFrame:
     """The order of day and month, decided once per source from all its cells.
@@ -36,27 +34,26 @@ def tag_rows(
     date_order: str = "day_first",
     entity: Column | None = None,
     source: str | None = None,
-    decided: Column | None = None,
+    surplus: Column | None = None,
 ) -> DataFrame:
     """(entity, raw_date, raw_amount, date, amount, reason); ``reason`` is null for a good row.
 
     ``date_order`` is ``day_first`` or ``month_first`` (per cell, ISO always wins), or
-    ``auto_day_first`` / ``auto_month_first`` (decided once per source, see ``source_day_first``). ``decided`` is a
-    column of ``raw`` that holds the decision already.
+    ``auto_day_first`` / ``auto_month_first`` (decided once per source, see ``source_day_first``). ``surplus`` is the raw
+    line where a line has too many cells to know which is which; it is rejected, with the line as its amount.
     """
     key = entity if entity is not None else F.trim(F.col(roles.entity).cast("string")) if roles.entity else F.lit("ALL")
     kept = [F.col(source).alias("source_key")] if source else []
-    if decided is not None:
-        kept = [decided.alias("day_first")]
+    line = surplus if surplus is not None else F.lit(None).cast("string")
     rows = raw.select(
         *kept,
         key.alias("entity"),
         F.col(roles.date).alias("raw_date"),
-        F.col(roles.amount).alias("raw_amount"),
+        F.coalesce(line, F.col(roles.amount).cast("string")).alias("raw_amount"),
+        line.isNotNull().alias("too_long"),
     )
-    if decided is not None:
-        day_first: Column | bool = F.col("day_first")
-    elif date_order.startswith("auto_"):
+    day_first: Column | bool
+    if date_order.startswith("auto_"):
         order = source_day_first(raw, roles.date, date_order == "auto_day_first", source)
         rows = rows.join(order, "source_key") if source else rows.crossJoin(F.broadcast(order))  # one row
         day_first = F.col("day_first")
@@ -70,15 +67,16 @@ def tag_rows(
         text.date_from_parts(F.col("parts"), day_first).alias("date"),
         text.parse_amount(F.col("raw_amount")).alias("amount"),
     )
-    tagged = split.select("entity", "raw_date", "raw_amount", F.explode(F.array(parsed)).alias("p")).select(
-        "entity", "raw_date", "raw_amount", "p.date", "p.amount"
+    tagged = split.select("entity", "raw_date", "raw_amount", "too_long", F.explode(F.array(parsed)).alias("p")).select(
+        "entity", "raw_date", "raw_amount", "p.date", "p.amount", "too_long"
     )
     reason = (
-        F.when(F.col("entity").isNull(), "no entity")
+        F.when(F.col("too_long"), "surplus cells")
+        .when(F.col("entity").isNull(), "no entity")
         .when(F.col("date").isNull(), "bad date")
         .when(F.col("amount").isNull(), "bad amount")
     )
-    return tagged.withColumn("reason", reason)
+    return tagged.withColumn("reason", reason).drop("too_long")
 
 
 def good_rows(tagged: DataFrame) -> DataFrame:
@@ -92,14 +90,30 @@ def rejected_rows(tagged: DataFrame) -> DataFrame:
 
 
 def typed_ledger(df: DataFrame, entity: Column, date: Column, amount: Column) -> DataFrame:
-    """A ledger out of columns that are typed already. The filters are on the plain columns, so that they
-    reach the scan; an amount that is no finite number of money size is dropped."""
-    present = entity.isNotNull() & date.isNotNull() & amount.between(-LARGEST, LARGEST)
-    return df.filter(present).select(
+    """A ledger out of columns that are typed already: the good rows of ``tag_typed``. The null tests are on the plain
+    columns, so that they reach the scan."""
+    present = entity.isNotNull() & date.isNotNull() & amount.isNotNull()
+    return good_rows(tag_typed(df.filter(present), entity, date, amount))
+
+
+def tag_typed(df: DataFrame, entity: Column, date: Column, amount: Column) -> DataFrame:
+    """Typed columns in the form of ``tag_rows``: a row without an entity, a date or an amount that fits keeps its reason.
+
+    Amounts are rounded to four decimals, as typed sources are computed ones; NaN, infinite and too large ones are bad.
+    """
+    tagged = df.select(
         entity.cast("string").alias("entity"),
+        date.cast("string").alias("raw_date"),
+        amount.cast("string").alias("raw_amount"),
         date.cast("date").alias("date"),
-        amount.cast(text.MONEY).alias("amount"),
+        amount.try_cast(text.MONEY).alias("amount"),
     )
+    reason = (
+        F.when(F.col("entity").isNull(), "no entity")
+        .when(F.col("date").isNull(), "bad date")
+        .when(F.col("amount").isNull(), "bad amount")
+    )
+    return tagged.withColumn("reason", reason)
 
 
 def pooled(ledger: DataFrame) -> DataFrame:
@@ -108,7 +122,8 @@ def pooled(ledger: DataFrame) -> DataFrame:
 
 
 def one_code(ledger: DataFrame, code: str) -> DataFrame:
-    """The rows of one entity; the filter reaches the scan."""
+    """The rows of one entity. The filter runs where the rows are read; a source whose key is a plain text column, or that is
+    partitioned by it, is pruned by filtering that column before."""
     return ledger.filter(F.trim(F.col("entity")) == code)
 
 

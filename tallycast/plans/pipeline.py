@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.calendars import future_months
-from ..functions.text import iso_date
+from ..functions.text import iso_date, safe_key
 from ..operators import anomaly, clean, decompose, forecast, horizon, models, select, series, unitroot
 
 RULES = {
@@ -166,8 +166,9 @@ def anomaly_rows(results: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame, out_path: str = "") -> DataFrame:
-    """The audit table: what became of each entity and where its forecast lies."""
-    place = F.when(F.col("status") == "ok", F.concat(F.lit(out_path), F.col("entity"))).otherwise("")
+    """The audit table: what became of each entity and where its forecast lies; empty where none was made."""
+    made = (F.col("status") == "ok") & (F.size("path") > 0)
+    place = F.when(made, F.concat(F.lit(out_path), safe_key(F.col("entity")))).otherwise("")
     return results.select("entity", "status", "method", place.alias("out_path"))
 
 

@@ -29,12 +29,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
 
-    Used where one fitted table feeds several writes. The shared folder survives the loss of an
-    executor; a temporary folder is taken only when the session names none (local tests).
+    Used where one fitted table feeds several writes. The shared folder survives the loss of an executor. Only a session whose
+    tasks all run on this machine may name none; it gets a temporary folder. On a cluster that would be a different
+    folder for each executor, so there it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallycast-"))
     return df.checkpoint()

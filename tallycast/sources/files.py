@@ -1,59 +1,73 @@
-"""CSV ledgers in files: guards, delimiter, columns, one scan per kind of header."""
+"""CSV ledgers in files: guards, delimiter, columns, one reader per kind of file."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import fixed, roles, text
+from ..functions import roles, text
 from ..operators import clean
 
 STEM = r"([^/]+?)(\.[^./]*)?$"
+FACTS = "file_path string, stem string, file_size long, delimiter string, header string, reason string"
 
 
-def inspect_files(spark: SparkSession, path: str, max_bytes: int | None = fixed.MAX_FILE_BYTES) -> DataFrame:
+def inspect_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """One row per file: name, stem, size, delimiter, header, and the reason if the file is refused.
 
-    Only the first line of each file takes part: the lines are numbered by their place in the file and
-    the first one is kept by a partial aggregate, so no file passes through one task. Spark leaves files
-    without a single byte out of every scan; they show up neither here nor in the ledger.
+    The first line of a file is that with the least place. Per file, only its hash and its place are
+    kept while the lines pass by (fixed width, so nothing is sorted); the text of a header is fetched once for each
+    distinct one. What comes to the driver is a row per file, as many as the listing that Spark holds there anyway; the
+    listing also names the files without a byte, which no scan sees. ``max_bytes`` refuses larger files; there is no
+    bound unless the caller sets one.
     """
-    lines = spark.read.text(path).select(
+    scan = spark.read.text(path)
+    lines = scan.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("block"),
         "value",
     )
     # Spark reads a block from its start: the first row of block 0 is the header.
-    first = (
-        lines.filter(F.col("block") == 0)
-        .groupBy("file_path")
-        .agg(F.first("value").alias("header"), F.max("file_size").alias("file_size"))
-    )
-    sizes = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), F.col("length"))
-    files = sizes.join(first, "file_path", "left")
-    reason = F.when(F.trim("header") == "", "empty header")
-    if max_bytes is not None:
-        reason = reason.when(F.col("length") > max_bytes, "file too large")
-    return files.select(
-        "file_path",
-        F.regexp_extract(F.regexp_extract("file_path", "([^/]+)$", 1), STEM, 1).alias("stem"),
-        F.col("length").alias("file_size"),
-        F.when(F.contains(F.col("header"), F.lit(";")), ";").otherwise(",").alias("delimiter"),
-        "header",
-        reason.alias("reason"),
-    )
+    first = lines.filter(F.col("block") == 0).select("file_path", "file_size", F.xxhash64("value").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    facts = first.groupBy("file_path").agg(F.min_by("hash", "place").alias("hash"), F.max("file_size").alias("file_size")).collect()
+    hashes = sorted({f["hash"] for f in facts})
+    wanted = lines.filter((F.col("block") == 0) & F.xxhash64("value").isin(hashes))
+    headers = {r["hash"]: r["value"] for r in wanted.groupBy(F.xxhash64("value").alias("hash")).agg(F.min("value").alias("value")).collect()} if hashes else {}
+    rows = []
+    for fact in facts:
+        header = headers[fact["hash"]]
+        reason = "empty header" if not header.strip() else "file too large" if max_bytes is not None and fact["file_size"] > max_bytes else None
+        rows.append((fact["file_path"], _stem(fact["file_path"]), fact["file_size"], ";" if ";" in header else ",", header, reason))
+    seen = {fact["file_path"].rpartition("/")[2] for fact in facts}
+    # The listing and the scan spell the scheme in different ways, the names in the same.
+    rows += [(name, _stem(name), 0, None, None, "empty file") for name in scan.inputFiles() if name.rpartition("/")[2] not in seen]
+    return spark.createDataFrame(rows, FACTS)
+
+
+def _stem(path: str) -> str:
+    return re.search(STEM, unquote(path))[1]
+
+
+def _readable(file_path: str) -> str:
+    """The name of a file as a reader takes it: without URI escapes, and with the signs of patterns escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file_path))
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], delimiter: str, columns: list[str]) -> DataFrame:
-    """Text columns only, named by the caller (no pass to infer them); broken lines are kept as far as they can
-    be read."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    """Text columns only, named by the caller (no pass to infer them), and ``surplus``: the raw line where it has more cells
+    than there are columns. Lines with fewer are kept as far as they can be read."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_line"]])
     reader = spark.read.schema(schema).option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE")
-    return reader.option("encoding", "UTF-8").csv(paths)
+    # Without all columns the parser doesn't count the cells.
+    rows = reader.option("columnNameOfCorruptRecord", "_line").option("columnPruning", False).option("encoding", "UTF-8").csv(paths)
+    cells = F.size(F.split(F.regexp_replace("_line", f"[{delimiter}\\s]+$", ""), re.escape(delimiter)))
+    return rows.withColumn("surplus", F.when(cells > len(columns), F.col("_line"))).drop("_line")
 
 
 def read_ledger(
@@ -63,47 +77,60 @@ def read_ledger(
     date_order: str = "auto_month_first",
     positional: str | None = None,
     entity_from_file: bool = True,
-    max_bytes: int | None = fixed.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(tagged rows, refused files). The files are grouped by their header and each group is one scan, however
-    many files it has; the number of distinct headers is what comes to the driver.
+    """(tagged rows, refused files). Files of one header and one order of dates are read together, each by its name.
+
+    So a row knows its columns, its order of dates and its entity where it's read; no row is joined to facts about its
+    file, and nothing is exchanged before the first sum. Every file is scanned for its header, where
+    the order of dates is found out for its dates, and for its rows, however many kinds of headers there are.
 
     With ``entity_from_file`` the entity is the stem of the file name, else the entity column of the ledger.
-    A file whose columns cannot play the needed roles is refused, the others are read.
+    A file whose columns cannot play the needed roles is refused, the others are read. A line with more cells than the
+    header is rejected as ``surplus cells``, with the whole line as its amount.
     """
-    files = inspect_files(spark, path, max_bytes)
+    files = sorted(inspect_files(spark, path, max_bytes).collect(), key=lambda f: (f["stem"], f["file_path"]))
     if limit is not None:
-        kept = files.select("stem").distinct().orderBy("stem").limit(limit)
-        files = files.join(kept, "stem", "left_semi")
-    usable = files.filter(F.col("reason").isNull())
-    kinds = usable.select("header", "delimiter").distinct().collect()
-    parts, unread = [], []
-    for kind in kinds:
-        probe = [c.strip().strip('"').strip().lower().lstrip("\ufeff") for c in kind.header.split(kind.delimiter)]
+        stems = sorted({f["stem"] for f in files})[:limit]
+        files = [f for f in files if f["stem"] in stems]
+    refused = [(f["file_path"], f["stem"], f["file_size"], f["reason"]) for f in files if f["reason"] is not None]
+    kinds: dict[tuple[str, str], list] = {}
+    for file in files:
+        if file["reason"] is None:
+            kinds.setdefault((file["header"], file["delimiter"]), []).append(file)
+    parts = []
+    for (header, delimiter), same in kinds.items():
+        columns = [c.strip().strip('"').strip().lower().lstrip("﻿") for c in header.split(delimiter)]
         try:
-            role = roles.detect_roles(probe, style, positional)
+            role = roles.detect_roles(columns, style, positional)
         except roles.MissingColumn as problem:
-            unread.append((kind.header, str(problem)))
+            refused += [(f["file_path"], f["stem"], f["file_size"], str(problem)) for f in same]
             continue
-        same = usable.filter((F.col("header") == kind.header) & (F.col("delimiter") == kind.delimiter))
-        raw = read_csv(spark, path, kind.delimiter, _unique(probe))
-        keyed = raw.withColumn("file_path", F.col("_metadata.file_path"))
-        entity = F.col("stem") if entity_from_file or role.entity is None else None
-        kept, decided = same.select("file_path", "stem"), None
-        if date_order.startswith("auto_"):
-            order = clean.source_day_first(keyed, role.date, date_order == "auto_day_first", "file_path")
-            kept = kept.join(order.withColumnRenamed("source_key", "file_path"), "file_path")
-            decided = F.col("day_first")
-        # What is known per file is put together first, so the rows take part in one join.
-        mine = keyed.join(kept, "file_path")
-        parts.append(clean.tag_rows(mine, role, date_order, entity, decided=decided))
+        names = {f["file_path"]: _readable(f["file_path"]) for f in same}
+        for day_first, paths in _by_order(spark, names, delimiter, _unique(columns), role, date_order).items():
+            raw = read_csv(spark, paths, delimiter, _unique(columns))
+            own = F.url_decode(F.replace(F.regexp_extract(F.col("_metadata.file_name"), STEM, 1), F.lit("+"), F.lit("%2B")))
+            entity = own if entity_from_file or role.entity is None else None
+            order = date_order.removeprefix("auto_") if day_first is None else "day_first" if day_first else "month_first"
+            parts.append(clean.tag_rows(raw, role, order, entity, surplus=F.col("surplus")))
     if not parts:
-        raise roles.MissingColumn(f"no readable ledger under {path}: {unread}")
-    spoilt = spark.createDataFrame(unread, "header string, problem string")
-    refused = files.join(spoilt, "header", "left").withColumn("reason", F.coalesce("reason", "problem"))
-    refused = refused.filter(F.col("reason").isNotNull()).select("file_path", "stem", "file_size", "reason")
-    return reduce(DataFrame.unionByName, parts), refused
+        raise roles.MissingColumn(f"no readable ledger under {path}: {[(r[1], r[3]) for r in refused[:10]]}")
+    refused_rows = spark.createDataFrame(refused, "file_path string, stem string, file_size long, reason string")
+    return reduce(DataFrame.unionByName, parts), refused_rows
+
+
+def _by_order(spark: SparkSession, names: dict[str, str], delimiter: str, columns: list[str], role: roles.Roles, date_order: str) -> dict[bool | None, list[str]]:
+    """The files by their order of day and month; one group where the order is given."""
+    if not date_order.startswith("auto_"):
+        return {None: list(names.values())}
+    keyed = read_csv(spark, list(names.values()), delimiter, columns).withColumn("file_path", F.col("_metadata.file_path"))
+    decided = clean.source_day_first(keyed, role.date, date_order == "auto_day_first", "file_path").collect()
+    orders = {r["source_key"]: r["day_first"] for r in decided}
+    groups: dict[bool | None, list[str]] = {}
+    for file_path, name in names.items():
+        groups.setdefault(orders.get(file_path, date_order == "auto_day_first"), []).append(name)
+    return groups
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -116,7 +143,7 @@ def _unique(names: list[str]) -> list[str]:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of the content of every file."""
+    """SHA-256 of the content of every file. A file is one value here, so files of 2 GB and more don't fit; those belong in smaller parts."""
     content = spark.read.format("binaryFile").load(path)
     return content.select(
         F.col("path").alias("file_path"),

@@ -30,16 +30,18 @@ def split_by_entity(ledger: DataFrame, folder: str) -> None:
 
 
 def write_forecasts(forecasts: DataFrame, folder: str) -> None:
-    """Forecast files per entity, with the established column names."""
+    """Forecast files per entity, with the established column names. Two keys that look alike as file names stay apart by
+    the original key, the inner folder."""
     # Column names of the forecast files.
     rows = forecasts.select(
         safe_key(F.col("entity")).alias("entity_key"),
+        "entity",
         iso_date(F.col("month")).alias("date"),
         F.col("value").alias("prévision"),
         F.col("lower").alias("min_confiance"),
         F.col("upper").alias("max_confiance"),
     )
-    rows.write.mode("overwrite").partitionBy("entity_key").option("header", True).csv(folder)
+    rows.write.mode("overwrite").partitionBy("entity_key", "entity").option("header", True).csv(folder)
 
 
 def write_summary(summary: DataFrame, folder: str) -> None:

@@ -105,25 +105,56 @@ def test_files_round_trip(spark, tmp_path):
     assert rejected == [("B2", "bad date"), ("C3", "bad date")]
     reasons = {r.stem: r.reason for r in refused.collect()}
     assert reasons["E5"] == "file too large" and "no column" in reasons["F6"]
-    assert set(reasons) == {"E5", "F6"}  # D4 has no byte, so no scan ever sees it
+    assert reasons["D4"] == "empty file" and set(reasons) == {"D4", "E5", "F6"}
+    assert {r.entity for r in clean.good_rows(files.read_ledger(spark, str(folder))[0]).collect()} == {"A1", "B2", "E5"}
     hashes = files.file_hashes(spark, str(folder)).collect()
     assert len(hashes) == 5 and all(len(r.file_hash) == 64 for r in hashes)
     limited, _ = files.read_ledger(spark, str(folder), max_bytes=500, limit=1)
     assert {r.entity for r in limited.collect()} == {"A1"}
 
 
+def test_surplus_cells_are_rejected(spark, tmp_path):
+    (tmp_path / "a b[1].csv").write_text("date,montant\n2024-01-01,1000,50\n2024-01-02,7,\n2024-01-03\n2024-01-04,1.00005\n", encoding="utf-8")
+    tagged, refused = files.read_ledger(spark, str(tmp_path))
+    assert [(r.entity, r.amount) for r in clean.good_rows(tagged).collect()] == [("a b[1]", 7)]
+    rejected = {(r.raw_date, r.raw_amount, r.reason) for r in clean.rejected_rows(tagged).collect()}
+    assert rejected == {("2024-01-01", "2024-01-01,1000,50", "surplus cells"), ("2024-01-03", None, "bad amount"), ("2024-01-04", "1.00005", "bad amount")}
+    assert refused.count() == 0
+
+
+def test_no_exchange_before_the_sum(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,montant\n2024-01-01,1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("jour;valeur\n25/01/2024;1\n", encoding="utf-8")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tagged, _ = files.read_ledger(spark, str(tmp_path))
+        plan = clean.good_rows(tagged)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_typed_rows_keep_their_reason(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01", 2e15), ("a", "2024-01-01", float("nan")), (None, "2024-01-01", 1.0), ("a", None, 1.0), ("a", "2024-01-01", 1e18)], "e string, d string, x double")
+    tagged = clean.tag_typed(rows, F.col("e"), F.col("d").try_cast("date"), F.col("x"))
+    assert [float(r.amount) for r in clean.good_rows(tagged).collect()] == [2e15]
+    assert sorted(r.reason for r in clean.rejected_rows(tagged).collect()) == ["bad amount", "bad amount", "bad date", "no entity"]
+
+
 def test_split_and_batch_sinks(spark, tmp_path):
-    ledger = mixed_ledger(spark).unionByName(ledger_of(spark, [("a/b", "2024-01-01", 1), ("a/b", "2024-01-01", 2)]))
+    ledger = mixed_ledger(spark).unionByName(ledger_of(spark, [("a/b", "2024-01-01", 1), ("a/b", "2024-01-01", 2), ("a_b", "2024-01-01", 5)]))
     sinks.split_by_entity(ledger, str(tmp_path / "split"))
     back = spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "split"))
-    row = back.filter("entity_key = 'a_b'").collect()
+    row = back.filter("entity = 'a/b'").collect()
     assert len(row) == 1 and row[0].date == "2024-01-01" and float(row[0].montant) == 3.0
     sinks.run_batch(ledger, str(tmp_path / "run"), months=3)
     out = spark.read.option("header", True).csv(str(tmp_path / "run" / "forecasts"))
-    assert set(out.columns) == {"date", "prévision", "min_confiance", "max_confiance", "entity_key"}
+    assert set(out.columns) == {"date", "prévision", "min_confiance", "max_confiance", "entity_key", "entity"}
+    assert {r.entity for r in out.filter("entity_key = 'a_b'").select("entity").distinct().collect()} == {"a/b", "a_b"}
     assert out.filter("entity_key = 'noise'").count() == 3
     summary = spark.read.option("header", True).csv(str(tmp_path / "run" / "summary"))
-    assert summary.count() == 7 and set(summary.columns) == {"ordonateur", "status", "out_path"}
+    assert summary.count() == 8 and set(summary.columns) == {"ordonateur", "status", "out_path"}
+    assert {r.out_path.rpartition("=")[2] for r in summary.filter("ordonateur in ('a/b', 'a_b')").collect()} == {"a_b"}
 
 
 def test_history_is_written_once(spark, tmp_path):
