@@ -686,11 +686,19 @@ def select_classic(spark, folder):
     return report.withColumn("aic", F.round("aic", 5))
 
 
-@query("select_extended")
+@query(
+    "select_extended",
+    f"""WITH RECURSIVE {BASE}, {CHOSEN}, {SMOOTHED}, all_ AS (
+      SELECT entity, name, place, aic FROM cands
+      UNION ALL SELECT entity, 'HOLT_WINTERS', 100, (n - 12) * ln(sse / (n - 12)) + 32 FROM b2)
+    SELECT entity, name, round(aic, 5) AS score FROM all_
+    QUALIFY row_number() OVER (PARTITION BY entity ORDER BY aic, place) = 1""",
+)
 def select_extended(spark, folder):
     diagnosed = pipeline.diagnosed_series(supplier_ledger(spark, folder))
     scored = models.fit_smoothing(select.service_candidates(diagnosed))
-    return select.extended_choice(select.score_table(scored))
+    chosen = select.extended_choice(select.score_table(scored))
+    return chosen.select("entity", "name", F.round("score", 5).alias("score"))
 
 
 def _ahead(w: str, e: str) -> str:

@@ -75,7 +75,7 @@ def choose_with_margin(candidates: DataFrame) -> DataFrame:
 
 def score_table(candidates: DataFrame) -> DataFrame:
     """Long table (entity, family, place, name, label, score, status) of all candidates, with the
-    smoothing fit as the second family when the column ``smooth`` is there."""
+    smoothing fit, by its own AIC or else its squared error, when the column ``smooth`` is there."""
     entry = F.struct(
         F.lit(AIC_FAMILY).alias("family"),
         F.col("f.place").alias("place"),
@@ -87,11 +87,11 @@ def score_table(candidates: DataFrame) -> DataFrame:
     long = candidates.select("entity", F.explode("fits").alias("f")).select("entity", entry.alias("c"))
     if "smooth" in candidates.columns:
         other = F.struct(
-            F.lit(MSE_FAMILY).alias("family"),
+            F.when(F.col("smooth.aic").isNotNull(), AIC_FAMILY).otherwise(MSE_FAMILY).alias("family"),
             F.lit(100).alias("place"),
             F.lit("HOLT_WINTERS").alias("name"),
             F.lit("HOLT_WINTERS").alias("label"),
-            F.col("smooth.mse").alias("score"),
+            F.coalesce("smooth.aic", "smooth.mse").alias("score"),
             F.when(F.col("smooth").isNull(), "short").otherwise("ok").alias("status"),
         )
         classical = F.transform(
@@ -119,8 +119,11 @@ def rank_scores(scores: DataFrame) -> DataFrame:
 
 
 def extended_choice(scores: DataFrame) -> DataFrame:
-    """The best candidate of each family, ranked within its own kind of score."""
-    return rank_scores(scores).filter((F.col("rank") == 1) & (F.col("status") == "ok"))
+    """One winner per entity: the least AIC of all candidates that have one, smoothing included; a squared error
+    counts only where no candidate has an AIC. ``next_score`` is that of the runner-up of the same kind."""
+    fitted = rank_scores(scores.filter(F.col("status") == "ok")).filter(F.col("rank") == 1)
+    first = W.partitionBy("entity").orderBy(F.col("family") != AIC_FAMILY)
+    return fitted.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn")
 
 
 def model_report(chosen: DataFrame, *carried: str) -> DataFrame:

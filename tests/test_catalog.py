@@ -42,6 +42,6 @@ def test_query_matches_sql(spark, duck, small, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["seasonal_fit", "forecast_selected", "select_extended", "run_history"])
+@pytest.mark.parametrize("name", ["seasonal_fit", "forecast_selected", "run_history"])
 def test_rows_only_queries_run(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
