@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,31 +25,86 @@ class Tokens:
     path: str
     length: int = 2048
     end: int = 0
-    #: So many ids of white-space separated strings are remembered in a task at most.
-    remembered: int = 300_000
+    #: A worker remembers the ids of up to twice so many white-space separated strings, from task to task.
+    remembered: int = 350_000
 
 
-def _pieces(tokens: Tokens):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: A run of letters, then one of ASCII punctuation: as many pieces for the tokenizer as of these aren't empty.
+SIMPLE = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
+
+
+class Words:
+    """Ids of white-space separated strings as bytes. The tokenizer never joins what white space parts, so each is encoded once.
+
+    The strings asked for lately are kept in two generations; when the younger is full, the older is forgotten.
+    """
+
+    def __init__(self, tokens: Tokens):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokens.path)
-        known: dict[bytes, bytes] = {}
+        self.tokenizer, self.most = Tokenizer.from_file(tokens.path), tokens.remembered
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """After this, ``young`` has all of ``words``."""
+        fresh = [w for w in words if w not in self.young]
+        if len(self.young) + len(fresh) > self.most:
+            self.old, self.young = self.young, {}
+            fresh = list(words)
+        unknown = []
+        for w in fresh:
+            known = self.old.get(w)
+            if known is None:
+                unknown.append(w)
+            else:
+                self.young[w] = known
+        for at in range(0, len(unknown), 500):
+            self._encode(unknown[at : at + 500])
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Simple strings are encoded together: each of their pieces ends with a token that ends a word."""
+        simple, counts, others = [], [], []
+        for w in words:
+            text = w.decode()
+            match = SIMPLE.fullmatch(text)
+            if match:
+                simple.append(w)
+                counts.append(bool(match[1]) + bool(match[2]))
+            else:
+                others.append(w)
+        ids = np.array(self.tokenizer.encode(b" ".join(simple).decode(), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == sum(counts):
+            stops = ends[np.cumsum(counts) - 1].tolist() if counts else []
+            for w, start, stop in zip(simple, [0, *stops[:-1]], stops, strict=True):
+                self.young[w] = ids[start:stop].tobytes()
+        else:  # a letter that isn't one for the tokenizer
+            others = words
+        for w in others:
+            self.young[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_WORDS: dict[Tokens, Words] = {}
+
+
+def _pieces(tokens: Tokens):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokens not in _WORDS:
+            _WORDS[tokens] = Words(tokens)
+        known = _WORDS[tokens]
         end = np.array([tokens.end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                # The tokenizer never joins what white space parts, so each string between is encoded once and remembered.
                 words = [(text or b"").split() for text in part.column("text").to_pylist()]
-                fresh = list({w for some in words for w in some if w not in known})
-                if len(known) + len(fresh) > tokens.remembered:
-                    known.clear()
-                    fresh = list({w for some in words for w in some})
-                for word, found in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                    known[word] = np.array(found.ids, "<u4").tobytes()
+                known.learn({w for some in words for w in some})
                 rows = []
                 for place, some in enumerate(words):
-                    ids = b"".join([*map(known.__getitem__, some), end])
+                    ids = b"".join([*map(known.young.__getitem__, some), end])
                     for piece, start in enumerate(range(0, len(ids), 4 * tokens.length)):
                         cut_ids = ids[start : start + 4 * tokens.length]
                         rows.append((place, piece, start // 4, len(cut_ids) // 4, zlib.crc32(cut_ids)))

@@ -217,4 +217,4 @@ def test_filters_reach_the_archives(spark, tmp_path):
     read = spark.read.format("warc").load(str(tmp_path)).where("record_type = 'revisit'")
     assert [r["refers_to"] for r in read.collect()] == ["urn:page:2"]
     plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" not in plan.replace("PushedFilters", "").replace("pushedFilters", "")
+    assert "= revisit" not in plan  # nothing is left to be tested above the source
