@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .words import lowered
 
 #: Fixed rules of the query: (host and path, verdict).
@@ -29,12 +30,12 @@ class Prior:
 
 def host_of(url: Column) -> Column:
     """From after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty if there is none."""
-    return F.coalesce(lowered(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://([^/?#]*)", 1)), F.lit(""))
+    return F.coalesce(lowered(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def suffix_of(host: Column) -> Column:
@@ -97,6 +98,7 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] =
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     marked = outcomes.where("faulty is not null").groupBy("page_id").agg(F.max("faulty").alias("faulty"))
     counts = split.join(marked, "page_id", "left").groupBy("host").agg(F.count("faulty").alias("n"), F.coalesce(F.sum("faulty"), F.lit(0)).alias("k"))
+    counts = store.written(counts, "hosts")  # every level is estimated from these
     hosts = shrunk(counts, prior).select("host", F.col("mean").alias("fault_rate"), lower_bound(F.col("alpha"), F.col("beta"), prior.z).alias("fault_bound"))
     out = split.join(hosts, "host").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.element_at(F.create_map(*[F.lit(x) for pair in rules for x in pair]), F.col("rule")) if rules else F.lit(None).cast("string")
