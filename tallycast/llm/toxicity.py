@@ -32,9 +32,11 @@ class Settings:
     #: Features kept for each category, by how much they tell.
     features: int = 2000
     least_docs: int = 3
+    #: And least log-likelihood ratio: rarer words than this allows tell nothing.
+    least_telling: float = 12.0
     folds: int = 3
-    ridge: float = 3e-4
-    iterations: int = 60
+    ridge: float = 1e-3
+    iterations: int = 25
 
 
 @dataclass
@@ -135,7 +137,8 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
     for i, positive in enumerate(positives):
         if 0 < positive < docs:
             tells = F.udf(lambda n, k, p=positive: _telling(n, k, docs, p), "double")
-            best = counted.orderBy(tells("n0", f"n{i + 1}").desc(), "feature").limit(settings.features)
+            telling = counted.withColumn("tells", tells("n0", f"n{i + 1}")).where(F.col("tells") >= settings.least_telling)
+            best = telling.orderBy(F.col("tells").desc(), "feature").limit(settings.features)
             for row in best.select("feature").collect():  # `features` rows at most
                 vocabulary.setdefault(row["feature"], len(vocabulary))
 
@@ -154,7 +157,7 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
             indexed = indexed.withColumn("chain", F.concat("chain", F.array(F.lit(share))))
             continue
         train = indexed.select("*", F.col("labels")[i].cast("double").alias("label"), as_vector("found", "chain").alias("features"))
-        learner = LogisticRegression(regParam=settings.ridge, maxIter=settings.iterations, standardization=False)
+        learner = LogisticRegression(regParam=settings.ridge, maxIter=settings.iterations, standardization=True)
         model = learner.fit(train)
         coefficients = model.coefficients.toArray()
         chain.intercepts.append(float(model.intercept))
