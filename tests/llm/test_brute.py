@@ -29,8 +29,9 @@ def crc(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def test_toxicity_is_found_in_unseen_documents(spark, docs):
-    labels = table(spark, SMALL, "labels")
+def test_toxicity_is_found_in_unseen_documents(spark):
+    """On the larger table: in the small one about 30 labelled documents are toxic, too few to learn their words from."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
     chain = toxicity.fit(toxicity.labelled_documents(docs.where(~unseen), labels), toxicity.CATEGORIES)
     rows = toxicity.scored(docs.where(unseen), chain).join(labels, "doc_id").collect()
