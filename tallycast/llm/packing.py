@@ -26,7 +26,7 @@ class Tokens:
     length: int = 2048
     end: int = 0
     #: A worker remembers the ids of up to twice so many white-space separated strings, from task to task.
-    remembered: int = 350_000
+    remembered: int = 450_000
 
 
 #: A run of letters, then one of ASCII punctuation: as many pieces for the tokenizer as of these aren't empty.
