@@ -80,7 +80,7 @@ class Words:
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == sum(counts):
             stops = ends[np.cumsum(counts) - 1].tolist() if counts else []
-            for w, start, stop in zip(simple, [0, *stops[:-1]], stops, strict=True):
+            for w, start, stop in zip(simple, [0, *stops][:-1], stops, strict=True):
                 self.young[w] = ids[start:stop].tobytes()
         else:  # a letter that isn't one for the tokenizer
             others = words

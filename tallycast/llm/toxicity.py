@@ -119,7 +119,7 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
 
     For every category in turn: models fitted without a fold predict it, so the later categories are trained on probabilities
     that their rows had no part in; a model of all rows is kept for use. Without rows, or for a category with only one
-    outcome, the probability is constant: the share of ones.
+    outcome, the probability is constant: the share of ones; so it is if no word tells anything.
     """
     labels = F.array(*[F.col(c).cast("int") for c in categories])
     rows = labelled.select("doc_id", "text", labels.alias("labels")).where(~F.exists("labels", lambda x: x.isNull()))
@@ -148,9 +148,9 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
     indexed = store.written(indexed.withColumn("chain", F.array().cast("array<double>")), "toxic-rows")
     as_vector = F.udf(lambda found, chain: SparseVector(size + len(chain), [*found, *range(size, size + len(chain))], [1.0] * len(found) + list(chain)), VectorUDT())
     for i, positive in enumerate(positives):
-        if not 0 < positive < docs:
+        if not 0 < positive < docs or size + i == 0:
             share = positive / docs
-            chain.intercepts.append(30.0 if share else -30.0)
+            chain.intercepts.append(math.log(share / (1 - share)) if 0 < share < 1 else 30.0 if share else -30.0)
             chain.links.append([0.0] * i)
             for weights in chain.weights.values():
                 weights.append(0.0)
