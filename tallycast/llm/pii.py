@@ -27,13 +27,26 @@ _SIGNS = r"A-Za-z0-9_=+/@%:.\-"
 CANDIDATE = rf"(?<![{_SIGNS}])(?=[{_SIGNS}]*[0-9])[A-Za-z0-9][{_SIGNS}]*[A-Za-z0-9]"
 
 
+#: Words before a token that name it a secret: seeds of the contexts, as the fixed patterns are of the instances.
+LABEL = r"(?:token|secret|password|passwd|pwd|passphrase|credentials?|(?:api|access|auth|secret|private)[_\x20-]?key)"
+_GIVEN = r"""["'`]?\x20?(?::=|=>|[=:])\x20?"""
+
+#: Keys whose issuers give them a form of their own, which needs no context.
+ISSUED = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[sr]k_live_[A-Za-z0-9]{16,})$"
+
+
 @dataclass(frozen=True)
 class Bootstrap:
     """How far contexts are trusted."""
 
-    rounds: int = 3
-    #: A pattern's confidence is the sum of its instances' scores over their number plus this.
+    #: A pattern's confidence is the number of its identifiers over that of its instances plus this.
     doubt: float = 2.0
+    #: A pattern tells something if its share of identifiers is so many standard errors above that of the seeds elsewhere.
+    telling: float = 4.0
+    #: A context vouches for a token if it tells something and its confidence is at least this.
+    vouch: float = 0.5
+    #: Confidence of a label like ``token =``.
+    label: float = 0.9
     #: A pattern needs so many different instances.
     support: int = 3
     #: Instances that score at least this are identifiers.
@@ -64,6 +77,12 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _failed(kind: str) -> Column:
+    """The matches that have the whole form of their kind, but fail the check."""
+    whole = lambda match: F.length(F.regexp_replace(match, "[^0-9]", "")).between(13, 19) if kind == "card" else F.lit(True)
+    return F.filter(kind, lambda x: whole(x["match"]) & ~_valid(kind, x["match"]))
+
+
 #: Matches are placed in blocks, as an array that grows by one is copied each time.
 BLOCK = 256
 FOUND = "array<struct<start:int,end:int,match:string,gap:string,after:string>>"
@@ -126,47 +145,72 @@ def scanned(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
     found = found.select("doc_id", "text_hash", *[placed(kind).alias(kind) for kind in [*PATTERNS, "tokens"]])
     kinds = [_base_spans(kind, i) for i, kind in enumerate(PATTERNS)]
     long_enough = F.filter("tokens", lambda x: (F.length(x["match"]) >= bootstrap.shortest) & x["match"].rlike("[0-9]"))
-    with_base = found.select("doc_id", "text_hash", F.concat(*kinds).alias("base"), long_enough.alias("tokens"))
+    failed = [_failed(kind) for kind in ("ip", "card")]
+    with_base = found.select("doc_id", "text_hash", F.concat(*kinds).alias("base"), F.concat(*failed).alias("failed"), long_enough.alias("tokens"))
 
     def context(x: Column) -> Column:
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("token"),
             F.lower(F.regexp_extract(x["gap"], r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$", 1)).alias("left"),
             F.lower(F.regexp_extract(x["after"], r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,40})", 1)).alias("right"),
+            F.regexp_replace(F.regexp_extract(F.lower(F.substring(x["gap"], -128, 128)), r"((?:[^\x20\x09-\x0D]{1,40}[\x20\x09-\x0D]+){0,2}[^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$", 1), r"[\x20\x09-\x0D]+", " ").alias("phrase"),
             F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])).alias("known"),
+            F.exists("failed", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])).alias("failed"),
         )
 
     return with_base.select("doc_id", "text_hash", "base", F.transform("tokens", context).alias("candidates"))
 
 
-def patterns_of(token: Column, left: Column, right: Column) -> Column:
-    """The lexical patterns an occurrence is an instance of: word before, word after, first signs, and kinds of signs with length."""
+def patterns_of(token: Column, left: Column, phrase: Column, right: Column) -> Column:
+    """The lexical patterns an occurrence is an instance of: a label, word before, up to three words before, word after, first signs, and
+    kinds of signs with length."""
     kinds = F.concat(*[F.when(token.rlike(signs), mark).otherwise("") for signs, mark in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "9"), ("@", "@"), ("=", "="), ("[+/:%_.-]", "."))])
     shape = F.concat(F.lit("shape "), kinds, F.lit(" "), F.floor(F.log2(F.length(token)) * 2).cast("string"))
     head = F.concat(F.lit("head "), F.regexp_extract(token, "^([A-Za-z]{0,4})", 1))
-    return F.array(F.concat(F.lit("left "), left), F.concat(F.lit("right "), right), head, shape)
+    told = phrase.rlike(rf"""(?:^|[^a-z]){LABEL}{_GIVEN}["'`]?$""") | F.lower(token).rlike(rf"^(?:[a-z_-]*[^a-z])?{LABEL}{_GIVEN}") | token.rlike(ISSUED)
+    several = F.when(phrase.contains(" "), F.concat(F.lit("phrase "), phrase))
+    return F.array_compact(F.array(F.when(told, F.lit("label")), F.concat(F.lit("left "), left), several, F.concat(F.lit("right "), right), head, shape))
 
 
 def identifiers(scan: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
     """(token, score) of unseen identifiers: the graph of patterns and instances is scored from the seeds on.
 
-    In each round a pattern's confidence is the mean score of its distinct instances (with doubt added), and an instance that's no seed
-    scores one minus the product of its patterns' doubts. A frequent word or token is one hot pattern or instance:
-    its edges are summed partially, and joined back by a join that Spark can split.
+    In each round a pattern's confidence is the share of seeds and of identifiers found so far in its distinct instances (with doubt added), and
+    a token scores one minus the product of its telling patterns' doubts, if a label or a context vouches for it: how it looks supports
+    it, but is no reason alone. What has the form of a base kind and fails its check counts against its patterns, and only a label
+    outweighs that. What was found stays, and the rounds end when one finds no more.
+    A frequent word or token is one hot pattern or instance: its edges are summed partially, and joined back by a join that Spark can split.
     """
     each = scan.select(F.explode("candidates").alias("c")).select("c.*")
-    edges = each.select("token", "known", F.explode(patterns_of(F.col("token"), F.col("left"), F.col("right"))).alias("pattern"))
-    edges = edges.groupBy("token", "pattern").agg(F.max("known").alias("known"))
-    edges = store.written(edges, "pii-edges")
-    seeds = edges.groupBy("token").agg(F.max("known").alias("seed"))
-    scores = seeds.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(bootstrap.rounds):
-        held = edges.select("token", "pattern").join(scores, "token")
-        sure = held.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("s")).where(F.col("n") >= bootstrap.support)
-        sure = sure.select("pattern", F.least(F.col("s") / (F.col("n") + bootstrap.doubt), F.lit(0.999)).alias("confidence"))
-        judged = edges.select("token", "pattern").join(sure, "pattern").groupBy("token").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("found"))
-        scores = seeds.join(judged, "token", "left").select("token", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("score"))
-    return scores.where(~F.col("seed") & (F.col("score") >= bootstrap.accept)).select("token", "score")
+    edges = each.select("token", "known", "failed", F.explode(patterns_of(F.col("token"), F.col("left"), F.col("phrase"), F.col("right"))).alias("pattern"))
+    edges = store.written(edges.groupBy("token", "pattern").agg(F.max("known").alias("known"), F.max("failed").alias("failed")), "pii-edges")
+    tokens = edges.groupBy("token").agg(F.max("known").alias("seed"), (F.max("failed") & ~F.max(F.col("pattern") == "label")).alias("failed"))
+    tokens = store.written(tokens, "pii-tokens")
+    every = tokens.agg(F.count("*").alias("n"), F.count_if("seed").alias("k")).first()
+    n, k = F.col("n"), F.col("k")
+    edges = edges.select("token", "pattern").join(tokens, "token")
+    patterns = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("k")).where(n >= bootstrap.support)
+    patterns = store.written(patterns, "pii-patterns")
+    # Only these can still be found; a failed check stands.
+    edges = store.written(edges.where(~F.col("seed") & ~F.col("failed")).select("token", "pattern"), "pii-open")
+    label, context = F.col("pattern") == "label", F.substring_index("pattern", " ", 1).isin("left", "phrase", "right")
+    have, found = 0, edges.select("token", F.lit(0.0).alias("score")).limit(0)
+    while True:
+        more = edges.join(found.select("token"), "token").groupBy("pattern").agg(F.count("*").alias("more"))
+        s = k + F.coalesce("more", F.lit(0))
+        elsewhere = (every["k"] + have - s + 1) / (every["n"] - n + 2)
+        sure = patterns.join(more, "pattern", "left").where(~label).select("pattern", "n", s.alias("s"), elsewhere.alias("p"))
+        sure = sure.where((F.col("s") - n * F.col("p")) >= bootstrap.telling * F.sqrt(n * F.col("p") * (1 - F.col("p"))))
+        sure = sure.select("pattern", F.least(F.col("s") / (n + bootstrap.doubt), F.lit(0.999)).alias("confidence"))
+        judged = edges.join(sure, "pattern", "left").withColumn("confidence", F.when(label, F.lit(bootstrap.label)).otherwise(F.col("confidence")))
+        judged = judged.where("confidence is not null").groupBy("token").agg(
+            (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"), F.max(label | (context & (F.col("confidence") >= bootstrap.vouch))).alias("vouched")
+        )
+        new = judged.where(F.col("vouched") & (F.col("score") >= bootstrap.accept)).select("token", "score").join(found, "token", "left_anti")
+        found = store.written(found.unionAll(new), "pii-round")
+        before, have = have, found.count()
+        if have == before:
+            return found
 
 
 def spans(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
