@@ -1,12 +1,13 @@
 """Interpolated modified Kneser-Ney language model: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
 
-Bigrams over white-space words with a start and an end. Three passes over the texts:
+N-grams of any order from two on, over white-space words with a start (as many as there are words of context) and an end. Order + 1 passes over
+the texts:
 
-1. every task counts its bigrams' 64-bit hashes; the counts are dealt by ranges of the hash, and each range becomes one sorted array;
-2. every task looks its bigrams up in these arrays. A bigram seen c times gives 1/c at each of its places, so the sums over the
-   places are numbers of *different* bigrams: by context (seen once, twice, more often) and by word (what comes before it). They are dealt by ranges
-   of the word's hash and become the second set of arrays;
-3. scoring looks up both.
+1. every task counts its n-grams' 64-bit hashes; the counts are dealt by ranges of the hash, and each range becomes one sorted array;
+2. for each lower length, every task looks its next longer grams up in these arrays. A gram seen c times gives 1/c at each of its places, so the
+   sums over the places are numbers of *different* grams: by context (seen once, twice, more often) and by what they end in (what comes before
+   it), the count of the lower orders. They are dealt by ranges of the hash and become the arrays of that length;
+3. scoring looks up all.
 
 A hot word is one entry of a task's sums, never a group of rows. The number of ranges follows the size of the input,
 so no task holds more than its share. Arrays lie in the shared folder; a range that is written again after a lost executor
@@ -44,11 +45,12 @@ class Model:
 
     folder: str
     ranges: int
+    order: int = 2
     tokens: int = 0  # training tokens
     types: int = 0  # different ones
     continuations: int = 0  # different bigrams
-    upper: tuple[float, float, float] = (0.5, 1.0, 1.5)  # discounts of bigrams seen once, twice, more often
-    lower: tuple[float, float, float] = (0.5, 1.0, 1.5)  # and of words with one, two, more words before them
+    #: Discounts of the grams of each length from one on: seen (shorter ones: after different words) once, twice, more often.
+    discounts: tuple[tuple[float, float, float], ...] = ()
     lower_seen: tuple[int, int, int] = (0, 0, 0)  # words with one, two, more words before them
 
 
@@ -61,8 +63,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(d if 0 < d < k else k / 2 for k, d in enumerate(found, 1))
 
 
-def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the tokens of some texts, of the token before each, and where each text ends in them."""
+def tokens_of(texts: list[bytes | None], order: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the tokens of some texts, of the tokens one, two, ... before each, and where each text ends in them."""
     hashes, ends, n = [], [], 0
     for text in texts:
         words = (text or b"").lower().split()
@@ -71,17 +73,27 @@ def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nda
         n += len(words) + 1
         ends.append(n)
     if not texts:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    tokens = np.concatenate(hashes)
-    before = np.concatenate([[START], tokens[:-1]])
-    before[np.array(ends[:-1], np.int64)] = START
-    return tokens, before, np.array(ends)
+        return [np.empty(0, np.uint64)] * order, np.empty(0, np.int64)
+    columns = [np.concatenate(hashes)]
+    for _ in range(order - 1):
+        before = np.concatenate([[START], columns[-1][:-1]])
+        before[np.array(ends[:-1], np.int64)] = START
+        columns.append(before)
+    return columns, np.array(ends)
 
 
 def pairs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mixed(before * PRIME + tokens)
 
 
+def grams(columns: list[np.ndarray]) -> np.ndarray:
+    """Keys of the grams of these tokens, the last one first."""
+    key = columns[-1]
+    for tokens in columns[-2::-1]:
+        key = pairs(key, tokens)
+    return key
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches cut to about a megabyte of text."""
     for batch in batches:
@@ -102,12 +114,11 @@ def _dealt(keys: np.ndarray, columns: list[np.ndarray], ranges: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], ["part", "arrays"])
 
 
-def _counted(ranges: int) -> Callable:
+def _counted(ranges: int, order: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, size = [], 0
         for part in _parts(batches):
-            tokens, before, _ = tokens_of(part.column("text").to_pylist())
-            have.append(pairs(before, tokens))
+            have.append(grams(tokens_of(part.column("text").to_pylist(), order)[0]))
             size += part.nbytes
             if size > PART_BYTES:
                 yield _dealt(*_unique(have), ranges)
@@ -165,28 +176,36 @@ def _load(folder: str, name: str, kind: type) -> np.ndarray:
         return np.frombuffer(source.read(), kind)
 
 
+def kind_of(length: int) -> type:
+    return np.int64 if length == 1 else np.uint32
+
+
 class Arrays:
     """Lookups in the arrays of a model, opened range by range as they're needed."""
 
-    UPPER = {"count": np.uint32}
-    LOWER = {"count": np.int64, "before": np.int64, "once": np.int64, "twice": np.int64, "more": np.int64}
+    UPPER = ("count",)
+    #: As a gram: its places, and different words before it. As a context: different grams by their count, and the sum of their counts.
+    LOWER = ("count", "before", "once", "twice", "more", "total")
+
+    def __init__(self, folder: str, ranges: int, order: int):
+        self.folder, self.ranges, self.order, self.open = folder, ranges, order, {}
 
-    def __init__(self, folder: str, ranges: int):
-        self.folder, self.ranges, self.open = folder, ranges, {}
+    def names(self, length: int) -> tuple[str, ...]:
+        return self.UPPER if length == self.order else self.LOWER
 
-    def get(self, level: str, part: int) -> dict[str, np.ndarray]:
-        if (level, part) not in self.open:
-            kinds = {"key": np.uint64} | (self.UPPER if level == "upper" else self.LOWER)
-            self.open[level, part] = {k: _load(self.folder, f"{level}-{k}-{part:06d}", kind) for k, kind in kinds.items()}
-        return self.open[level, part]
+    def get(self, length: int, part: int) -> dict[str, np.ndarray]:
+        if (length, part) not in self.open:
+            kinds = {"key": np.uint64} | dict.fromkeys(self.names(length), kind_of(length))
+            self.open[length, part] = {k: _load(self.folder, f"{length}-{k}-{part:06d}", kind) for k, kind in kinds.items()}
+        return self.open[length, part]
 
-    def find(self, level: str, keys: np.ndarray) -> dict[str, np.ndarray]:
+    def find(self, length: int, keys: np.ndarray) -> dict[str, np.ndarray]:
         """The values of sorted ``keys``; 0 for those that aren't there."""
-        names = list(self.UPPER if level == "upper" else self.LOWER)
+        names = self.names(length)
         out = {name: np.zeros(len(keys), np.int64) for name in names}
         at = _ranges(keys, self.ranges)
         for part in np.flatnonzero(at[1:] > at[:-1]).tolist():
-            have, asked = self.get(level, part), keys[at[part] : at[part + 1]]
+            have, asked = self.get(length, part), keys[at[part] : at[part + 1]]
             if not len(have["key"]):
                 continue
             place = np.minimum(np.searchsorted(have["key"], asked), len(have["key"]) - 1)
@@ -196,32 +215,33 @@ class Arrays:
         return out
 
 
-def _save_upper(folder: str) -> Callable:
+def _save_upper(folder: str, order: int) -> Callable:
     def save(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
         keys, (counts,) = _merged(rows, [np.uint32])
-        _save(folder, f"upper-key-{part:06d}", keys)
-        _save(folder, f"upper-count-{part:06d}", counts.astype(np.uint32))
+        _save(folder, f"{order}-key-{part:06d}", keys)
+        _save(folder, f"{order}-count-{part:06d}", counts.astype(kind_of(order)))
         seen = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)
         return pa.table({"n": [len(keys)], **{f"n{i}": [int(seen[i])] for i in range(1, 5)}, "tokens": [int(counts.sum())]})
 
     return save
 
 
-def _summed(folder: str, ranges: int) -> Callable:
+def _summed(folder: str, ranges: int, order: int, length: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = Arrays(folder, ranges)
+        arrays = Arrays(folder, ranges, order)
         have, size = [], 0
         for part in _parts(batches):
-            tokens, before, _ = tokens_of(part.column("text").to_pylist())
-            grams, place = np.unique(pairs(before, tokens), return_inverse=True)
-            n = arrays.find("upper", grams)["count"][place]
-            share = 1.0 / np.maximum(n, 1)
-            words, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-            as_word, as_context = at[: len(tokens)], at[len(tokens) :]
-            sums = [np.bincount(as_word, minlength=len(words)).astype(float), np.bincount(as_word, share, len(words))]
-            sums += [np.bincount(as_context, np.where(seen, share, 0), len(words)) for seen in (n == 1, n == 2, n > 2)]
-            have.append((words, sums))
+            columns, _ = tokens_of(part.column("text").to_pylist(), length + 1)
+            longer, place = np.unique(grams(columns), return_inverse=True)
+            found = arrays.find(length + 1, longer)
+            share = 1.0 / np.maximum(found["count"], 1)[place]
+            n = found["count" if length + 1 == order else "before"][place]
+            keys, at = np.unique(np.concatenate([grams(columns[:-1]), grams(columns[1:])]), return_inverse=True)
+            as_gram, as_context = at[: len(place)], at[len(place) :]
+            sums = [np.bincount(as_gram, minlength=len(keys)).astype(float), np.bincount(as_gram, share, len(keys))]
+            sums += [np.bincount(as_context, np.where(seen, share, 0), len(keys)) for seen in (n == 1, n == 2, n > 2)]
+            have.append((keys, [*sums, np.bincount(as_context, share * n, len(keys))]))
             size += part.nbytes
             if size > PART_BYTES:
                 yield _dealt(*_added(have), ranges)
@@ -237,13 +257,14 @@ def _added(have: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray,
     return keys, [np.bincount(place, np.concatenate([x[1][i] for x in have]), len(keys)) for i in range(len(have[0][1]))]
 
 
-def _save_lower(folder: str) -> Callable:
+def _save_lower(folder: str, length: int) -> Callable:
     def save(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        keys, sums = _merged(rows, [np.float64] * 5)
+        keys, sums = _merged(rows, [np.float64] * len(Arrays.LOWER))
         sums = [np.rint(x).astype(np.int64) for x in sums]
-        for name, values in zip(["key", *Arrays.LOWER], [keys, *sums], strict=True):
-            _save(folder, f"lower-{name}-{part:06d}", values)
+        _save(folder, f"{length}-key-{part:06d}", keys)
+        for name, values in zip(Arrays.LOWER, sums, strict=True):
+            _save(folder, f"{length}-{name}-{part:06d}", values.astype(kind_of(length)))
         before = sums[1]
         seen = np.bincount(np.minimum(before, 5), minlength=6)
         out = {"n": [int((sums[0] > 0).sum())], **{f"n{i}": [int(seen[i])] for i in range(1, 5)}, "more": [int((before > 2).sum())], "tokens": [int(before.sum())]}
@@ -252,25 +273,30 @@ def _save_lower(folder: str) -> Callable:
     return save
 
 
-def train(docs: DataFrame, use: Column) -> Model:
+def train(docs: DataFrame, use: Column, order: int = 2) -> Model:
     """A model of the rows of ``docs`` (text) for which ``use`` holds; null texts count as empty ones."""
+    if order < 2:
+        raise ValueError("the order is two at least")
     spark = docs.sparkSession
     texts = docs.where(use).select(F.col("text").cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    model = Model(store.new_path(spark, "lm"), max(1, -(-int(size) // RANGE_BYTES)))
+    model = Model(store.new_path(spark, "lm"), max(1, -(-int(size) * (order - 1) // RANGE_BYTES)), order)
     if "://" not in model.folder and not model.folder.startswith("file:"):
         model.folder = "file://" + model.folder
     sums = [F.sum(c).alias(c) for c in ("n", "n1", "n2", "n3", "n4", "tokens")]
-    counted = texts.mapInArrow(_counted(model.ranges), "part int, arrays array<binary>")
-    upper = counted.groupBy("part").applyInArrow(_save_upper(model.folder), "n long, n1 long, n2 long, n3 long, n4 long, tokens long").agg(*sums).first()
+    counted = texts.mapInArrow(_counted(model.ranges, order), "part int, arrays array<binary>")
+    upper = counted.groupBy("part").applyInArrow(_save_upper(model.folder, order), "n long, n1 long, n2 long, n3 long, n4 long, tokens long").agg(*sums).first()
     if not upper["n"]:
         return model
-    summed = texts.mapInArrow(_summed(model.folder, model.ranges), "part int, arrays array<binary>")
-    lower = summed.groupBy("part").applyInArrow(_save_lower(model.folder), "n long, n1 long, n2 long, n3 long, n4 long, more long, tokens long").agg(*sums, F.sum("more").alias("more")).first()
-    model.tokens, model.continuations, model.types = upper["tokens"], upper["n"], lower["n"]
-    model.upper = discounts(*[upper[f"n{i}"] for i in range(1, 5)])
-    model.lower = discounts(*[lower[f"n{i}"] for i in range(1, 5)])
-    model.lower_seen = (lower["n1"], lower["n2"], lower["more"])
+    levels = [upper]
+    for length in range(order - 1, 0, -1):
+        summed = texts.mapInArrow(_summed(model.folder, model.ranges, order, length), "part int, arrays array<binary>")
+        saved = summed.groupBy("part").applyInArrow(_save_lower(model.folder, length), "n long, n1 long, n2 long, n3 long, n4 long, more long, tokens long")
+        levels.insert(0, saved.agg(*sums, F.sum("more").alias("more")).first())
+    words = levels[0]
+    model.tokens, model.continuations, model.types = upper["tokens"], words["tokens"], words["n"]
+    model.discounts = tuple(discounts(*[level[f"n{i}"] for i in range(1, 5)]) for level in levels)
+    model.lower_seen = (words["n1"], words["n2"], words["more"])
     return model
 
 
@@ -278,35 +304,30 @@ class Scorer:
     """Probabilities of tokens after their contexts."""
 
     def __init__(self, model: Model):
-        self.model, self.arrays = model, Arrays(model.folder, model.ranges)
-        d, seen = model.lower, model.lower_seen
+        self.model, self.arrays = model, Arrays(model.folder, model.ranges, model.order)
+        seen = model.lower_seen
         self.total = max(model.continuations, 1)
         # What the discounts took is spread over all types and one for all unseen words.
-        self.uniform = (sum(x * n for x, n in zip(d, seen, strict=True)) / self.total if model.continuations else 1.0) / (model.types + 1)
+        self.uniform = (sum(x * n for x, n in zip(model.discounts[0], seen, strict=True)) / self.total if model.continuations else 1.0) / (model.types + 1)
+
+    def found(self, length: int, keys: np.ndarray) -> dict[str, np.ndarray]:
+        keys, place = np.unique(keys, return_inverse=True)
+        return {name: values[place] for name, values in self.arrays.find(length, keys).items()}
 
-    def batch(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Training count and log10 probability of each token."""
-        words, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        found = self.arrays.find("lower", words)
-        w, u = at[: len(tokens)], at[len(tokens) :]
-        grams, place = np.unique(pairs(before, tokens), return_inverse=True)
-        c = self.arrays.find("upper", grams)["count"][place].astype(float)
-        once, twice, more = (found[k].astype(float) for k in ("once", "twice", "more"))
-        n = found["before"].astype(float)
-        lower = np.maximum(n - _discount(n, self.model.lower), 0) / self.total + self.uniform
-        d = self.model.upper
-        # A context's count is that of its places; the start's is the number of texts, which nothing counts as a token.
-        held = d[0] * once + d[1] * twice + d[2] * more
-        total = np.where(words == START, self._starts(), found["count"]).astype(float)
-        c_u = total[u]
-        known = c_u > 0
-        upper = np.where(known, np.maximum(c - _discount(c, d), 0) / np.maximum(c_u, 1), 0.0)
-        back = np.where(known, held[u] / np.maximum(c_u, 1), 1.0)
-        return found["count"][w], np.log10(upper + back * lower[w])
-
-    def _starts(self) -> int:
-        """As many texts were begun as ended."""
-        return int(self.arrays.find("lower", np.array([END]))["count"][0])
+        order, d = self.model.order, self.model.discounts or ((0.5, 1.0, 1.5),) * self.model.order
+        words = self.found(1, columns[0])
+        n = words["before"].astype(float)
+        p = np.maximum(n - _discount(n, d[0]), 0) / self.total + self.uniform
+        for length in range(2, order + 1):
+            c = self.found(length, grams(columns[:length]))["count" if length == order else "before"].astype(float)
+            u = {k: v.astype(float) for k, v in self.found(length - 1, grams(columns[1:length])).items()}
+            total, cut = u["total"], d[length - 1]
+            held = cut[0] * u["once"] + cut[1] * u["twice"] + cut[2] * u["more"]
+            # A context that was not seen leaves it to the shorter one.
+            p = np.where(total > 0, (np.maximum(c - _discount(c, cut), 0) + held * p) / np.maximum(total, 1), p)
+        return words["count"], np.log10(p)
 
 
 def _discount(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -322,17 +343,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     fixed = json.dumps(asdict(model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(fixed).items()})
+        model = Model(**json.loads(fixed))
         scorer = Scorer(model)
         for part in _parts(batches):
-            tokens, before, ends = tokens_of(part.column("text").to_pylist())
+            columns, ends = tokens_of(part.column("text").to_pylist(), model.order)
             if not len(ends):
                 continue
-            counts, logs = scorer.batch(tokens, before)
+            counts, logs = scorer.batch(columns)
             starts = np.concatenate([[0], ends[:-1]])
             base = np.log10((counts + 1) / (model.tokens + model.types + 1))
-            columns = [pa.array(ends - starts), pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            out = [pa.array(ends - starts), pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *out], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))

@@ -47,13 +47,17 @@ def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+def language_model(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = lm.train(docs, crc_of_id() % 7 != 2)
+    model = lm.train(docs, crc_of_id() % 7 != 2, order)
     out = lm.scored(docs, model)
     return out.select("doc_id", (crc_of_id() % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def trigram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(spark, sf_dir, 3)
+
+
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,3 +76,6 @@ QUERIES = {
     "op9_language_model": language_model,
     "op10_packed_sequences": packed_sequences,
 }
+
+#: Further forms of an operator, registered beside its query.
+FORMS = {"op9_trigram_model": trigram_model}

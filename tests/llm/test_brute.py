@@ -161,6 +161,41 @@ def test_language_model_is_kneser_ney(spark, docs):
     assert abs(sum(probability(b"the", w) for w in words) + probability(b"the", b"?") - 1) < 1e-9
 
 
+def test_higher_orders_are_kneser_ney(spark):
+    """Order three and four: the recursion over dictionaries, lower orders by what comes before."""
+    words = ["a", "b", "c", "d", "e"]
+    texts = [[words[(i * j + j // 3 + i // 7) % (3 + i % 3)] for j in range(i % 11)] for i in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for order in (3, 4):
+        places = [tuple([0] * (order - 1) + t + [None])[i : i + order] for t in texts[:90] for i in range(len(t) + 1)]
+        count = {order: Counter(places)}
+        for m in range(order - 1, 0, -1):
+            count[m] = Counter(g[1:] for g in count[m + 1])
+        model = lm.train(docs, F.col("doc_id") < 90, order)
+        total, follow = defaultdict(int), defaultdict(Counter)
+        for m in count:
+            n = Counter(count[m].values())
+            assert model.discounts[m - 1] == pytest.approx(lm.discounts(n[1], n[2], n[3], n[4]))
+            for g, c in count[m].items():
+                total[m, g[:-1]] += c
+                follow[m, g[:-1]][min(c, 3)] += 1
+
+        def probability(g):
+            m = len(g)
+            if m == 0:
+                return 1 / (len(count[1]) + 1)
+            if not total[m, g[:-1]]:
+                return probability(g[1:])
+            c, d = count[m][g], [0, *model.discounts[m - 1]]
+            return (c - d[min(c, 3)] + sum(d[k] * n for k, n in follow[m, g[:-1]].items()) * probability(g[1:])) / total[m, g[:-1]]
+
+        got = {r["doc_id"]: r["score"] for r in lm.scored(docs, model).collect()}
+        for i, t in enumerate(texts):
+            padded = tuple([0] * (order - 1) + t + [None])
+            assert math.isclose(got[i], sum(math.log10(probability(padded[j : j + order])) for j in range(len(t) + 1)), rel_tol=1e-9)
+        assert abs(sum(probability((*context, w)) for context in [("a", "b", "c", "d")[: order - 1]] for w in [*words, None, "?"]) - 1) < 1e-9
+
+
 def test_discounts_of_few_counts():
     assert lm.discounts(0, 0, 0, 0) == (0.5, 1.0, 1.5)
 
