@@ -56,12 +56,32 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
+def _correlation(groups: DataFrame, prior: Prior) -> float:
+    """How far groups (n, k, away: their parent's mean without them) spread beyond binomial noise, between the prior's limits.
+
+    Each group of two pages or more gives an estimate, weighed by its inverse variance for the correlation found so far: that weight is
+    bounded however many pages a group has, so none dominates. It depends on n alone, so what is collected is a row for each different n.
+    """
+    n, k, m = F.col("n"), F.col("k"), F.col("away")
+    own = ((k - n * m) ** 2 / (n * m * (1 - m)) - 1) / (n - 1)
+    rows = [(r["n"], r["groups"], r["sum"]) for r in groups.where(n > 1).groupBy("n").agg(F.count("*").alias("groups"), F.sum(own).alias("sum")).orderBy("n").collect()]
+    rho, before = prior.most, None
+    for _ in range(200):
+        if not rows or rho == before:
+            break
+        before = rho
+        weights = [((n - 1) / (1 + (n - 1) * rho)) ** 2 for n, _, _ in rows]
+        rho = sum(w * x for w, (_, _, x) in zip(weights, rows, strict=True)) / sum(w * c for w, (_, c, _) in zip(weights, rows, strict=True))
+        rho = min(max(rho, prior.least), prior.most)
+    return rho if rows else prior.least
+
+
 def shrunk(counts: DataFrame, prior: Prior = Prior()) -> DataFrame:
     """(host, n, k, mean, alpha, beta) from ``counts`` (host, n, k): labelled pages and faulty ones of each host.
 
     Top down: the suffixes are shrunk to the share of all pages, the domains to their suffix, the hosts to their domain, each with a beta prior
     of the parent's mean. How much the prior of a level weighs is estimated from how far its groups spread beyond
-    binomial noise (the method of moments for beta-binomial groups). Hosts without labels get their domain's mean.
+    binomial noise around their parent's mean without them (moments of beta-binomial groups). Hosts without labels get their domain's mean.
     """
     base = counts.select("host", F.col("n").cast("double").alias("n"), F.col("k").cast("double").alias("k"))
     base = base.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
@@ -72,11 +92,13 @@ def shrunk(counts: DataFrame, prior: Prior = Prior()) -> DataFrame:
     for level, parent in zip(LEVELS, [None, *LEVELS[:-1]], strict=True):
         keys = [level] if parent is None else [level, parent]
         groups = base.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        groups = groups.withColumn("m", F.lit(start)) if means is None else groups.join(means.select(F.col(parent), F.col("mean").alias("m")), parent)
         n, k, m = F.col("n"), F.col("k"), F.col("m")
-        spread = groups.agg(F.sum((k - n * m) ** 2).alias("seen"), F.sum(n * m * (1 - m)).alias("noise"), F.sum(n * (n - 1) * m * (1 - m)).alias("pairs")).first()
-        rho = (spread["seen"] - spread["noise"]) / spread["pairs"] if spread["pairs"] else 0.0
-        rho = min(max(rho, prior.least), prior.most)
+        if means is None:
+            groups = groups.withColumns({"m": F.lit(start), "away": ((overall["k"] or 0.0) - k + 1) / ((overall["n"] or 0.0) - n + 2)})
+        else:
+            above = means.select(F.col(parent), F.col("mean").alias("m"), F.col("alpha").alias("a"), F.col("beta").alias("b"))
+            groups = groups.join(above, parent).withColumn("away", (F.col("a") - k) / (F.col("a") + F.col("b") - n)).drop("a", "b")
+        rho = _correlation(groups, prior)
         weight = 1 / rho - 1
         means = groups.withColumns({"alpha": k + weight * m, "beta": n - k + weight * (1 - m)})
         means = means.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))

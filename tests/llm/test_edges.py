@@ -124,3 +124,16 @@ def test_pipeline_keeps_columns(spark, odd_documents, labels, benchmark, tmp_pat
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == odd_documents.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_a_hot_host_does_not_hide_small_bad_ones(spark):
+    """One host of a third of all pages leaves the spread of the others as it is."""
+    rows = [(f"h{i}.example.com", 10, 1) for i in range(900)] + [(f"b{i}.example.com", 10, 10) for i in range(100)] + [("x.example.com", 8, 8)]
+
+    def bound(rows):
+        counts = spark.createDataFrame(rows, "host string, n long, k long")
+        found = urls.shrunk(counts).where("host = 'x.example.com'")
+        return found.select(urls.lower_bound(F.col("alpha"), F.col("beta"), urls.Prior().z)).first()[0]
+
+    alone, beside = bound(rows), bound([*rows, ("hot.example.com", 5000, 500)])
+    assert alone > 0.5 and beside > 0.5 and abs(alone - beside) < 0.05
