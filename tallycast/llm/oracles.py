@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .mixing import DIGITS, Mix
+from .phrases import Mining
 from .quality_rules import CUTOFFS, Risk
 from .urls import RULES, Prior
 
@@ -149,7 +151,75 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0)
 FROM worded d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
 """
 
+_MINING = Mining()
+
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+worded AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM worded GROUP BY lang),
+flat AS MATERIALIZED (
+  SELECT lang, unnest(words) AS w1, unnest(list_concat(words[2:], [NULL])) AS w2, unnest(list_concat(words[3:], [NULL, NULL])) AS w3 FROM worded WHERE len(words) > 0),
+f AS MATERIALIZED (
+  SELECT lang, w1 AS phrase, NULL AS w1, NULL AS w2, NULL AS w3, 1 AS size, count(*) AS a FROM flat GROUP BY lang, w1
+  UNION ALL SELECT lang, w1 || ' ' || w2, w1, w2, NULL, 2, count(*) FROM flat WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= {_MINING.least}
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, w1, w2, w3, 3, count(*) FROM flat WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= {_MINING.least}),
+halves AS (
+  SELECT lang, phrase, a, 1 AS k, w1 AS head, CASE WHEN size = 2 THEN w2 ELSE w2 || ' ' || w3 END AS tail FROM f WHERE size > 1
+  UNION ALL SELECT lang, phrase, a, 2, w1 || ' ' || w2, w3 FROM f WHERE size = 3),
+cuts AS MATERIALIZED (
+  SELECT c.lang, c.phrase, c.a, c.k, l.a AS l, r.a AS r, ({_MINING.scale} * c.a::HUGEINT * c.a) // (l.a::HUGEINT * r.a) AS score
+  FROM halves c JOIN f l ON l.lang || chr(10) || l.phrase = c.lang || chr(10) || c.head JOIN f r ON r.lang || chr(10) || r.phrase = c.lang || chr(10) || c.tail),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covers AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, w1 || ' ' || w2 AS phrase, a FROM f WHERE size = 3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM f WHERE size = 3) GROUP BY lang, phrase),
+phrases AS (
+  SELECT x.* FROM least x LEFT JOIN covers c ON c.lang = x.lang AND c.phrase = x.phrase WHERE c.a IS NULL OR 100 * c.a < {_MINING.percent} * x.a)
+SELECT p.lang, row_number() OVER (PARTITION BY p.lang ORDER BY p.score DESC, p.a DESC, p.phrase) AS rank, p.phrase, p.a, p.l, p.r, t.n, CAST(p.score AS BIGINT) AS score
+FROM phrases p JOIN totals t ON t.lang = p.lang
+QUALIFY rank <= {_MINING.best}
+"""
+
+_MIX = Mix()
+
+#: The same thresholds by sorting: a document is taken once more if its place in the order of (hash, size) lies before its source's budget.
+SOURCE_MIX = f"""
+WITH RECURSIVE sized AS MATERIALIZED (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || left(md5('{_MIX.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), {DIGITS}) AS BIGINT) AS hash
+  FROM documents),
+sources AS MATERIALIZED (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [{", ".join(map(str, _MIX.weights))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(_MIX.weights)} + 1] AS weight
+  FROM sized GROUP BY source),
+shared AS (
+  SELECT 0 AS round, CAST(sum(source_size) AS HUGEINT) AS rest, CAST(sum(weight) AS HUGEINT) AS weights FROM sources
+  UNION ALL
+  SELECT s.round + 1, t.everything - t.held, t.open FROM shared s, LATERAL (
+    SELECT sum(source_size) AS everything, coalesce(sum({_MIX.most} * source_size) FILTER ({_MIX.most} * source_size * s.weights < s.rest * weight), 0) AS held,
+      coalesce(sum(weight) FILTER ({_MIX.most} * source_size * s.weights >= s.rest * weight), 0) AS open FROM sources) t
+  WHERE (t.everything - t.held, t.open) <> (s.rest, s.weights)),
+goals AS MATERIALIZED (
+  SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS copies FROM (
+    SELECT s.*, CASE WHEN {_MIX.most} * source_size * r.weights < r.rest * weight THEN CAST({_MIX.most} * source_size AS DOUBLE)
+      WHEN r.weights > 0 THEN CAST(r.rest * weight AS DOUBLE) / CAST(r.weights AS DOUBLE) ELSE 0.0 END AS target
+    FROM sources s, (SELECT * FROM shared ORDER BY round DESC LIMIT 1) r)),
+equal AS MATERIALIZED (
+  SELECT *, CAST(sum(n * size) OVER (PARTITION BY source ORDER BY hash, size) - n * size AS BIGINT) AS below FROM (
+    SELECT source, hash, size, count(*) AS n FROM sized GROUP BY source, hash, size)),
+taken AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, g.copies,
+    row_number() OVER (PARTITION BY d.source, d.hash, d.size) <= CASE WHEN d.size = 0 OR g.target - g.copies * g.source_size < e.below THEN 0
+      ELSE floor((g.target - g.copies * g.source_size - e.below) / d.size + 0.5) END AS more
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+  JOIN equal e ON d.source IS NOT DISTINCT FROM e.source AND d.hash = e.hash AND d.size = e.size)
+SELECT doc_id, size, source_size, target, size * (copies + CAST(more AS BIGINT)) AS taken FROM taken
+"""
+
 ORACLES = {
+    "op11_collocations": COLLOCATIONS,
+    "op12_source_mix": SOURCE_MIX,
     "op2_host_reputation": HOST_REPUTATION,
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_controlled_rules": CONTROLLED_RULES,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, neardup, packing, pii, quality_rules, quality_trees, toxicity, urls, warc
+from . import decontam, importance, lm, mixing, neardup, packing, phrases, pii, quality_rules, quality_trees, toxicity, urls, warc
 from .store import crc_of_id, table
 
 
@@ -64,6 +64,20 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), packing.Tokens(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    take = F.get("takes", F.lit(0))
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", take["target"].alias("target"), take["taken"].alias("taken"))
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity_chain": toxic_documents,
     "op2_host_reputation": url_reputation,
@@ -75,6 +89,9 @@ QUERIES = {
     "op8_benchmark_hits": benchmark_hits,
     "op9_language_model": language_model,
     "op10_packed_sequences": packed_sequences,
+    "op11_collocations": collocations,
+    "op12_source_mix": source_mix,
+    "op13_importance_resampling": importance_resampling,
 }
 
 #: Further forms of an operator, registered beside its query.
