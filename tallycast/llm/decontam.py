@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallycast.functions.names import unused
+
 from . import store
 from .words import LETTERED, lowered, window_hash, words
 
@@ -92,20 +94,22 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark; all columns stay."""
     bad = store.written(hits(docs, benchmark, width, block).where(F.size("found") > 0).select("doc_id", "text_hash"), "contaminated")
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"])
+    id_, hash_ = unused(docs.columns, "id", "hash")
+    bad = bad.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    same = docs["doc_id"].eqNullSafe(bad[id_]) & (F.xxhash64(docs["text"]) == bad[hash_])
     return docs.join(bad, same, "left_anti")
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """``docs`` with the hit words cut out of ``text``; what stands between words goes with the word before it."""
     found = store.written(hits(docs, benchmark, width, block).where(F.size("found") > 0).select("doc_id", "text_hash", "found"), "passages")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "found")
-    same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"])
+    id_, hash_, found_ = unused(docs.columns, "id", "hash", "found")
+    found = found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("found").alias(found_))
+    same = docs["doc_id"].eqNullSafe(found[id_]) & (F.xxhash64(docs["text"]) == found[hash_])
     gaps = "([" + LETTERED[2:-2] + "]*)"  # what stands between words
     piece = F.regexp_extract_all("text", F.lit(f"({LETTERED}[{LETTERED[2:-2]}]*)"), F.lit(1))
     head = F.regexp_extract("text", "^" + gaps, 1)
-    inside = lambda i: F.exists("found", lambda x: (i + 1 >= x["start"]) & (i + 1 < x["start"] + x["length"]))
+    inside = lambda i: F.exists(found_, lambda x: (i + 1 >= x["start"]) & (i + 1 < x["start"] + x["length"]))
     cut = F.concat(head, F.array_join(F.filter(piece, lambda _, i: ~inside(i)), ""))
-    columns = [F.when(F.col("found").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    columns = [F.when(F.col(found_).isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else docs[c] for c in docs.columns]
     return docs.join(found, same, "left").select(columns)

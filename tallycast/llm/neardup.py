@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallycast.functions.names import unused
+
 from . import graph, store
 
 SHINGLE = 5
@@ -194,14 +196,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, index: Index = Index())
 
 
 def components_of(docs: DataFrame, rows: DataFrame, percent: int, index: Index) -> DataFrame:
-    """(class, component_id) for every distinct set."""
+    """(class, root, component_id) for every distinct set; sets of one component share a root."""
     first = rows.where("n_shingles > 0").groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     own = rows.select(F.col("row").alias("node"), "doc_id", "signature", "sketch", F.col("n_shingles").alias("size"))
     nodes = store.written(first.join(own, "node"), "nodes")
     links, roots = _links(docs, nodes, percent, index)
     ids = nodes.join(roots, "node", "left").select("class", "least", F.coalesce("root", "node").alias("root"))
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    return ids.join(named, "root").select("class", "component_id")
+    return ids.join(named, "root").select("class", "root", "component_id")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, percent: int, index: Index) -> tuple[DataFrame, DataFrame]:
@@ -254,24 +256,29 @@ def _rest(apart: DataFrame, percent: int, index: Index) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, percent: int = 75, index: Index = Index()) -> DataFrame:
-    """The rows of ``docs``, one of each group of near-duplicates: the one with the smallest doc_id. Columns stay as they are.
+    """The rows of ``docs``, one of each group of near-duplicates: the one with the smallest doc_id, null last. Columns stay as they are.
 
-    Of several rows with one doc_id in one component, one stays; rows without words all stay.
+    A row is known by its doc_id and its set of shingles, so rows that share a doc_id, or have none, go only as near-duplicates of one that
+    stays. Rows without words all stay.
     """
-    judged = store.written(near_duplicates(docs, percent, index), "judged").where("kept")
-    ids = judged.groupBy("doc_id").agg(F.count("*").alias("n"))
-    once = ids.where("n = 1").select(F.col("doc_id").alias("_id"))
-    again = ids.where("n > 1").select(F.col("doc_id").alias("_id"))
-    id_ = F.col("doc_id").cast("long")
-    single = docs.join(once, id_.eqNullSafe(F.col("_id")), "left_semi")
-    # A row that is dropped can share its doc_id with one that stays, so the set decides as well.
-    repeats = docs.join(again, id_.eqNullSafe(F.col("_id")), "left_semi")
-    repeats = repeats.withColumn("_class", class_of(F.col("text").cast("binary")))
-    nothing = repeats.where("_class is null").drop("_class")
-    one = repeats.where("_class is not null").dropDuplicates(["doc_id", "_class"])
-    groups = judged.select(F.col("doc_id").alias("_id"), F.col("class").alias("_kept_class"), F.col("component_id").alias("_group")).dropDuplicates(["_id", "_kept_class"])
-    one = one.join(groups, id_.eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_kept_class"))).dropDuplicates(["_group"])
-    return single.union(nothing.select(docs.columns)).union(one.select(docs.columns))
+    rows = signed(docs, index)
+    merged = components_of(docs, rows, percent, index).select("class", "root")
+    by_root = rows.where("n_shingles > 0").select("doc_id", "class").join(merged, "class").groupBy("root")
+    heads = by_root.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "class")).alias("head")).select("head.doc_id", "head.class")
+    heads = store.written(heads, "heads")
+    id_, set_, head_set = unused(docs.columns, "id", "set", "head_set")
+    key = F.col("doc_id").cast("long")
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    stays = heads.select("doc_id").union(rows.where("n_shingles = 0").select("doc_id"))
+    counts = store.written(counts.join(stays.distinct().select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi"), "kept-ids")
+    # Where a doc_id stands for one row, it decides; elsewhere the row's own set does.
+    single = docs.join(counts.where("n = 1").select(F.col("doc_id").alias(id_)), key.eqNullSafe(F.col(id_)), "left_semi")
+    repeated = docs.join(counts.where("n > 1").select(F.col("doc_id").alias(id_)), key.eqNullSafe(F.col(id_)), "left_semi")
+    repeated = repeated.withColumn(set_, class_of(F.col("text").cast("binary")))
+    chosen = heads.select(F.col("doc_id").alias(id_), F.col("class").alias(head_set))
+    chosen = repeated.join(chosen, key.eqNullSafe(F.col(id_)) & (F.col(set_) == F.col(head_set)), "left_semi").dropDuplicates(["doc_id", set_])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return single.union(repeated.where(F.col(set_).isNull()).select(columns)).union(chosen.select(columns))
 
 
 @F.pandas_udf(T.BinaryType())

@@ -43,7 +43,7 @@ class Mining:
     scale: int = 1_000_000
     best: int = 2000
     #: A block is about so many bytes of text.
-    block_bytes: int = 16_000_000
+    block_bytes: int = 8_000_000
     #: Ids below 2^dense_bits are counted in tiles of 2^tile_bits by 2^tile_bits, where a tile has at least a 32nd as many pairs as cells.
     dense_bits: int = 16
     tile_bits: int = 10
@@ -147,6 +147,8 @@ def slots(columns: list[np.ndarray], mining: Mining) -> np.ndarray:
 
 def tiled(left: np.ndarray, right: np.ndarray, mining: Mining) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of pairs of ids that are all below 2^dense_bits: (left, right, count), tile by tile."""
+    if len(left) == 0:
+        return (np.empty(0, np.int64),) * 3
     bits, low = mining.tile_bits, (1 << mining.tile_bits) - 1
     tile = (left >> bits << (mining.dense_bits - bits)) | (right >> bits)
     order = np.argsort(tile, kind="stable")

@@ -8,12 +8,12 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -69,6 +69,13 @@ def features_of(text: str | None) -> set[str]:
     return out
 
 
+def _slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts in lists of about ``size`` bytes, each with its place: whole batches of texts as Python objects take much memory."""
+    step = max(1, int(len(texts) * size / max(texts.nbytes, 1)))
+    for at in range(0, len(texts), step):
+        yield at, texts.slice(at, step).to_pylist()
+
+
 def _counts(categories: int, most: int = 200_000) -> Callable:
     """Counts of features for a task, given out whenever too many have come together."""
 
@@ -81,12 +88,14 @@ def _counts(categories: int, most: int = 200_000) -> Callable:
             return pa.RecordBatch.from_arrays(columns, ["feature", "n"])
 
         for batch in batches:
-            for text, labels in zip(batch.column("text").to_pylist(), batch.column("labels").to_pylist(), strict=True):
-                for feature in features_of(text):
-                    n = have[feature]
-                    n[0] += 1
-                    for i, label in enumerate(labels):
-                        n[i + 1] += label
+            labels = batch.column("labels").to_pylist()
+            for at, texts in _slices(batch.column("text")):
+                for place, text in enumerate(texts, at):
+                    for feature in features_of(text):
+                        n = have[feature]
+                        n[0] += 1
+                        for i, label in enumerate(labels[place]):
+                            n[i + 1] += label
                 if len(have) > most:
                     yield out()
         yield out()
@@ -97,17 +106,17 @@ def _counts(categories: int, most: int = 200_000) -> Callable:
 def _indexed(vocabulary: dict[str, int]) -> Callable:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(vocabulary[x] for x in features_of(text) & vocabulary.keys()) for text in batch.column("text").to_pylist()]
+            found = [sorted(vocabulary[x] for x in features_of(text) & vocabulary.keys()) for _, texts in _slices(batch.column("text")) for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("labels"), pa.array(found, pa.list_(pa.int32()))], ["fold", "labels", "found"])
 
     return index
 
 
-def _telling(n: float, positive: float, docs: float, positives: float) -> float:
+def _telling(n: Column, positive: Column, docs: int, positives: int) -> Column:
     """Log-likelihood ratio of a feature and a category."""
 
-    def term(k: float, e: float) -> float:
-        return k * math.log(k / e) if k > 0 else 0.0
+    def term(k: Column, e: Column) -> Column:
+        return F.when(k > 0, k * F.ln(k / e)).otherwise(0.0)
 
     rate = positives / docs
     rest, rest_positive = docs - n, positives - positive
@@ -136,8 +145,7 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
     vocabulary: dict[str, int] = {}
     for i, positive in enumerate(positives):
         if 0 < positive < docs:
-            tells = F.udf(lambda n, k, p=positive: _telling(n, k, docs, p), "double")
-            telling = counted.withColumn("tells", tells("n0", f"n{i + 1}")).where(F.col("tells") >= settings.least_telling)
+            telling = counted.withColumn("tells", _telling(F.col("n0"), F.col(f"n{i + 1}"), docs, positive)).where(F.col("tells") >= settings.least_telling)
             best = telling.orderBy(F.col("tells").desc(), "feature").limit(settings.features)
             for row in best.select("feature").collect():  # `features` rows at most
                 vocabulary.setdefault(row["feature"], len(vocabulary))
@@ -145,8 +153,9 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
     size = len(vocabulary)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(settings.folds)).cast("int")
     indexed = rows.select(fold.alias("fold"), "labels", "text").mapInArrow(_indexed(vocabulary), "fold int, labels array<int>, found array<int>")
-    indexed = store.written(indexed.withColumn("chain", F.array().cast("array<double>")), "toxic-rows")
-    as_vector = F.udf(lambda found, chain: SparseVector(size + len(chain), [*found, *range(size, size + len(chain))], [1.0] * len(found) + list(chain)), VectorUDT())
+    base = F.udf(lambda found: SparseVector(size, found, [1.0] * len(found)), VectorUDT())
+    indexed = indexed.select("fold", "labels", base("found").alias("base"), F.array().cast("array<double>").alias("chain"))
+    indexed = store.written(indexed, "toxic-rows")
     for i, positive in enumerate(positives):
         if not 0 < positive < docs or size + i == 0:
             share = positive / docs
@@ -156,7 +165,8 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
                 weights.append(0.0)
             indexed = indexed.withColumn("chain", F.concat("chain", F.array(F.lit(share))))
             continue
-        train = indexed.select("*", F.col("labels")[i].cast("double").alias("label"), as_vector("found", "chain").alias("features"))
+        both = VectorAssembler(inputCols=["base", "links"], outputCol="features") if i else VectorAssembler(inputCols=["base"], outputCol="features")
+        train = both.transform(indexed.select("*", F.col("labels")[i].cast("double").alias("label"), array_to_vector("chain").alias("links")))
         learner = LogisticRegression(regParam=settings.ridge, maxIter=settings.iterations, standardization=True)
         model = learner.fit(train)
         coefficients = model.coefficients.toArray()
@@ -170,18 +180,21 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
             for part in parts[1:]:
                 unseen = unseen.union(part)
             grown = F.concat("chain", F.array(vector_to_array("probability")[1])).alias("chain")
-            indexed = store.written(unseen.select("fold", "labels", "found", grown), "toxic-rows")
+            indexed = store.written(unseen.select("fold", "labels", "base", grown), "toxic-rows")
     return chain
 
 
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
-    """(doc_id, one probability for each category) for each row of ``docs``; a null text is an empty one."""
+    """(doc_id, one probability for each category) for each row of ``docs``; a null text is an empty one.
+
+    Every row is scored by its text alone, so rows that repeat a doc_id, or have none, each get their own.
+    """
     model = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.categories]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.value.probabilities(features_of(text)) for text in batch.column("text").to_pylist()]
+            found = [model.value.probabilities(features_of(text)) for _, texts in _slices(batch.column("text")) for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([x[i] for x in found], pa.float64()) for i in range(len(names))]], ["doc_id", *names])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
@@ -193,9 +206,9 @@ def without_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", cut: f
     model = docs.sparkSession.sparkContext.broadcast(chain)
     place = chain.categories.index(category)
 
-    @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: model.value.probabilities(features_of(text))[place]).astype(float)
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        return pa.array([model.value.probabilities(features_of(text))[place] for _, some in _slices(texts) for text in some], pa.float64())
 
     return docs.where(probability("text") < cut)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallycast.llm import decontam, lm, neardup, packing, pii, quality_rules, quality_trees, toxicity, urls, warc
+from tallycast.llm import decontam, importance, lm, mixing, neardup, packing, phrases, pii, quality_rules, quality_trees, toxicity, urls, warc
 from tallycast.llm.store import crc_of_id
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -116,6 +116,78 @@ def test_pages(spark):
     assert urls.judged(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
+CLASHES = ("_id", "_hash", "_class", "_group", "all", "found", "more", "text_hash", "id", "set", "head_set", "hash", "row", "n", "place", "takes", "source_size")
+
+
+@pytest.fixture(scope="module")
+def clashing_documents(odd_documents):
+    return odd_documents.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+def test_near_duplicates_lose_no_row(spark):
+    """Rows that share a doc_id, or have none, are kept unless they are copies."""
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g h", "i j k l m n o p"]
+    rows = [(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["text"] for r in neardup.kept_documents(docs).collect()) == sorted(texts)
+    more = docs.union(docs).union(spark.createDataFrame([(4, texts[0]), (6, texts[2]), (None, ""), (None, None)], docs.schema))
+    kept = [(r["doc_id"], r["text"]) for r in neardup.kept_documents(more).collect()]
+    assert sorted(kept, key=str) == sorted([(4, texts[0]), (5, texts[1]), (6, texts[2]), (None, texts[3]), (None, ""), (None, None)], key=str)
+
+
+def test_extra_columns_keep_their_values(clashing_documents, odd_documents, labels, benchmark):
+    stages = [
+        lambda docs: toxicity.without_toxic(docs, chain_of(odd_documents, labels)),
+        neardup.kept_documents,
+        lambda docs: decontam.without_contaminated(docs, benchmark),
+        lambda docs: decontam.without_passages(docs, benchmark),
+        pii.masked,
+    ]
+    for stage in stages:
+        out = stage(clashing_documents)
+        assert out.columns == clashing_documents.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHES)
+        plain = stage(odd_documents).collect()
+        assert sorted(str((r["doc_id"], r["text"])) for r in rows) == sorted(str((r["doc_id"], r["text"])) for r in plain)
+
+
+def test_phrases(spark, odd_documents, clashing_documents, no_documents):
+    assert phrases.collocations(no_documents).count() == 0
+    found = [tuple(r) for r in phrases.collocations(clashing_documents).collect()]
+    assert found == [tuple(r) for r in phrases.collocations(odd_documents).collect()]
+    # word0 word1 ... word996 again and again: every pair has a trigram of as many occurrences, or one less.
+    assert {r[0] for r in found} == {"en"} and len(found) == 997 and all(len(r[2].split()) == 3 for r in found)
+    few = phrases.Mining(least=2)
+    docs = spark.createDataFrame([(None, "a b. A b! c d"), (None, "c\td c d"), ("und", "x"), ("en", "c d"), ("en", None)], "lang string, text string")
+    rows = sorted(tuple(r) for r in phrases.collocations(docs, few).collect())
+    # (c d) 3 times, (d c) once; (a b) twice; n = 11 words without a language, or of und.
+    assert rows == [("und", 1, "c d", 3, 3, 3, 11, 1_000_000), ("und", 2, "a b", 2, 2, 2, 11, 1_000_000)]
+
+
+def test_mixing(odd_documents, clashing_documents, no_documents):
+    rows = mixing.mixed(odd_documents).collect()
+    assert len(rows) == 12 and mixing.mixed(no_documents).count() == 0
+    assert sorted(map(str, mixing.mixed(clashing_documents).collect())) == sorted(map(str, rows))
+    by_source = {r["source"]: r["source_size"] for r in rows}
+    assert by_source == {"a": 48, "b": 30_000, "c": 9 + 1 + 1 + 8, None: 0}
+    assert all(r["takes"][0]["taken"] <= 3 * r["size"] for r in rows)
+
+
+def test_importance(spark, odd_documents, clashing_documents, no_documents, benchmark):
+    rows = importance.resampled(odd_documents, benchmark).collect()
+    by_id = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    assert len(rows) == 12 and by_id[3]["n_features"] == by_id[4]["weight"] == 0 and by_id[6]["n_features"] == 3 * 30_000 - 3
+    assert all(r["rank"] is None for r in rows)  # a twentieth of one document that is long enough is none
+    every = importance.Draw(percent=100, least_words=0, pivots=2)
+    ranked = importance.resampled(clashing_documents, benchmark, draw=every).collect()
+    assert sorted(r["rank"] for r in ranked) == list(range(1, 13))
+    order = [(-r["score"], r["doc_id"] is None, r["doc_id"] or 0) for r in sorted(ranked, key=lambda r: r["rank"])]
+    assert order == sorted(order)
+    assert importance.resampled(no_documents, benchmark).count() == 0
+    assert importance.resampled(odd_documents, benchmark.limit(0)).count() == 12
+
+
 def test_pipeline_keeps_columns(spark, odd_documents, labels, benchmark, tmp_path):
     for name, rows in (("documents", odd_documents), ("labels", labels), ("benchmark", benchmark)):
         rows.write.parquet(f"{tmp_path}/{name}.parquet")
