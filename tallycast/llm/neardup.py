@@ -10,7 +10,6 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -112,15 +111,15 @@ def may_link(percent: int, bits: int) -> Column:
 
 def _read_sets(index: Index):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in _slices(batches):
             sizes, classes, signatures, sketches = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 shingles = shingle_set(text)
                 sizes.append(len(shingles))
                 classes.append(hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None)
                 signatures.append(index.signature(shingles).tobytes() if len(shingles) else None)
                 sketches.append(sketch(shingles, index.bits) if len(shingles) else None)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
+            columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "signature", "sketch"])
 
     return signed
@@ -139,13 +138,19 @@ def _keyed(index: Index):
     return keyed
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about ``size`` bytes, as what is made of them takes many times their size."""
     for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            found = [shingle_set(text) for text in part.column("text").to_pylist()]
-            classes = [hashlib.md5(x.tobytes()).digest() if len(x) else None for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["class", "shingles"])
+        step = max(1, int(len(batch) * size / max(batch.nbytes, 1)))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches):
+        found = [shingle_set(text) for text in part.column("text").to_pylist()]
+        classes = [hashlib.md5(x.tobytes()).digest() if len(x) else None for x in found]
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["class", "shingles"])
 
 
 def signed(docs: DataFrame, index: Index) -> DataFrame:
@@ -281,6 +286,6 @@ def kept_documents(docs: DataFrame, percent: int = 75, index: Index = Index()) -
     return single.union(repeated.where(F.col(set_).isNull()).select(columns)).union(chosen.select(columns))
 
 
-@F.pandas_udf(T.BinaryType())
-def class_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([hashlib.md5(x.tobytes()).digest() if len(x) else None for x in map(shingle_set, texts)], dtype=object)
+@F.arrow_udf(T.BinaryType())
+def class_of(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.md5(x.tobytes()).digest() if len(x) else None for x in (shingle_set(text.as_py()) for text in texts)], pa.binary())

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ class Tokens:
     length: int = 2048
     end: int = 0
     #: A worker remembers the ids of up to twice so many white-space separated strings, from task to task.
-    remembered: int = 450_000
+    remembered: int = 300_000
 
 
 #: A run of letters, then one of ASCII punctuation: as many pieces for the tokenizer as of these aren't empty.
@@ -217,16 +216,16 @@ class Underfull:
 
 
 def _packed(room: int):
-    def pack(block: pd.DataFrame) -> pd.DataFrame:
-        rows = block.sort_values("row")
-        lengths, ids = rows["length"].to_numpy(np.int64), rows["row"].to_numpy(np.int64)
-        out = np.empty((len(rows), 3), np.int64)
+    def pack(block: pa.Table) -> pa.Table:
+        rows = block.sort_by("row")
+        lengths, ids = rows.column("length").to_numpy(), rows.column("row").to_numpy()
+        out = np.empty((len(ids), 3), np.int64)
         for items in Underfull(best_fit(lengths, room), lengths, room).run():
             sizes = lengths[items]
             out[items, 0] = ids[items].min()
             out[items, 1] = np.cumsum(sizes) - sizes
             out[items, 2] = sizes.sum()
-        return pd.DataFrame({"row": ids, "length": lengths, "sequence_id": out[:, 0], "offset": out[:, 1], "filled": out[:, 2]})
+        return pa.table({"row": ids, "length": lengths, "sequence_id": out[:, 0], "offset": out[:, 1], "filled": out[:, 2]})
 
     return pack
 
@@ -247,7 +246,7 @@ def packed(docs: DataFrame, tokens: Tokens, search: Search = Search()) -> DataFr
         last = left <= search.block or (before is not None and left > before * 7 // 8)
         blocks = -(-left // search.block)
         block = F.pmod(F.xxhash64("row", F.lit(left)), F.lit(blocks)).alias("block")
-        found = pool.select("row", "length", block).groupBy("block").applyInPandas(_packed(tokens.length), "row long, length long, sequence_id long, offset long, filled long")
+        found = pool.select("row", "length", block).groupBy("block").applyInArrow(_packed(tokens.length), "row long, length long, sequence_id long, offset long, filled long")
         found = store.written(found, "packed")
         full = F.lit(True) if last else F.col("filled") >= tokens.length - search.slack
         done = done.union(found.where(full).select("row", "sequence_id", "offset"))
