@@ -13,9 +13,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def supplier_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense: every line item, by supplier, in whole currency units (sums are then exact as numbers)."""
+    """Dense: every line item, by supplier."""
     rows = table(spark, folder, "lineitem")
-    return clean.typed_ledger(rows, F.col("l_suppkey"), F.col("l_shipdate"), F.round("l_extendedprice"))
+    return clean.typed_ledger(rows, F.col("l_suppkey"), F.col("l_shipdate"), F.col("l_extendedprice"))
 
 
 def customer_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,7 @@ def event_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 SUPPLIER = """led AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS entity, CAST(l_shipdate AS DATE) AS date,
-         CAST(round(l_extendedprice) AS DECIMAL(20,4)) AS amount
+         CAST(l_extendedprice AS DECIMAL(20,4)) AS amount
   FROM lineitem
 )"""
 CUSTOMER = """led AS (

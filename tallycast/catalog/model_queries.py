@@ -182,8 +182,8 @@ def adf_test(spark, folder):
 FOUR = [models.AR, models.MA, models.ARMA, models.ARIMA]
 
 
-def four_fits(spark, folder: str) -> DataFrame:
-    return models.fit_specs(packed(spark, folder), FOUR)
+def four_fits(spark, folder: str, method: models.Method = models.GRID) -> DataFrame:
+    return models.fit_specs(packed(spark, folder), FOUR, method=method)
 
 
 def _run(name: str, points: str) -> str:

@@ -19,6 +19,31 @@ from pyspark.sql import functions as F
 # Ship this module inside the task, so that executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+
+
+def isolated(run, rows: int, width: int) -> tuple[list[tuple], list[str | None]]:
+    """``run`` of all places 0 .. rows - 1 at once; where it fails, of each half, down to the row that is to blame.
+
+    Returns a tuple of ``width`` values for each row (nulls where it failed) and the failure's text, null elsewhere.
+    """
+    out: list[tuple] = [(None,) * width] * rows
+    errors: list[str | None] = [None] * rows
+    open_ = [np.arange(rows)] if rows else []
+    while open_:
+        at = open_.pop()
+        try:
+            found = list(run(at))
+        except Exception as problem:
+            if len(at) == 1:
+                errors[at[0]] = f"error: {type(problem).__name__}: {problem}"
+            else:
+                open_ += [at[: len(at) // 2], at[len(at) // 2 :]]
+            continue
+        for place, row in zip(at.tolist(), found, strict=True):
+            out[place] = tuple(row)
+    return out, errors
+
+
 UNIT_ROOT = "tau double, used_lag int, n_used int, p_value double, status string"
 
 
@@ -91,8 +116,8 @@ def unit_root_udf(surface, fixed_lag: int | None = None):
                 continue
             try:
                 rows.append(unit_root_fit(np.asarray(values, dtype=float), fixed_lag))
-            except np.linalg.LinAlgError as problem:
-                rows.append((None, None, None, f"error: {problem}"))
+            except Exception as problem:
+                rows.append((None, None, None, f"error: {type(problem).__name__}: {problem}"))
         out = pd.DataFrame(rows, columns=["tau", "used_lag", "n_used", "status"])
         out.insert(3, "p_value", [p_value(row[0]) for row in rows])
         return out.astype({"tau": "float64", "used_lag": "Int32", "n_used": "Int32", "p_value": "float64"})
@@ -100,7 +125,7 @@ def unit_root_udf(surface, fixed_lag: int | None = None):
     return fit.asNondeterministic()
 
 
-CSS = "phi double, theta double, seasonal_phi double, seasonal_theta double, sse double, n_used int"
+CSS = "phi double, theta double, seasonal_phi double, seasonal_theta double, sse double, n_used int, error string"
 
 
 def _right_aligned(series, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,14 +249,15 @@ def css_udf(order, season_order, grids, bound=np.inf):
     @F.pandas_udf(CSS)
     def fit(series: pd.Series, skip: pd.Series) -> pd.DataFrame:
         values = [np.zeros(0) if v is None else np.asarray(v, dtype=float) for v in series]
-        found = css_fit(values, skip.fillna(1).astype(int).to_numpy(), order, season_order, grids, bound)
+        skips = skip.fillna(1).astype(int).to_numpy()
+        found, errors = isolated(lambda at: css_fit([values[i] for i in at], skips[at], order, season_order, grids, bound), len(values), 6)
         out = pd.DataFrame(found, columns=["phi", "theta", "seasonal_phi", "seasonal_theta", "sse", "n_used"])
-        return out.astype({"n_used": "Int32"})
+        return out.astype("float64").astype({"n_used": "Int32"}).assign(error=errors)
 
     return fit.asNondeterministic()
 
 
-PATH = "errors array<double>, ahead array<double>, growth array<double>"
+PATH = "errors array<double>, ahead array<double>, growth array<double>, error string"
 
 
 def _lag_weights(values: dict[str, np.ndarray], season: int) -> tuple[list, list, list]:
@@ -305,14 +331,17 @@ def css_path_udf(season):
         named = {"phi": phi, "theta": theta, "seasonal_phi": seasonal_phi, "seasonal_theta": seasonal_theta}
         values = {k: v.to_numpy(dtype=float) for k, v in {**named, "d": d, "sd": sd}.items()}
         series = [np.zeros(0) if v is None else np.asarray(v, dtype=float) for v in worked]
-        found = css_path(series, list(ys), values, months.fillna(0).astype(int).to_numpy(), season)
-        return pd.DataFrame(found, columns=["errors", "ahead", "growth"])
+        steps = months.fillna(0).astype(int).to_numpy()
+        some = lambda at: css_path([series[i] for i in at], [ys.iloc[i] for i in at], {k: v[at] for k, v in values.items()}, steps[at], season)
+        found, errors = isolated(some, len(series), 3)
+        return pd.DataFrame(found, columns=["errors", "ahead", "growth"]).assign(error=errors)
 
     return path.asNondeterministic()
 
 
 SMOOTH = (
-    "alpha double, beta double, gamma double, level double, trend double, season array<double>, sse double, n_used int"
+    "alpha double, beta double, gamma double, level double, trend double, season array<double>, sse double, n_used int, "
+    "error string"
 )
 
 
@@ -325,35 +354,14 @@ def smoothing_fit(series, season, grids, block_rows=256):
     good = [i for i, v in enumerate(series) if len(v) >= 2 * season]
     for start in range(0, len(good), block_rows):
         chosen = good[start : start + block_rows]
-        lengths = np.array([len(series[i]) for i in chosen])
-        width = int(lengths.max())
-        block = np.zeros((len(chosen), width))
-        for row, i in enumerate(chosen):
-            block[row, : lengths[row]] = series[i]
+        some = [series[i] for i in chosen]
         rows = np.arange(len(chosen))
-        first, second = block[:, :season].mean(axis=1), block[:, season : 2 * season].mean(axis=1)
         best = np.full((len(chosen), 3), 0.5)
         for step, half in grids:
             line = np.arange(-half, half + 1) * step
             cube = np.stack([g.ravel() for g in np.meshgrid(line, line, line, indexing="ij")], axis=-1)
             weights = np.clip(np.round(best[:, None, :] + cube[None], 6), 0.0, 1.0)
-            alpha, beta, gamma = weights[..., 0], weights[..., 1], weights[..., 2]
-            shape = alpha.shape
-            level = np.broadcast_to(first[:, None], shape).copy()
-            trend = np.broadcast_to(((second - first) / season)[:, None], shape).copy()
-            seasonal = np.broadcast_to((block[:, :season] - first[:, None]).T[:, :, None], (season, *shape)).copy()
-            sse = np.zeros(shape)
-            for t in range(season, width):
-                live = (t < lengths)[:, None]
-                y = block[:, t][:, None]
-                place = t % season
-                error = y - (level + trend + seasonal[place])
-                sse += np.where(live, error * error, 0.0)
-                raised = alpha * (y - seasonal[place]) + (1 - alpha) * (level + trend)
-                sloped = beta * (raised - level) + (1 - beta) * trend
-                turned = gamma * (y - level - trend) + (1 - gamma) * seasonal[place]
-                level, trend = np.where(live, raised, level), np.where(live, sloped, trend)
-                seasonal[place] = np.where(live, turned, seasonal[place])
+            sse, level, trend, seasonal = smoothed(some, season, weights)
             pick = np.argmin(sse, axis=1)
             best = weights[rows, pick]
         for row, i in enumerate(chosen):
@@ -364,20 +372,49 @@ def smoothing_fit(series, season, grids, block_rows=256):
                 float(trend[row, k]),
                 [float(v) for v in seasonal[:, row, k]],
                 float(sse[row, k]),
-                int(lengths[row] - season),
+                int(len(some[row]) - season),
             )
     return out
 
 
-def smoothing_udf(season, grids):
-    """Pandas UDF (series) -> struct of ``SMOOTH``; null parts below two seasons."""
+def smoothed(series, season, weights):
+    """Squared errors, level, trend and seasonal values at the end, for each (series, k) of the smoothing values ``weights``."""
+    lengths = np.array([len(v) for v in series])
+    width = int(lengths.max())
+    block = np.zeros((len(series), width))
+    for row, values in enumerate(series):
+        block[row, : lengths[row]] = values
+    first, second = block[:, :season].mean(axis=1), block[:, season : 2 * season].mean(axis=1)
+    alpha, beta, gamma = weights[..., 0], weights[..., 1], weights[..., 2]
+    shape = alpha.shape
+    level = np.broadcast_to(first[:, None], shape).copy()
+    trend = np.broadcast_to(((second - first) / season)[:, None], shape).copy()
+    seasonal = np.broadcast_to((block[:, :season] - first[:, None]).T[:, :, None], (season, *shape)).copy()
+    sse = np.zeros(shape)
+    for t in range(season, width):
+        live = (t < lengths)[:, None]
+        y = block[:, t][:, None]
+        place = t % season
+        error = y - (level + trend + seasonal[place])
+        sse += np.where(live, error * error, 0.0)
+        raised = alpha * (y - seasonal[place]) + (1 - alpha) * (level + trend)
+        sloped = beta * (raised - level) + (1 - beta) * trend
+        turned = gamma * (y - level - trend) + (1 - gamma) * seasonal[place]
+        level, trend = np.where(live, raised, level), np.where(live, sloped, trend)
+        seasonal[place] = np.where(live, turned, seasonal[place])
+    return sse, level, trend, seasonal
+
+
+def smoothing_udf(season, grids, fit_block=smoothing_fit):
+    """Pandas UDF (series) -> struct of ``SMOOTH``; null parts below two seasons. ``fit_block`` is another fit with the same results."""
 
     @F.pandas_udf(SMOOTH)
     def fit(series: pd.Series) -> pd.DataFrame:
         values = [np.zeros(0) if v is None else np.asarray(v, dtype=float) for v in series]
         names = ["alpha", "beta", "gamma", "level", "trend", "season", "sse", "n_used"]
-        out = pd.DataFrame(smoothing_fit(values, season, grids), columns=names)
+        found, errors = isolated(lambda at: fit_block([values[i] for i in at], season, *([grids] if grids else [])), len(values), 8)
+        out = pd.DataFrame(found, columns=names)
         floats = {name: "float64" for name in names if name not in ("season", "n_used")}
-        return out.astype({**floats, "n_used": "Int32"})
+        return out.astype({**floats, "n_used": "Int32"}).assign(error=errors)
 
     return fit.asNondeterministic()

@@ -111,3 +111,11 @@ def money_text(c: Column) -> Column:
 
 def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
+
+
+def folder_value(value: Column) -> Column:
+    """A partition value as it stands in the folder's name: signs a path can't hold as % and two digits."""
+    # The signs that partitioned writes escape.
+    escaped = r"[\x01-\x1f\x7f\"#%'*/:=?\\\\{\[\]^]"
+    signs = F.regexp_extract_all(value, F.lit(r"(?s)(.)"), F.lit(1))
+    return F.array_join(F.transform(signs, lambda c: F.when(c.rlike(escaped), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c)), "")

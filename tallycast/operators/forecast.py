@@ -21,7 +21,8 @@ def running_sum_of_squares(weights: Column) -> Column:
 
 def with_path(chosen: DataFrame, months: Column, values: str = "ys") -> DataFrame:
     """Add ``errors`` (one-step errors of the differenced series, zero at its first value, where nothing is
-    known) and ``path``, an array of (value, lower, upper) for the next ``months``; null without a fit."""
+    known) and ``path``, an array of (value, lower, upper) for the next ``months``; null without a fit. ``path_error`` is the failure
+    of a series whose path could not be worked out, null for all others."""
     fit = F.col("fit")
     inputs = [fit[k].cast("double") for k in ("phi", "theta", "seasonal_phi", "seasonal_theta", "d", "sd")]
     worked = F.when(fit.isNotNull(), working_series(F.col(values), fit["d"], fit["sd"]))
@@ -32,7 +33,7 @@ def with_path(chosen: DataFrame, months: Column, values: str = "ys") -> DataFram
         lambda v, growth: _band(v, F.lit(fixed.Z95) * F.sqrt(fit["sigma2"] * growth)),
     )
     ran = chosen.withColumn("_run", run)
-    return ran.select(*chosen.columns, F.col("_run.errors").alias("errors"), band.alias("path"))
+    return ran.select(*chosen.columns, F.col("_run.errors").alias("errors"), band.alias("path"), F.col("_run.error").alias("path_error"))
 
 
 def _band(value: Column, half: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, kernels, packed
+from ..functions import fixed, kernels, likelihood, packed
 from ..functions.text import order_text
 
 # (step, half count) of the searches over the moving-average values.
@@ -23,6 +23,25 @@ CUBE_SEARCH = ((0.2, 2), (0.05, 2))
 ENFORCED_BOUND = 0.99
 
 
+@dataclass(frozen=True)
+class Method:
+    """How a specification is fitted.
+
+    ``exact`` is the likelihood of the state-space model with a diffuse start instead of conditional squares; ``continuous`` a search without
+    a grid, which the exact likelihood always has.
+    """
+
+    exact: bool = False
+    continuous: bool = False
+
+    @property
+    def gridded(self) -> bool:
+        return not (self.exact or self.continuous)
+
+
+GRID, CONTINUOUS, EXACT = Method(), Method(continuous=True), Method(exact=True)
+
+
 @dataclass(frozen=True)
 class Spec:
     """(p, d, q)(P, D, Q, s); ``enforced`` keeps the autoregressive values inside the unit interval."""
@@ -47,6 +66,10 @@ class Spec:
         """Months without a one-step forecast."""
         return self.lost + 1
 
+    def burn(self, method: Method) -> int:
+        """Months whose errors don't count: those without a one-step forecast, or as many as the exact model's state has elements."""
+        return self.lost + likelihood.state_size(self.p, self.q, self.sp, self.sq, self.s) if method.exact else self.start
+
     @property
     def n_values(self) -> int:
         return self.p + self.q + self.sp + self.sq + 1
@@ -80,10 +103,11 @@ def working_series(ys: Column, d: Column | int, sd: Column | int, s: int = fixed
     return F.when(sd == 1, packed.differenced(once, s)).otherwise(once)
 
 
-def aic(sse: Column, n_used: Column, n_values: Column | int) -> Column:
-    """Gaussian AIC of a conditional fit; a perfect fit counts as one with a tiny error."""
+def aic(sse: Column, n_used: Column, n_values: Column | int, log_f: Column | float = 0.0) -> Column:
+    """Gaussian AIC; a perfect fit counts as one with a tiny error. ``log_f`` are the logarithms of the errors' relative variances, summed."""
     spread = F.lit(2 * math.pi) * F.greatest(sse, F.lit(1e-300)) / n_used
-    return F.when(sse.isNotNull() & (n_used > 0), n_used * (F.log(spread) + 1) + 2.0 * n_values)
+    log_f = F.lit(log_f) if isinstance(log_f, float) else log_f
+    return F.when(sse.isNotNull() & (n_used > 0), n_used * (F.log(spread) + 1) + log_f + 2.0 * n_values)
 
 
 def fit_specs(
@@ -92,32 +116,34 @@ def fit_specs(
     active: list[Column] | None = None,
     values: str = "ys",
     column: str = "fits",
+    method: Method = GRID,
 ) -> DataFrame:
     """Add an array of fits, one struct per active specification.
 
     The squares of all active candidates of a series are summed over the same months (those after the
-    longest start among them), so that their AIC can be compared.
+    longest start among them), so that their AIC can be compared. A series whose fit fails keeps the others' and has
+    the failure as that fit's status.
     """
     n = F.size(values)
-    usable = [
-        (active[i] if active else F.lit(True)) & (n >= spec.least_months) for i, spec in enumerate(specs)
-    ]
-    start = F.greatest(F.lit(0), *[F.when(usable[i], spec.start).otherwise(0) for i, spec in enumerate(specs)])
+    least = [max(spec.least_months, spec.burn(method) + spec.n_values) for spec in specs]
+    usable = [(active[i] if active else F.lit(True)) & (n >= least[i]) for i in range(len(specs))]
+    start = F.greatest(F.lit(0), *[F.when(usable[i], spec.burn(method)).otherwise(0) for i, spec in enumerate(specs)])
     rows = series.withColumn("_start", start)
     fitted = {}
     for i, spec in enumerate(specs):
         search = PLANE_SEARCH if spec.s else LINE_SEARCH
         bound = ENFORCED_BOUND if spec.enforced else math.inf
-        udf = kernels.css_udf((spec.p, spec.q), (spec.sp, spec.sq, spec.s), search, bound)
+        orders = (spec.p, spec.q), (spec.sp, spec.sq, spec.s)
+        udf = kernels.css_udf(*orders, search, bound) if method.gridded else likelihood.likelihood_udf(*orders, method.exact, bound)
         worked = F.when(usable[i], working_series(F.col(values), spec.d, spec.sd))
         fitted[f"_fit{i}"] = udf(worked, (F.col("_start") - spec.lost).cast("int"))
     rows = rows.withColumns(fitted)  # one projection: one round trip to Python for all candidates
     structs = []
     for i, spec in enumerate(specs):
         fit = F.col(f"_fit{i}")
-        score = aic(fit["sse"], fit["n_used"], spec.n_values)
+        score = aic(fit["sse"], fit["n_used"], spec.n_values, 0.0 if method.gridded else fit["log_f"])
         score = F.when(~F.isnan(score), score)
-        status = F.when(n < spec.least_months, "short").when(score.isNull(), "no fit").otherwise("ok")
+        status = F.when(n < least[i], "short").when(fit["error"].isNotNull(), fit["error"]).when(score.isNull(), "no fit").otherwise("ok")
         structs.append(
             F.when(
                 active[i] if active else F.lit(True),
@@ -126,7 +152,7 @@ def fit_specs(
                     F.lit(spec.name).alias("name"),
                     F.lit(spec.label).alias("label"),
                     *[F.lit(getattr(spec, k)).alias(k) for k in ("p", "d", "q", "sp", "sd", "sq", "s")],
-                    F.lit(spec.start).alias("start"),
+                    F.lit(spec.burn(method)).alias("start"),
                     *[fit[k].alias(k) for k in ("phi", "theta", "seasonal_phi", "seasonal_theta", "sse", "n_used")],
                     (fit["sse"] / fit["n_used"]).alias("sigma2"),
                     score.alias("aic"),
@@ -138,16 +164,31 @@ def fit_specs(
     return rows.select(*series.columns, fits.alias(column))
 
 
-def fit_one(series: DataFrame, spec: Spec, values: str = "ys", column: str = "fit") -> DataFrame:
+def fit_one(series: DataFrame, spec: Spec, values: str = "ys", column: str = "fit", method: Method = GRID) -> DataFrame:
     """Fit one fixed specification to every series; null where it cannot be fitted."""
-    many = fit_specs(series, [spec], values=values, column="_fits")
+    many = fit_specs(series, [spec], values=values, column="_fits", method=method)
     one = F.get("_fits", F.lit(0))
     return many.withColumn(column, F.when(one["status"] == "ok", one)).drop("_fits")
 
 
-def fit_smoothing(series: DataFrame, values: str = "ys", column: str = "smooth") -> DataFrame:
-    """Add the Holt-Winters fit with its mean squared error and AIC; null parts below two years."""
-    rows = series.withColumn("_smooth", kernels.smoothing_udf(fixed.SEASON, CUBE_SEARCH)(F.col(values)))
+def likelihood_at(series: DataFrame, spec: Spec, theta: float, big_theta: float = 0.0, values: str = "ys") -> DataFrame:
+    """Add ``fit``: the exact likelihood where the moving-average values are given: phi, seasonal_phi, sigma2, n_used, loglik, error.
+
+    Null for series that are too short."""
+    udf = likelihood.likelihood_udf((spec.p, spec.q), (spec.sp, spec.sq, spec.s), True, fixed=(theta, big_theta))
+    long_enough = F.size(values) > spec.burn(EXACT) + spec.n_values
+    rows = series.withColumn("_fit", udf(F.when(long_enough, working_series(F.col(values), spec.d, spec.sd)), F.lit(1)))
+    fit, n = F.col("_fit"), F.col("_fit.n_used")
+    loglik = -0.5 * aic(fit["sse"], n, 0, fit["log_f"])
+    parts = [fit["phi"], fit["seasonal_phi"], (fit["sse"] / n).alias("sigma2"), n.alias("n_used"), loglik.alias("loglik"), fit["error"]]
+    return rows.withColumn("fit", F.when(fit["sse"].isNotNull() | fit["error"].isNotNull(), F.struct(*parts))).drop("_fit")
+
+
+def fit_smoothing(series: DataFrame, values: str = "ys", column: str = "smooth", method: Method = GRID) -> DataFrame:
+    """Add the Holt-Winters fit with its mean squared error and AIC; null below two years, and where the fit failed, with
+    the failure in ``<column>_error``."""
+    udf = kernels.smoothing_udf(fixed.SEASON, CUBE_SEARCH) if method.gridded else kernels.smoothing_udf(fixed.SEASON, None, likelihood.smoothing_fit)
+    rows = series.withColumn("_smooth", udf(F.col(values)))
     fit = F.col("_smooth")
     names = ("alpha", "beta", "gamma", "level", "trend", "season", "sse", "n_used")
     n_values = fixed.SEASON + 4
@@ -156,7 +197,8 @@ def fit_smoothing(series: DataFrame, values: str = "ys", column: str = "smooth")
         (fit["sse"] / fit["n_used"]).alias("mse"),
         F.when(fit["sse"] > 0, fit["n_used"] * F.log(fit["sse"] / fit["n_used"]) + 2.0 * n_values).alias("aic"),
     )
-    return rows.withColumn(column, F.when(fit["sse"].isNotNull() & ~F.isnan(fit["sse"]), full)).drop("_smooth")
+    whole = F.when(fit["sse"].isNotNull() & ~F.isnan(fit["sse"]), full)
+    return rows.withColumns({column: whole, f"{column}_error": fit["error"]}).drop("_smooth")
 
 
 def order_of(fit: Column) -> Column:

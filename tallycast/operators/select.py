@@ -12,7 +12,7 @@ from . import models
 AIC_FAMILY, MSE_FAMILY = "aic", "mse"
 
 
-def service_candidates(flagged: DataFrame) -> DataFrame:
+def service_candidates(flagged: DataFrame, method: models.Method = models.GRID) -> DataFrame:
     """Fit the candidates of the service rule on packed series with flags ``seasonal`` and ``stationary``:
     a seasonal model when the series is seasonal; the integrated model when it is not stationary, else
     the three stationary ones."""
@@ -20,10 +20,10 @@ def service_candidates(flagged: DataFrame) -> DataFrame:
     seasonal = F.col("seasonal") & stationary.isNotNull()
     specs = [models.SARIMA, models.ARIMA, models.AR, models.MA, models.ARMA]
     active = [seasonal, ~stationary, stationary, stationary, stationary]
-    return models.fit_specs(flagged, specs, [F.coalesce(a, F.lit(False)) for a in active])
+    return models.fit_specs(flagged, specs, [F.coalesce(a, F.lit(False)) for a in active], method=method)
 
 
-def classic_candidates(flagged: DataFrame) -> DataFrame:
+def classic_candidates(flagged: DataFrame, method: models.Method = models.GRID) -> DataFrame:
     """Fit the candidates of the classic rule: a seasonal series gets the seasonal model alone, with a plain
     difference when it is not stationary; else as in the service rule."""
     stationary = F.col("stationary")
@@ -37,7 +37,7 @@ def classic_candidates(flagged: DataFrame) -> DataFrame:
         ~seasonal & stationary,
         ~seasonal & stationary,
     ]
-    return models.fit_specs(flagged, specs, [F.coalesce(a, F.lit(False)) for a in active])
+    return models.fit_specs(flagged, specs, [F.coalesce(a, F.lit(False)) for a in active], method=method)
 
 
 def ranked_fits(fits: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.calendars import future_months
-from ..functions.text import iso_date, safe_key
+from ..functions.text import folder_value, iso_date, safe_key
 from ..operators import anomaly, clean, decompose, forecast, horizon, models, select, series, unitroot
 
 RULES = {
@@ -71,16 +71,20 @@ def diagnosed_series(
     return unitroot.with_unit_root(flagged, values=F.when(~F.col("thin"), F.col("ys")))
 
 
-def chosen_models(diagnosed: DataFrame, rule: str = "service") -> DataFrame:
-    """Add the chosen ``fit`` and, only where no model could be scored, the smoothing fit."""
+def chosen_models(diagnosed: DataFrame, rule: str = "service", method: models.Method = models.GRID) -> DataFrame:
+    """Add the chosen ``fit`` and, only where no model could be scored, the smoothing fit; ``fit_error`` is the failure of
+    a series that no model could be fitted to."""
     if rule == "classic":
-        chosen = select.choose_best(select.classic_candidates(diagnosed))
+        chosen = select.choose_best(select.classic_candidates(diagnosed, method))
         none = F.lit(None).cast(chosen.schema["fit"].dataType)
         chosen = chosen.withColumns({"runner_up": none, "margin_rule": F.lit("not applicable")})
     else:
-        chosen = select.choose_with_margin(select.service_candidates(diagnosed))
+        chosen = select.choose_with_margin(select.service_candidates(diagnosed, method))
     needed = F.when(F.col("fit").isNull() & ~F.col("thin"), F.col("ys"))
-    return models.fit_smoothing(chosen.withColumn("_needed", needed), values="_needed").drop("_needed", "fits")
+    smoothed = models.fit_smoothing(chosen.withColumn("_needed", needed), values="_needed", method=method)
+    failed = F.get(F.filter(F.transform("fits", lambda f: f["status"]), lambda s: s.startswith("error: ")), F.lit(0))
+    error = F.when(F.col("fit").isNull(), F.coalesce(failed, "smooth_error"))
+    return smoothed.withColumn("fit_error", error).drop("_needed", "fits", "smooth_error")
 
 
 def forecast_ledger(
@@ -89,22 +93,31 @@ def forecast_ledger(
     months: int | None = None,
     rule: str = "service",
     include_burn_in: bool = False,
+    method: models.Method = models.GRID,
 ) -> DataFrame:
-    """One row per entity with everything that was found out about it.
+    """One row per entity with everything that was found out about it. ``method`` is how models are fitted.
+
+    An entity whose test or path fails, or all of whose fits do, has the status ``error: ...`` and neither model nor forecast; it stops no
+    other. Where the smoothing fit steps in for models that failed, the failure is among the explanations.
 
     ``requests`` is an optional table (entity, months) of asked horizons, ``months`` one horizon for all.
     Columns: status, method (model, smoothing, naive), model, model_order, seasonal_order, aic, months, reason,
     path, errors, anomalies, explanations, and the diagnosis.
     """
-    chosen = chosen_models(diagnosed_series(ledger, rule, requests, months), rule)
+    chosen = chosen_models(diagnosed_series(ledger, rule, requests, months), rule, method)
+    chosen = forecast.with_path(chosen, F.col("months"))
+    tested = F.when(F.col("unit_root_status").startswith("error: "), F.col("unit_root_status"))
+    unfit = F.when(F.col("smooth").isNull(), F.col("fit_error"))
+    failed = F.coalesce(tested, unfit, F.col("path_error"))
+    chosen = chosen.withColumn("status", F.when((F.col("status") == "ok") & failed.isNotNull(), failed).otherwise(F.col("status")))
     fit, smooth = F.col("fit"), F.col("smooth")
-    method = (
+    way = (
         F.when(F.col("status") != "ok", None)
         .when(fit.isNotNull(), "model")
         .when(smooth.isNotNull(), "smoothing")
         .otherwise("naive")
     )
-    rows = forecast.with_path(chosen.withColumn("method", method), F.col("months"))
+    rows = chosen.drop("path_error").withColumn("method", way)
     by_method = {
         "model": (F.col("path"), fit["name"]),
         "smoothing": (forecast.smooth_path(smooth, F.col("n_months"), F.col("months")), F.lit("HOLT_WINTERS")),
@@ -124,7 +137,7 @@ def forecast_ledger(
             "anomalies": anomaly.anomaly_list(include_burn_in),
         }
     )
-    return rows.withColumn("explanations", explanations())
+    return rows.withColumn("explanations", explanations()).drop("fit_error")
 
 
 def explanations() -> Column:
@@ -148,6 +161,7 @@ def explanations() -> Column:
         F.when(second.isNotNull(), F.format_string("Runner-up %s with AIC %.1f", second["label"], second["aic"])),
         F.when(F.col("margin_rule") == "replaced", "The seasonal model did not win by the needed margin"),
         F.when(fit.isNotNull(), F.format_string("Chosen model %s with AIC %.1f", fit["label"], fit["aic"])),
+        F.concat(F.lit("No model could be fitted: "), F.col("fit_error")),
         F.when(F.col("method") == "smoothing", "No model could be scored: exponential smoothing is used"),
         F.when(F.col("method") == "naive", "Series too short, constant or without a model: the last value is repeated"),
         F.format_string("Horizon %d months: %s", "months", "reason"),
@@ -168,7 +182,8 @@ def anomaly_rows(results: DataFrame) -> DataFrame:
 def run_summary(results: DataFrame, out_path: str = "") -> DataFrame:
     """The audit table: what became of each entity and where its forecast lies; empty where none was made."""
     made = (F.col("status") == "ok") & (F.size("path") > 0)
-    place = F.when(made, F.concat(F.lit(out_path), safe_key(F.col("entity")))).otherwise("")
+    inner = F.concat(F.lit("/entity="), folder_value(F.col("entity")))
+    place = F.when(made, F.concat(F.lit(out_path), safe_key(F.col("entity")), inner)).otherwise("")
     return results.select("entity", "status", "method", place.alias("out_path"))
 
 
