@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..history import queries as history
-from ..history import tables
+from ..history import journal, tables
 from ..operators import anomaly
 from ..plans import pipeline
-from .ledgers import supplier_ledger, table
+from ..session import cut_lineage, shared_folder
+from .ledgers import PROFILE, SAFE, supplier_ledger, table
+from .model_queries import BASE, SELECTED, rounded_anomalies
+from .model_queries import ORACLES as ORACLES_OF_MODELS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -288,3 +291,86 @@ def run_history(spark, folder):
     """The prediction rows a run over all suppliers adds to the history."""
     results = pipeline.forecast_ledger(supplier_ledger(spark, folder))
     return tables.run_tables(results, "run", 1)["predictions"].drop("created_at")
+
+
+# --- Appends and lookups ----------------------------------------------------------------------------------------------
+
+
+@query(
+    "append_accounts",
+    """SELECT c_custkey AS user_id, sha256(c_name) AS api_key, c_name AS organization, c_acctbal > 0 AS is_active
+    FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0""",
+)
+def append_accounts(spark, folder):
+    """Two batches of accounts that overlap, each of them given twice."""
+    place, accounts = shared_folder(spark, "accounts"), users(spark, folder)
+    for batch, some in (("first", accounts.where("user_id % 3 <> 0")), ("second", accounts.where("user_id % 2 = 0"))):
+        for _ in range(2):
+            tables.append_users(some, place, batch)
+    found = tables.committed_tables(spark, place)["users"]
+    return found.select("user_id", "api_key", "organization", "is_active")
+
+
+def _appended_run(spark, folder: str) -> dict[str, DataFrame]:
+    """One run over all suppliers, appended twice."""
+    place, results = shared_folder(spark, "run"), cut_lineage(pipeline.forecast_ledger(supplier_ledger(spark, folder)))
+    for _ in range(2):
+        tables.append_run(results, place, "run", 1)
+    return tables.committed_tables(spark, place)
+
+
+def _entity(found: dict[str, DataFrame]) -> DataFrame:
+    return found["uploaded_files"].select("file_id", F.regexp_replace("filename", "^by_code_", "").alias("entity"))
+
+
+@query(
+    "run_files",
+    f"""WITH {BASE}, {PROFILE} SELECT 'by_code_' || p.entity AS filename, l.row_count, p.n_months, strftime(first_month, '%Y-%m-%d') AS date_range_start,
+    strftime(last_month, '%Y-%m-%d') AS date_range_end FROM prof p JOIN (SELECT entity, count(*) AS row_count FROM led GROUP BY 1) l ON l.entity = p.entity""",
+)
+def run_files(spark, folder):
+    return _appended_run(spark, folder)["uploaded_files"].select("filename", "row_count", "n_months", "date_range_start", "date_range_end")
+
+
+@query(
+    "run_predictions",
+    f"""WITH RECURSIVE {BASE}, {PROFILE}, {SELECTED}
+    SELECT path.entity, model AS model_name, CASE model WHEN 'AR' THEN '(1, 0, 0)' WHEN 'MA' THEN '(0, 0, 1)' WHEN 'ARIMA' THEN '(1, 1, 1)' ELSE '(1, 0, 1)' END AS model_order,
+      CASE model WHEN 'SARIMA' THEN '(1, 1, 1, 12)' ELSE '(0, 0, 0, 0)' END AS seasonal_order, CAST({SAFE} AS INTEGER) AS forecast_months,
+      h, strftime(CAST(path.last_month + to_months(h) AS DATE), '%Y-%m-%d') AS date, round(path.y[-1], 1) AS value
+    FROM path JOIN prof ON prof.entity = path.entity WHERE h BETWEEN 1 AND {SAFE}""",
+)
+def run_predictions(spark, folder):
+    """The predictions of the run, their stored forecasts read back."""
+    found = _appended_run(spark, folder)
+    rows = found["predictions"].join(_entity(found), "file_id").withColumn("f", F.from_json("forecast_json", tables.FORECAST))
+    points = F.posexplode(F.arrays_zip(F.col("f.dates").alias("date"), F.col("f.values").alias("value"))).alias("place", "p")
+    each = rows.select("entity", "model_name", "model_order", "seasonal_order", "forecast_months", points)
+    return each.select(*each.columns[:5], (F.col("place") + 1).alias("h"), "p.date", F.round("p.value", 1).alias("value"))
+
+
+@query("run_anomalies", ORACLES_OF_MODELS["pipeline_anomalies"])
+def run_anomalies(spark, folder):
+    found = _appended_run(spark, folder)
+    owners = found["predictions"].join(_entity(found), "file_id").select("pred_id", "entity")
+    rows = found["anomalies"].join(owners, "pred_id").withColumn("anomaly_date", F.col("anomaly_date").cast("date"))
+    return rounded_anomalies(rows)
+
+
+@query(
+    "prediction_by_key",
+    f"""WITH {PREDICTIONS}, latest AS (SELECT o_custkey, max(o_orderkey) AS pred_id FROM orders GROUP BY 1),
+    account AS (SELECT c_custkey FROM customer JOIN latest ON o_custkey = c_custkey ORDER BY c_custkey DESC LIMIT 1)
+    SELECT p.user_id, p.pred_id, model_name AS model, forecast_months, o_totalprice AS aic FROM preds p JOIN latest l ON l.pred_id = p.pred_id
+    JOIN account a ON a.c_custkey = p.user_id""",
+)
+def prediction_by_key(spark, folder):
+    """From a key to its account to the account's latest prediction, out of bucketed tables: the last account that has one."""
+    place = shared_folder(spark, "bucketed")
+    tables.append_users(users(spark, folder), place, "all")
+    rows = predictions(spark, folder).withColumn("run_id", F.lit("all"))
+    journal.append(rows, f"{place}/predictions", "all", *tables.KEYS["predictions"])
+    found = tables.committed_tables(spark, place)
+    last = rows.groupBy("user_id").agg(F.max("pred_id").alias("pred_id")).join(users(spark, folder), "user_id").orderBy(F.desc("user_id")).select("api_key", "pred_id").first()
+    one = tables.prediction_by_key(found, *last)
+    return one.select("user_id", "pred_id", F.col("model_name").alias("model"), "forecast_months", F.col("model_aic").alias("aic"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.calendars import future_months
 from ..functions.text import iso_date
+from ..session import cut_lineage
+from . import journal
 
 SCHEMAS = {
     "users": (
@@ -128,3 +130,38 @@ def save_run(results: DataFrame, folder: str, run_id: str, user_id: int) -> None
             .partitionBy("run_id")
             .parquet(f"{folder}/{name}")
         )
+
+
+#: The keys of the tables, and the column whose hash deals their rows into buckets.
+KEYS = {
+    "users": (["api_key"], "api_key"),
+    "uploaded_files": (["run_id", "file_id"], "user_id"),
+    "predictions": (["run_id", "pred_id"], "user_id"),
+    "anomalies": (["run_id", "anomaly_id"], "pred_id"),
+}
+
+
+def append_users(users: DataFrame, folder: str, batch: str) -> None:
+    """Register accounts (rows of the ``users`` schema) once: a key that has an account keeps it, a repeated batch adds nothing."""
+    journal.append(users, f"{folder}/users", batch, *KEYS["users"])
+
+
+def append_run(results: DataFrame, folder: str, run_id: str, user_id: int) -> None:
+    """Add one run to files, predictions and anomalies, each as one append; what a broken-off run has committed stays and is not repeated.
+
+    The fitted rows are checkpointed once and feed all three.
+    """
+    for name, rows in run_tables(cut_lineage(results), run_id, user_id).items():
+        journal.append(rows, f"{folder}/{name}", run_id, *KEYS[name])
+
+
+def committed_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables that :func:`append_users` and :func:`append_run` write, with their buckets."""
+    return {name: journal.committed(spark, f"{folder}/{name}", schema) for name, schema in SCHEMAS.items()}
+
+
+def prediction_by_key(found: dict[str, DataFrame], api_key: str, pred_id: int | None = None) -> DataFrame:
+    """The predictions of the account that owns a key, or that one of them. One bucket of accounts is read, and that account's of the predictions."""
+    account = journal.looked_up(found["users"], "api_key", api_key)
+    own = journal.of_these(found["predictions"], account, "user_id")
+    return own if pred_id is None else own.where(F.col("pred_id") == pred_id)
