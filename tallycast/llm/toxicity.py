@@ -10,9 +10,8 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +75,7 @@ def _slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[
         yield at, texts.slice(at, step).to_pylist()
 
 
-def _counts(categories: int, most: int = 200_000) -> Callable:
+def _counts(categories: int, most: int = 100_000) -> Callable:
     """Counts of features for a task, given out whenever too many have come together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +105,8 @@ def _counts(categories: int, most: int = 200_000) -> Callable:
 def _indexed(vocabulary: dict[str, int]) -> Callable:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(vocabulary[x] for x in features_of(text) & vocabulary.keys()) for _, texts in _slices(batch.column("text")) for text in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("labels"), pa.array(found, pa.list_(pa.int32()))], ["fold", "labels", "found"])
+            found = [sorted(features_of(text) & vocabulary.keys()) for _, texts in _slices(batch.column("text")) for text in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("labels"), pa.array(found, pa.list_(pa.string()))], ["fold", "labels", "found"])
 
     return index
 
@@ -152,9 +151,10 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
 
     size = len(vocabulary)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(settings.folds)).cast("int")
-    indexed = rows.select(fold.alias("fold"), "labels", "text").mapInArrow(_indexed(vocabulary), "fold int, labels array<int>, found array<int>")
-    base = F.udf(lambda found: SparseVector(size, found, [1.0] * len(found)), VectorUDT())
-    indexed = indexed.select("fold", "labels", base("found").alias("base"), F.array().cast("array<double>").alias("chain"))
+    indexed = rows.select(fold.alias("fold"), "labels", "text").mapInArrow(_indexed(vocabulary), "fold int, labels array<int>, found array<string>")
+    if size:
+        indexed = CountVectorizerModel.from_vocabulary(list(vocabulary), "found", "base", binary=True).transform(indexed)
+    indexed = indexed.select("fold", "labels", *["base"] * bool(size), F.array().cast("array<double>").alias("chain"))
     indexed = store.written(indexed, "toxic-rows")
     for i, positive in enumerate(positives):
         if not 0 < positive < docs or size + i == 0:
@@ -165,7 +165,7 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
                 weights.append(0.0)
             indexed = indexed.withColumn("chain", F.concat("chain", F.array(F.lit(share))))
             continue
-        both = VectorAssembler(inputCols=["base", "links"], outputCol="features") if i else VectorAssembler(inputCols=["base"], outputCol="features")
+        both = VectorAssembler(inputCols=["base"] * bool(size) + ["links"] * bool(i), outputCol="features")
         train = both.transform(indexed.select("*", F.col("labels")[i].cast("double").alias("label"), array_to_vector("chain").alias("links")))
         learner = LogisticRegression(regParam=settings.ridge, maxIter=settings.iterations, standardization=True)
         model = learner.fit(train)
@@ -180,7 +180,7 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
             for part in parts[1:]:
                 unseen = unseen.union(part)
             grown = F.concat("chain", F.array(vector_to_array("probability")[1])).alias("chain")
-            indexed = store.written(unseen.select("fold", "labels", "base", grown), "toxic-rows")
+            indexed = store.written(unseen.select("fold", "labels", *["base"] * bool(size), grown), "toxic-rows")
     return chain
 
 
