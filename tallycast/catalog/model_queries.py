@@ -300,6 +300,13 @@ def each_fit(spark, folder: str) -> DataFrame:
     )
 
 
+def arma_fit(spark, folder: str) -> DataFrame:
+    """One row per entity: the ARMA model of the four alone, over the months that count for all of them."""
+    rows = packed(spark, folder).withColumn("last_month", F.element_at("months_axis", -1))
+    fitted = models.fit_one(rows, models.ARMA, first=max(spec.start for spec in FOUR))
+    return fitted.filter(F.col("fit").isNotNull())
+
+
 RESIDUALS = f"""{FITTED}, res(entity, name, d, phi, theta, sse, n_used, t, w, e) AS (
   SELECT s.entity, name, s.d, phi, theta, sse, n_used, CAST(1 AS BIGINT), wl.w, 0::DOUBLE
   FROM scored s JOIN wl ON wl.entity = s.entity AND wl.d = s.d AND wl.t = 1
@@ -339,7 +346,7 @@ def forecast_models(spark, folder):
       round(max(pow(phi, h - 1) * w1) - min(pow(phi, h - 1) * w1), 1) AS forecast_range FROM f GROUP BY 1""",
 )
 def forecast_kpis(spark, folder):
-    chosen = each_fit(spark, folder).filter(F.col("label") == models.ARMA.label)
+    chosen = arma_fit(spark, folder)
     ahead = forecast.long_forecast(forecast.with_path(chosen, F.lit(12)))
     rows = forecast.forecast_kpis(monthly(spark, folder), ahead)
     rounded = [F.round(c, 1).alias(c) for c in ("mean_forecast", "forecast_range")]
@@ -353,12 +360,8 @@ def forecast_kpis(spark, folder):
 )
 def in_sample_mse(spark, folder):
     rows = anomaly.fitted_rows(forecast.with_path(each_fit(spark, folder), F.lit(1)), False, "label")
-    keyed = rows.withColumn("entity", F.concat_ws("/", "entity", "label"))
-    mse = backtest.in_sample_mse(keyed)
-    parts = F.split("entity", "/")
-    return mse.select(
-        parts[0].alias("entity"), parts[1].alias("label"), F.round(F.col("mse") / 1e6, 2).alias("mse_millions")
-    )
+    mse = backtest.in_sample_mse(rows, "label")
+    return mse.select("entity", "label", F.round(F.col("mse") / 1e6, 2).alias("mse_millions"))
 
 
 # --- Anomalies ------------------------------------------------------------------------------------------------------
@@ -401,13 +404,13 @@ def _anomalies_of_model(start: str) -> str:
 
 @query("anomalies_model", _anomalies_of_model("s.t > 1"))
 def anomalies_model(spark, folder):
-    chosen = each_fit(spark, folder).filter(F.col("label") == models.ARMA.label)
+    chosen = arma_fit(spark, folder)
     return rounded_anomalies(anomaly.scan(anomaly.fitted_rows(forecast.with_path(chosen, F.lit(1)))))
 
 
 @query("anomalies_with_start", _anomalies_of_model("true").replace("abs(residual) / abs(y - residual) * 100", "CASE WHEN y = residual THEN 0 ELSE abs(residual) / abs(y - residual) * 100 END"))
 def anomalies_with_start(spark, folder):
-    chosen = each_fit(spark, folder).filter(F.col("label") == models.ARMA.label)
+    chosen = arma_fit(spark, folder)
     fitted = forecast.with_path(chosen, F.lit(1)).withColumn("anomalies", anomaly.anomaly_list(include_burn_in=True))
     rows = pipeline.anomaly_rows(fitted).withColumn("anomaly_date", F.col("date").cast("date"))
     return rounded_anomalies(rows)
@@ -419,7 +422,7 @@ def anomalies_with_start(spark, folder):
     round(stddev_samp(e), 1) AS std_residual FROM res WHERE name = 'ARMA' AND t > 1 GROUP BY 1""",
 )
 def residual_moments(spark, folder):
-    chosen = each_fit(spark, folder).filter(F.col("label") == models.ARMA.label)
+    chosen = arma_fit(spark, folder)
     rows = anomaly.residual_moments(anomaly.fitted_rows(forecast.with_path(chosen, F.lit(1))))
     return rows.select("entity", "n_residuals", *[F.round(c, 1).alias(c) for c in ("mean_residual", "std_residual")])
 
@@ -438,18 +441,13 @@ TRAINED = _fitted("1 + d", "tr_")
     ), f AS (
       SELECT s.entity, s.y, pow(phi, s.t - tail.t - 1) * (phi * w + theta * e) AS value
       FROM tail JOIN ser s ON s.entity = tail.entity AND s.t > tail.t)
-    SELECT entity, count(*) AS n_tested, round(log10(avg(abs(y - value) / greatest(abs(y), 2.220446049250313e-16))), 8) AS log_mape
+    SELECT entity, count(*) AS n_tested, CAST(printf('%.6e', avg(abs(y - value) / greatest(abs(y), 2.220446049250313e-16))) AS DOUBLE) AS mape
     FROM f GROUP BY 1""",
 )
 def backtest_mape(spark, folder):
     rows = backtest.mape(backtest.tested_rows(packed(spark, folder), models.ARMA))
-    # A month without payment makes the relative error huge, so the query shows its logarithm.
-    return rows.select("entity", "n_tested", F.round(F.log10("mape"), 8).alias("log_mape"))
-
-
-@query("backtest_seasonal")
-def backtest_seasonal(spark, folder):
-    return backtest.mape(backtest.tested_rows(packed(spark, folder)))
+    # A month without payment makes the relative error huge, so it is shown to seven digits.
+    return rows.select("entity", "n_tested", significant("mape").alias("mape"))
 
 
 # --- Exponential smoothing ------------------------------------------------------------------------------------------
@@ -529,9 +527,10 @@ def holt_winters_forecast(spark, folder):
 # --- The seasonal model (1, 0, 1)(1, 1, 1, 12) -----------------------------------------------------------------------
 
 
-def _plane(name: str, points: str, tag: str) -> str:
+def _plane(name: str, points: str, tag: str, bound: float | None = None) -> str:
     """Best point of one search. The inverse of the moving-average polynomial is written out as weights
-    of the past values; the autoregressive values come from twelve alternating least-squares steps."""
+    of the past values; the autoregressive values come from twelve alternating least-squares steps, each kept within ``bound``."""
+    held = (lambda x: f"greatest(-{bound}, least({bound}, {x}))") if bound else (lambda x: x)
     return f"""{name}w AS MATERIALIZED (
       SELECT entity, th, bt, place, [list_sum([pow(-th, k - 12 * j) * pow(-bt, j) for j in range(0, k // 12 + 1)])
         for k in range(0, longest)] AS weights
@@ -548,8 +547,8 @@ def _plane(name: str, points: str, tag: str) -> str:
       SELECT *, 0 AS step, 0::DOUBLE AS phi, 0::DOUBLE AS big FROM {name}m
       UNION ALL
       SELECT * EXCLUDE (step, phi, big, nphi), step + 1, nphi,
-        (m02 - nphi * (m03 + m12) + nphi * nphi * m13) / (m22 - 2 * nphi * m23 + nphi * nphi * m33)
-      FROM (SELECT *, (m01 - big * (m03 + m12) + big * big * m23) / (m11 - 2 * big * m13 + big * big * m33) AS nphi
+        {held("(m02 - nphi * (m03 + m12) + nphi * nphi * m13) / (m22 - 2 * nphi * m23 + nphi * nphi * m33)")}
+      FROM (SELECT *, {held("(m01 - big * (m03 + m12) + big * big * m23) / (m11 - 2 * big * m13 + big * big * m33)")} AS nphi
             FROM {name}a WHERE step < 12) s
     ), {name} AS (
       SELECT entity, th, bt, phi, big, m00 + phi * phi * m11 + big * big * m22 + phi * phi * big * big * m33
@@ -569,14 +568,14 @@ def _around(best: str, half: int, step: float) -> str:
       GROUP BY entity, th, bt)"""
 
 
-def _seasonal(d: int = 0) -> str:
-    """The fit on the seasonal difference, after d plain differences."""
+def _seasonal(d: int = 0, bound: float | None = None, source: str = "ser") -> str:
+    """The fit on the seasonal difference, after d plain differences; ``source`` is the table of the series."""
     tag = f"_{d}" if d else ""
     plain = "y" if d == 0 else "y - lag(y) OVER (PARTITION BY entity ORDER BY t)"
     return f"""sw{tag} AS (
   SELECT entity, t - {12 + d} AS t, n - {12 + d} AS m, x - before AS w FROM (
     SELECT *, lag(x, 12) OVER (PARTITION BY entity ORDER BY t) AS before FROM (
-      SELECT *, {plain} AS x FROM ser WHERE n >= {24 + d})) WHERE before IS NOT NULL
+      SELECT *, {plain} AS x FROM {source} WHERE n >= {24 + d})) WHERE before IS NOT NULL
 ), sl2{tag} AS (
   SELECT entity, m, list_concat([CAST(0 AS DOUBLE) for i in range(0, 13)], list(w ORDER BY t)) AS ws FROM sw{tag} GROUP BY 1, 2
 ), sx{tag} AS MATERIALIZED (
@@ -584,8 +583,8 @@ def _seasonal(d: int = 0) -> str:
     [ws[1 + t - k] for k in range(0, t - 1)] AS x2, [ws[t - k] for k in range(0, t - 1)] AS x3
   FROM (SELECT *, unnest(range(2, m + 1)) AS t FROM sl2{tag})
 ), z0{tag} AS (SELECT entity, 0::DOUBLE AS th, 0::DOUBLE AS bt FROM sl2{tag}
-), {_plane(f"z1{tag}", _around(f"z0{tag}", 4, 0.2), tag)}, {_plane(f"z2{tag}", _around(f"z1{tag}", 3, 0.05), tag)},
-{_plane(f"z3{tag}", _around(f"z2{tag}", 3, 0.0125), tag)}, seasonal_fits{tag} AS (
+), {_plane(f"z1{tag}", _around(f"z0{tag}", 4, 0.2), tag, bound)}, {_plane(f"z2{tag}", _around(f"z1{tag}", 3, 0.05), tag, bound)},
+{_plane(f"z3{tag}", _around(f"z2{tag}", 3, 0.0125), tag, bound)}, seasonal_fits{tag} AS (
   SELECT z.entity, phi, th AS theta, big AS seasonal_phi, bt AS seasonal_theta, sse, m - 1 AS n_used,
          (m - 1) * (ln(2 * pi() * sse / (m - 1)) + 1) + 10 AS aic FROM z3{tag} z JOIN sl2{tag} l ON l.entity = z.entity
 )"""
@@ -654,11 +653,6 @@ def select_service(spark, folder):
 # --- Pipelines ------------------------------------------------------------------------------------------------------
 
 
-@query("seasonal_final_forecast")
-def seasonal_final_forecast(spark, folder):
-    return forecast.long_forecast(pipeline.final_forecast(supplier_ledger(spark, folder)))
-
-
 CLASSIC_BASE = f"{SUPPLIER}, {MONTHLY.replace(INCOMPLETE, 'month = m1 AND m1 > m0')}"
 CLASSIC_FLAGS = FLAGS.replace("> 0.2 *", "> 0.1 *").replace("WHEN seasonal THEN 13", "WHEN seasonal AND stationary THEN 13 WHEN seasonal THEN 14")
 
@@ -707,20 +701,17 @@ def _ahead(w: str, e: str) -> str:
 
 
 ZEROS = "[CAST(0 AS DOUBLE) for z in range(0, 13)]"
-SELECTED = f"""{CHOSEN}, m AS (SELECT entity, CASE WHEN replaced THEN name2 ELSE name END AS model FROM picked
-), params AS (
-  SELECT m.entity, model, s.d, 0 AS sd, phi, theta, 0::DOUBLE AS big, 0::DOUBLE AS bth, sse / n_used AS s2
-  FROM m JOIN scored s ON s.entity = m.entity AND s.name = model
-  UNION ALL
-  SELECT m.entity, model, 0, 1, phi, theta, seasonal_phi, seasonal_theta, sse / n_used
-  FROM m JOIN seasonal_fits s ON s.entity = m.entity AND model = 'SARIMA'
+
+
+def _paths(params: str, worked: str, source: str = "ser", months: int = 24) -> str:
+    """Errors and future of fitted models. ``params`` has (entity, model, d, sd, phi, theta, big, bth, s2), ``worked`` the differenced
+    values (entity, d, sd, w) as lists, ``source`` the series."""
+    return f"""params AS ({params}
 ), series_ AS (
   SELECT p.*, list_concat({ZEROS}, w) AS w, list_concat({ZEROS}, y) AS y, len(w) AS m, last_month
   FROM params p
-  JOIN (SELECT entity, list(y ORDER BY t) AS y, max(month) AS last_month FROM ser GROUP BY 1) a ON a.entity = p.entity
-  JOIN (SELECT entity, d, 0 AS sd, list(w ORDER BY t) AS w FROM wl GROUP BY 1, 2
-        UNION ALL SELECT entity, 0, 1, list(w ORDER BY t) FROM sw GROUP BY 1) b
-    ON b.entity = p.entity AND b.d = p.d AND b.sd = p.sd
+  JOIN (SELECT entity, list(y ORDER BY t) AS y, max(month) AS last_month FROM {source} GROUP BY 1) a ON a.entity = p.entity
+  JOIN ({worked}) b ON b.entity = p.entity AND b.d = p.d AND b.sd = p.sd
 ), errs AS (
   SELECT entity, 1 AS t, m, phi, theta, big, bth, w, list_append({ZEROS}, CAST(0 AS DOUBLE)) AS e FROM series_
   UNION ALL
@@ -736,10 +727,63 @@ SELECTED = f"""{CHOSEN}, m AS (SELECT entity, CASE WHEN replaced THEN name2 ELSE
   SELECT entity, model, d, sd, phi, theta, big, bth, s2, last_month, h + 1, list_append(w, nw), list_append(e, CAST(0 AS DOUBLE)),
     list_append(y, nw + d * y[-1] + sd * y[-12] - d * sd * y[-13]), list_append(pw, np), list_append(pe, CAST(0 AS DOUBLE)),
     list_append(py, np + d * py[-1] + sd * py[-12] - d * sd * py[-13]), var + py[-1] * py[-1]
-  FROM (SELECT *, {_ahead("w", "e")} AS nw, {_ahead("pw", "pe")} AS np FROM path WHERE h < 24) q
+  FROM (SELECT *, {_ahead("w", "e")} AS nw, {_ahead("pw", "pe")} AS np FROM path WHERE h < {months}) q
 )"""
 
 
+SELECTED = f"""{CHOSEN}, m AS (SELECT entity, CASE WHEN replaced THEN name2 ELSE name END AS model FROM picked
+), {_paths("""
+  SELECT m.entity, model, s.d, 0 AS sd, phi, theta, 0::DOUBLE AS big, 0::DOUBLE AS bth, sse / n_used AS s2
+  FROM m JOIN scored s ON s.entity = m.entity AND s.name = model
+  UNION ALL
+  SELECT m.entity, model, 0, 1, phi, theta, seasonal_phi, seasonal_theta, sse / n_used
+  FROM m JOIN seasonal_fits s ON s.entity = m.entity AND model = 'SARIMA'""", """
+  SELECT entity, d, 0 AS sd, list(w ORDER BY t) AS w FROM wl GROUP BY 1, 2
+  UNION ALL SELECT entity, 0, 1, list(w ORDER BY t) FROM sw GROUP BY 1""")}"""
+
+
+def _final(source: str, months: int) -> str:
+    """The fixed seasonal model, its autoregressive values kept inside the unit interval, and its path."""
+    params = "SELECT entity, 'SARIMA' AS model, 1 AS d, 1 AS sd, phi, theta, seasonal_phi AS big, seasonal_theta AS bth, sse / n_used AS s2 FROM seasonal_fits_1"
+    worked = "SELECT entity, 1 AS d, 1 AS sd, list(w ORDER BY t) AS w FROM sw_1 GROUP BY 1"
+    return f"{_seasonal(1, models.ENFORCED_BOUND, source)}, {_paths(params, worked, source, months)}"
+
+
+def significant(column, digits: int = 7):
+    """A number to so many digits, whatever its size."""
+    return F.format_string(f"%.{digits - 1}e", column).cast("double")
+
+
+def _significant(expression: str, digits: int = 7) -> str:
+    return f"CAST(printf('%.{digits - 1}e', {expression}) AS DOUBLE)"
+
+
+FINAL_BASE = f"{SUPPLIER}, {MONTHLY.replace(INCOMPLETE, 'month = m1')}"
+
+
+@query(
+    "seasonal_final_forecast",
+    f"""WITH RECURSIVE {FINAL_BASE}, {_final("ser", 18)}
+    SELECT entity, h, CAST(last_month + to_months(h) AS DATE) AS month, round(y[-1], 1) AS value,
+      round(y[-1] - 1.959963984540054 * sqrt(s2 * var), 1) AS lower, round(y[-1] + 1.959963984540054 * sqrt(s2 * var), 1) AS upper
+    FROM path WHERE h > 0""",
+)
+def seasonal_final_forecast(spark, folder):
+    rows = forecast.long_forecast(pipeline.final_forecast(supplier_ledger(spark, folder)))
+    return rows.select("entity", "h", "month", *[F.round(c, 1).alias(c) for c in ("value", "lower", "upper")])
+
+
+@query(
+    "backtest_seasonal",
+    f"""WITH RECURSIVE {BASE}, tr_ AS (SELECT entity, month, y, t, n - 12 AS n FROM ser WHERE t <= n - 12), {_final("tr_", 12)}, f AS (
+      SELECT s.entity, s.y, path.y[-1] AS value FROM path JOIN ser s ON s.entity = path.entity AND s.t = s.n - 12 + path.h WHERE h > 0)
+    SELECT entity, count(*) AS n_tested, {_significant("avg(abs(y - value) / greatest(abs(y), 2.220446049250313e-16))")} AS mape FROM f GROUP BY 1""",
+)
+def backtest_seasonal(spark, folder):
+    rows = backtest.mape(backtest.tested_rows(packed(spark, folder)))
+    return rows.select("entity", "n_tested", significant("mape").alias("mape"))
+
+
 @query(
     "forecast_selected",
     f"""WITH RECURSIVE {BASE}, {PROFILE}, {SELECTED}
@@ -765,11 +809,27 @@ def run_summary(spark, folder):
     return pipeline.run_summary(pipeline.forecast_ledger(customer_ledger(spark, folder), rule="classic"), "forecasts/")
 
 
-@query("by_code_pipeline")
+@query(
+    "by_code_pipeline",
+    f"""WITH RECURSIVE {BASE}, {PROFILE}, {SELECTED}, asked AS (
+      SELECT entity, place, 6 AS wanted FROM (VALUES ('5', 0), ('17', 1), ('no-such-code', 2), ('42', 3)) v(entity, place)),
+    known AS (SELECT string_agg(entity, ', ' ORDER BY entity) AS codes FROM (SELECT DISTINCT entity FROM led ORDER BY entity LIMIT 10))
+    SELECT a.entity, place, CASE WHEN prof.entity IS NULL THEN 'missing' ELSE 'ok' END AS status, CASE WHEN prof.entity IS NULL THEN codes END AS known_codes,
+      CASE WHEN prof.entity IS NOT NULL THEN 'model' END AS method, model, CASE WHEN prof.entity IS NOT NULL THEN wanted END AS months,
+      CASE WHEN prof.entity IS NULL THEN NULL WHEN wanted <= {SAFE} THEN 'USER OVERRIDE (6 <= safe ' || {SAFE} || ')' WHEN wanted <= n_months THEN 'USER OVERRIDE (6)' END AS reason,
+      h, CAST(path.last_month + to_months(h) AS DATE) AS month, round(y[-1], 1) AS value,
+      round(y[-1] - 1.959963984540054 * sqrt(s2 * var), 1) AS lower, round(y[-1] + 1.959963984540054 * sqrt(s2 * var), 1) AS upper
+    FROM asked a LEFT JOIN prof ON prof.entity = a.entity LEFT JOIN path ON path.entity = a.entity AND h BETWEEN 1 AND wanted, known""",
+)
 def by_code_pipeline(spark, folder):
     codes = clean.code_list(spark, "5, 17, no-such-code, 42")
     rows = pipeline.by_code(supplier_ledger(spark, folder), codes, months=6)
-    return rows.select("entity", "place", "status", "method", "model", "months", "reason", "path")
+    known = F.when(F.col("known_codes").isNotNull(), F.array_join("known_codes", ", "))
+    shown = rows.select("entity", "place", "status", known.alias("known_codes"), "method", "model", "months", "reason", "last_month", "path")
+    points = shown.select("*", F.posexplode_outer("path").alias("at", "p"))
+    month = F.add_months(F.trunc("last_month", "month"), F.col("at") + 1)
+    numbers = [F.round(F.col(f"p.{c}"), 1).alias(c) for c in ("value", "lower", "upper")]
+    return points.select(*shown.columns[:8], (F.col("at") + 1).alias("h"), month.alias("month"), *numbers)
 
 
 POOLED_BASE = BASE.replace("CAST(l_suppkey AS VARCHAR) AS entity", "'ALL' AS entity")
@@ -779,15 +839,14 @@ POOLED_BASE = BASE.replace("CAST(l_suppkey AS VARCHAR) AS entity", "'ALL' AS ent
     "whole_ledger_pipeline",
     f"""WITH RECURSIVE {POOLED_BASE}, {PROFILE}, {SELECTED}
     SELECT path.entity, model, 'model' AS method, h, CAST(path.last_month + to_months(h) AS DATE) AS month,
-      round(y[-1] / 1e3, 1) AS value_thousands, round((y[-1] - 1.959963984540054 * sqrt(s2 * var)) / 1e3, 1) AS lower_thousands,
-      round((y[-1] + 1.959963984540054 * sqrt(s2 * var)) / 1e3, 1) AS upper_thousands
+      {_significant("y[-1]", 9)} AS value, {_significant("y[-1] - 1.959963984540054 * sqrt(s2 * var)", 9)} AS lower,
+      {_significant("y[-1] + 1.959963984540054 * sqrt(s2 * var)", 9)} AS upper
     FROM path JOIN prof ON prof.entity = path.entity WHERE h BETWEEN 1 AND {SAFE}""",
 )
 def whole_ledger_pipeline(spark, folder):
     rows = pipeline.forecast_rows(pipeline.whole_ledger(supplier_ledger(spark, folder)))
-    # The pooled sums are large, so they're shown in thousands.
-    bands = [F.round(F.col(c) / 1e3, 1).alias(f"{c}_thousands") for c in ("value", "lower", "upper")]
-    return rows.select("entity", "model", "method", "h", "month", *bands)
+    # The pooled sums are large, so they're shown to nine digits.
+    return rows.select("entity", "model", "method", "h", "month", *[significant(c, 9).alias(c) for c in ("value", "lower", "upper")])
 
 
 @query(

@@ -23,9 +23,9 @@ def mape(rows: DataFrame) -> DataFrame:
     )
 
 
-def in_sample_mse(rows: DataFrame) -> DataFrame:
-    """Mean squared error per entity of (entity, residual)."""
-    return rows.groupBy("entity").agg(F.avg(F.col("residual") * F.col("residual")).alias("mse"))
+def in_sample_mse(rows: DataFrame, *carried: str) -> DataFrame:
+    """Mean squared error of (entity, residual) per entity and ``carried`` columns."""
+    return rows.groupBy("entity", *carried).agg(F.avg(F.col("residual") * F.col("residual")).alias("mse"))
 
 
 def tested_rows(series: DataFrame, spec: models.Spec = models.SARIMA_FINAL, months: int = fixed.HOLD_OUT) -> DataFrame:

@@ -117,17 +117,18 @@ def fit_specs(
     values: str = "ys",
     column: str = "fits",
     method: Method = GRID,
+    first: int = 0,
 ) -> DataFrame:
     """Add an array of fits, one struct per active specification.
 
     The squares of all active candidates of a series are summed over the same months (those after the
-    longest start among them), so that their AIC can be compared. A series whose fit fails keeps the others' and has
+    longest start among them, and after ``first``), so that their AIC can be compared. A series whose fit fails keeps the others' and has
     the failure as that fit's status.
     """
     n = F.size(values)
     least = [max(spec.least_months, spec.burn(method) + spec.n_values) for spec in specs]
     usable = [(active[i] if active else F.lit(True)) & (n >= least[i]) for i in range(len(specs))]
-    start = F.greatest(F.lit(0), *[F.when(usable[i], spec.burn(method)).otherwise(0) for i, spec in enumerate(specs)])
+    start = F.greatest(F.lit(first), F.lit(0), *[F.when(usable[i], spec.burn(method)).otherwise(0) for i, spec in enumerate(specs)])
     rows = series.withColumn("_start", start)
     fitted = {}
     for i, spec in enumerate(specs):
@@ -164,9 +165,9 @@ def fit_specs(
     return rows.select(*series.columns, fits.alias(column))
 
 
-def fit_one(series: DataFrame, spec: Spec, values: str = "ys", column: str = "fit", method: Method = GRID) -> DataFrame:
-    """Fit one fixed specification to every series; null where it cannot be fitted."""
-    many = fit_specs(series, [spec], values=values, column="_fits", method=method)
+def fit_one(series: DataFrame, spec: Spec, values: str = "ys", column: str = "fit", method: Method = GRID, first: int = 0) -> DataFrame:
+    """Fit one fixed specification to every series; null where it cannot be fitted. ``first`` months at least don't count."""
+    many = fit_specs(series, [spec], values=values, column="_fits", method=method, first=first)
     one = F.get("_fits", F.lit(0))
     return many.withColumn(column, F.when(one["status"] == "ok", one)).drop("_fits")
 

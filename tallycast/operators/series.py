@@ -59,13 +59,9 @@ def spread(df: DataFrame) -> DataFrame:
     into a few tasks when the months are few bytes, and the fits, which cost far more than their bytes, would
     queue in them; a partition count that is asked for is kept.
 
-    On a cluster that is the configured number of shuffle partitions, and at least two tasks per core.
+    That count is ``spark.sql.shuffle.partitions``.
     """
-    context = df.sparkSession.sparkContext
-    tasks = context.defaultParallelism
-    if not context.master.startswith("local"):
-        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * tasks)
-    return df.repartition(tasks, "entity")
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
 
 
 def monthly_series(ledger: DataFrame, trailing: str = "incomplete", with_rows: bool = False) -> DataFrame:

@@ -223,10 +223,15 @@ def result_json(results: DataFrame) -> DataFrame:
 
 
 def by_code(ledger: DataFrame, codes: DataFrame, months: int | None = None, rule: str = "service") -> DataFrame:
-    """Forecasts of the asked codes (entity, place); a code that the ledger does not hold is ``missing``."""
+    """Forecasts of the asked codes (entity, place). A code that the ledger does not hold is ``missing`` and has the first ten codes that it
+    does hold as ``known_codes``; one whose forecast failed keeps its ``error: ...``."""
     asked = ledger.join(codes.select("entity"), "entity", "left_semi")
-    results = forecast_ledger(asked, months=months, rule=rule).drop("status")
-    return clean.select_codes(codes, results)
+    results = forecast_ledger(asked, months=months, rule=rule).withColumnRenamed("status", "own_status")
+    found = clean.select_codes(codes, results)
+    found = found.withColumn("status", F.coalesce("own_status", "status")).drop("own_status")
+    known = clean.known_codes(ledger).agg(F.array_sort(F.collect_list("entity")).alias("known_codes"))  # one row
+    named = F.when(F.col("status") == "missing", F.col("known_codes"))
+    return found.crossJoin(known).withColumn("known_codes", named)
 
 
 def whole_ledger(ledger: DataFrame, months: int | None = None, rule: str = "service") -> DataFrame:
