@@ -396,6 +396,17 @@ def anomalies_seasonal(spark, folder):
     return rounded_anomalies(anomaly.in_report_order(anomaly.scan(expected)))
 
 
+@query(
+    "anomaly_report",
+    f"""WITH {BASE}, {DECOMPOSED}, rows_ AS (SELECT * FROM dec WHERE residual IS NOT NULL), {SCAN.replace("SELECT * FROM an", "")}
+    SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'HIGH' THEN 0 ELSE 1 END, std_deviations DESC, entity, anomaly_date) AS place FROM an""",
+)
+def anomaly_report(spark, folder):
+    parts = decompose.decompose(monthly(spark, folder)).filter(F.col("residual").isNotNull())
+    expected = parts.withColumn("predicted", F.col("trend") + F.col("seasonal"))
+    return anomaly.placed_in_report(rounded_anomalies(anomaly.scan(expected)))
+
+
 def _anomalies_of_model(start: str) -> str:
     return f"""WITH RECURSIVE {BASE}, {RESIDUALS}, rows_ AS (
       SELECT s.entity, s.month, s.y, CASE WHEN s.t = 1 THEN s.y ELSE e END AS residual

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.packed import bind, sample_deviation
+from .places import numbered
 from .series import by_entity
 
 
@@ -133,6 +134,15 @@ def _no_anomaly() -> Column:
     return F.struct(*[value.alias(name) for name, value in kinds.items()])
 
 
+def placed_in_report(anomalies: DataFrame) -> DataFrame:
+    """Add ``place``, 1, 2, 3, ... in the order of :func:`in_report_order` over all entities, so that the order is part of the rows.
+
+    Ranges of the order are sorted apart and numbered from their sizes; no task sees all anomalies.
+    """
+    rank = F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MEDIUM", 1).otherwise(2)
+    return numbered(anomalies, rank, F.desc("std_deviations"), F.col("entity"), F.col("anomaly_date"))
+
+
 def in_report_order(anomalies: DataFrame) -> DataFrame:
     """HIGH first, then the largest deviation: for a listing of one entity or a report."""
     rank = F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MEDIUM", 1).otherwise(2)

@@ -12,46 +12,42 @@ from pyspark.sql import types as T
 
 from ..functions import roles, text
 from ..operators import clean
+from ..session import cut_lineage
 
 STEM = r"([^/]+?)(\.[^./]*)?$"
-FACTS = "file_path string, stem string, file_size long, delimiter string, header string, reason string"
 
 
 def inspect_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """One row per file: name, stem, size, delimiter, header, and the reason if the file is refused.
 
-    The first line of a file is that with the least place. Per file, only its hash and its place are
+    No scan sees a file without a byte, so the names that Spark's own listing holds are joined, by whole path, to what the scan found.
+    Nothing that grows with the files is collected. The first line of a file is that with the least place. Per file, only its hash and its place are
     kept while the lines pass by (fixed width, so nothing is sorted); the text of a header is fetched once for each
-    distinct one. What comes to the driver is a row per file, as many as the listing that Spark holds there anyway; the
-    listing also names the files without a byte, which no scan sees. ``max_bytes`` refuses larger files; there is no
+    distinct one, and these alone come to the driver. ``max_bytes`` refuses larger files; there is no
     bound unless the caller sets one.
     """
     scan = spark.read.text(path)
+    # The listing and the scan spell the scheme in different ways, the rest of the path in the same.
+    whole = lambda c: F.regexp_replace(c, "^[A-Za-z0-9]+:/+", "/").alias("whole")
+    listing = spark.createDataFrame([(name,) for name in scan.inputFiles()], "listed string").select("listed", whole(F.col("listed")))
     lines = scan.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.col("_metadata.file_block_start").alias("block"),
-        "value",
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
     # Spark reads a block from its start: the first row of block 0 is the header.
-    first = lines.filter(F.col("block") == 0).select("file_path", "file_size", F.xxhash64("value").alias("hash"), F.monotonically_increasing_id().alias("place"))
-    facts = first.groupBy("file_path").agg(F.min_by("hash", "place").alias("hash"), F.max("file_size").alias("file_size")).collect()
-    hashes = sorted({f["hash"] for f in facts})
-    wanted = lines.filter((F.col("block") == 0) & F.xxhash64("value").isin(hashes))
-    headers = {r["hash"]: r["value"] for r in wanted.groupBy(F.xxhash64("value").alias("hash")).agg(F.min("value").alias("value")).collect()} if hashes else {}
-    rows = []
-    for fact in facts:
-        header = headers[fact["hash"]]
-        reason = "empty header" if not header.strip() else "file too large" if max_bytes is not None and fact["file_size"] > max_bytes else None
-        rows.append((fact["file_path"], _stem(fact["file_path"]), fact["file_size"], ";" if ";" in header else ",", header, reason))
-    seen = {fact["file_path"].rpartition("/")[2] for fact in facts}
-    # The listing and the scan spell the scheme in different ways, the names in the same.
-    rows += [(name, _stem(name), 0, None, None, "empty file") for name in scan.inputFiles() if name.rpartition("/")[2] not in seen]
-    return spark.createDataFrame(rows, FACTS)
-
-
-def _stem(path: str) -> str:
-    return re.search(STEM, unquote(path))[1]
+    top = lines.filter(F.col("block") == 0)
+    first = top.select("file_path", "file_size", F.xxhash64("value").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    first = cut_lineage(first.groupBy("file_path").agg(F.min_by("hash", "place").alias("hash"), F.max("file_size").alias("file_size")))
+    hashes = [r["hash"] for r in first.select("hash").distinct().collect()]
+    wanted = top.filter(F.xxhash64("value").isin(hashes)) if hashes else top.limit(0)
+    headers = wanted.groupBy(F.xxhash64("value").alias("hash")).agg(F.min("value").alias("header"))
+    found = first.join(headers, "hash").select("file_path", "file_size", "header", whole(F.col("file_path")))
+    facts = listing.join(found, "whole", "left").withColumns({"file_path": F.coalesce("file_path", "listed"), "file_size": F.coalesce("file_size", F.lit(0))})
+    header, size = F.col("header"), F.col("file_size")
+    reason = F.when(header.isNull(), "empty file").when(F.trim(header) == "", "empty header")
+    reason = reason.when(size > max_bytes, "file too large") if max_bytes is not None else reason
+    stem = F.url_decode(F.replace(F.regexp_extract("file_path", STEM, 1), F.lit("+"), F.lit("%2B")))
+    delimiter = F.when(header.contains(";"), ";").when(header.isNotNull(), ",")
+    return facts.select("file_path", stem.alias("stem"), "file_size", delimiter.alias("delimiter"), "header", reason.alias("reason"))
 
 
 def _readable(file_path: str) -> str:
