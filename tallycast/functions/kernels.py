@@ -93,6 +93,60 @@ def unit_root_fit(y: np.ndarray, fixed_lag: int | None = None) -> tuple:
     return float(beta[1] / error), p, rows, "ok"
 
 
+def unit_root_block(series: list[np.ndarray], fixed_lag: int | None = None) -> list[tuple]:
+    """:func:`unit_root_fit` of many series. Those of one length, and then those of one length and lag order, are one stack of matrices."""
+    out: list[tuple] = [(None, None, None, "short")] * len(series)
+    lengths = np.array([len(y) for y in series])
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        block = np.stack([series[i] for i in at]) if n else np.zeros((len(at), 0))
+        flat = np.ptp(block, axis=1) == 0 if n else np.zeros(len(at), bool)
+        for i in at[flat].tolist():
+            out[i] = (None, None, None, "constant")
+        at, block = at[~flat], block[~flat]
+        if n < 4 or not len(at):
+            continue
+        most = min(int(np.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2) if fixed_lag is None else fixed_lag
+        y = (block - block.mean(axis=1, keepdims=True)) / block.std(axis=1, keepdims=True)
+        lags = np.full(len(at), most)
+        if fixed_lag is None:
+            wide = np.linalg.qr(_unit_root_design(y, most), mode="r")
+            left = np.cumsum(wide[:, ::-1, -1] ** 2, axis=1)[:, ::-1]
+            rows, orders = n - 1 - most, np.arange(most + 1)
+            with np.errstate(divide="ignore"):
+                lags = np.argmin(rows * np.log(left[:, 2 : most + 3] / rows) + 2.0 * (orders + 2), axis=1)
+        for p in np.unique(lags).tolist():
+            same = np.flatnonzero(lags == p)
+            for i, row in zip(at[same].tolist(), _unit_root_values(_unit_root_design(y[same], p), p), strict=True):
+                out[i] = row
+    return out
+
+
+def _unit_root_design(y: np.ndarray, p: int) -> np.ndarray:
+    """For each series the constant, the level, p lagged differences and the difference they explain."""
+    step = np.diff(y, axis=1)
+    rows = step.shape[1] - p
+    lags = [step[:, p - i : p - i + rows] for i in range(1, p + 1)]
+    return np.stack([np.ones((len(y), rows)), y[:, p : p + rows], *lags, step[:, p:]], axis=2)
+
+
+def _unit_root_values(full: np.ndarray, p: int) -> list[tuple]:
+    rows, width = full.shape[1], full.shape[2] - 1
+    if rows <= width:
+        return [(None, p, rows, "short")] * len(full)
+    triangle = np.linalg.qr(full, mode="r")
+    inner, target = triangle[:, :width, :width], triangle[:, :width, -1]
+    collinear = np.abs(np.diagonal(inner, axis1=1, axis2=2)).min(axis=1) < 1e-12
+    inverse = np.linalg.inv(np.where(collinear[:, None, None], np.eye(width), inner))
+    beta = (inverse[:, 1, :] * target).sum(axis=1)
+    left = triangle[:, width, -1] ** 2
+    exact = left < 1e-20 * (triangle[:, :, -1] ** 2).sum(axis=1)
+    error = np.sqrt(left / (rows - width) * (inverse[:, 1, :] ** 2).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tau = beta / error
+    return [(None, p, rows, "collinear") if c else (None, p, rows, "exact fit") if e else (float(t), p, rows, "ok") for c, e, t in zip(collinear, exact, tau, strict=True)]
+
+
 def unit_root_udf(surface, fixed_lag: int | None = None):
     """Pandas UDF (series) -> struct of ``UNIT_ROOT``; ``surface`` turns the t-value into a p-value."""
 
@@ -109,15 +163,12 @@ def unit_root_udf(surface, fixed_lag: int | None = None):
 
     @F.pandas_udf(UNIT_ROOT)
     def fit(series: pd.Series) -> pd.DataFrame:
-        rows = []
-        for values in series:
-            if values is None:
-                rows.append((None, None, None, "not tested"))
-                continue
-            try:
-                rows.append(unit_root_fit(np.asarray(values, dtype=float), fixed_lag))
-            except Exception as problem:
-                rows.append((None, None, None, f"error: {type(problem).__name__}: {problem}"))
+        rows: list[tuple] = [(None, None, None, "not tested")] * len(series)
+        asked = [i for i, values in enumerate(series) if values is not None]
+        values = [np.asarray(series.iloc[i], dtype=float) for i in asked]
+        found, errors = isolated(lambda at: unit_root_block([values[i] for i in at], fixed_lag), len(values), 4)
+        for i, row, error in zip(asked, found, errors, strict=True):
+            rows[i] = row if error is None else (None, None, None, error)
         out = pd.DataFrame(rows, columns=["tau", "used_lag", "n_used", "status"])
         out.insert(3, "p_value", [p_value(row[0]) for row in rows])
         return out.astype({"tau": "float64", "used_lag": "Int32", "n_used": "Int32", "p_value": "float64"})

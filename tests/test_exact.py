@@ -92,6 +92,17 @@ def test_exact_method_in_a_plan(spark):
     assert {r["entity"]: r["method"] for r in results} == {**{f"e{i}": "model" for i in range(4)}, "short": "naive"}
 
 
+def test_unit_roots_in_stacks_are_those_of_single_series():
+    rng = np.random.default_rng(11)
+    rows = [rng.normal(size=n).cumsum() if n % 2 else rng.normal(size=n) for n in rng.integers(3, 60, 80).tolist()]
+    rows += [np.ones(20), np.zeros(0), np.arange(30.0), np.tile([1.0, 2.0], 15), np.ones(2)]
+    for lag in (None, 0, 3):
+        for row, many in zip(rows, kernels.unit_root_block(rows, lag)):
+            one = kernels.unit_root_fit(row, lag)
+            assert one[1:] == many[1:] and (one[0] is None) == (many[0] is None)
+            assert one[0] is None or many[0] == pytest.approx(one[0], rel=1e-9)
+
+
 def test_isolated_rows():
     def run(at):
         if 5 in at or 9 in at:
@@ -104,7 +115,7 @@ def test_isolated_rows():
     assert kernels.isolated(run, 0, 2) == ([], [])
 
 
-@pytest.mark.parametrize("kernel", ["css_fit", "css_path", "unit_root_fit"])
+@pytest.mark.parametrize("kernel", ["css_fit", "css_path", "unit_root_block"])
 def test_one_bad_entity_leaves_the_others_equal(spark, monkeypatch, kernel):
     rows = [r for i, w in enumerate(simulated(5, 48)) for r in month_rows(f"e{i}", 100 + 10 * w)]
     bad = month_rows("bad", [777_000 + (7 * i * i) % 31 for i in range(48)])
@@ -114,7 +125,7 @@ def test_one_bad_entity_leaves_the_others_equal(spark, monkeypatch, kernel):
     plain = getattr(kernels, kernel)
 
     def failing(first, *rest, **named):
-        whole = rest[0] if kernel == "css_path" else first if kernel == "css_fit" else [first]
+        whole = rest[0] if kernel == "css_path" else first
         # The bad entity's differences are small numbers, so it is known by its values or, differenced, by whole ones.
         if any(len(v) and (abs(v[-1]) > 500_000 or all(float(x).is_integer() for x in v)) for v in whole):
             raise ArithmeticError("no such fit")
