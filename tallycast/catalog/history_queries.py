@@ -15,6 +15,7 @@ from ..history import journal, tables
 from ..operators import anomaly
 from ..plans import pipeline
 from ..session import cut_lineage, shared_folder
+from ..sources import sinks
 from .ledgers import PROFILE, SAFE, supplier_ledger, table
 from .model_queries import BASE, SELECTED, rounded_anomalies
 from .model_queries import ORACLES as ORACLES_OF_MODELS
@@ -374,3 +375,16 @@ def prediction_by_key(spark, folder):
     last = rows.groupBy("user_id").agg(F.max("pred_id").alias("pred_id")).join(users(spark, folder), "user_id").orderBy(F.desc("user_id")).select("api_key", "pred_id").first()
     one = tables.prediction_by_key(found, *last)
     return one.select("user_id", "pred_id", F.col("model_name").alias("model"), "forecast_months", F.col("model_aic").alias("aic"))
+
+
+@query(
+    "forecast_by_index",
+    ORACLES_OF_MODELS["forecast_selected"] + " AND path.entity = (SELECT max(entity) FROM led)",
+)
+def forecast_by_index(spark, folder):
+    """All forecasts in bucket files, one entity's read back by the index alone: the last one by name."""
+    place, ledger = shared_folder(spark, "indexed"), supplier_ledger(spark, folder)
+    sinks.write_indexed(pipeline.forecast_rows(pipeline.forecast_ledger(ledger)), place)
+    last = ledger.agg(F.max("entity")).first()[0]
+    rows = sinks.read_indexed(spark, place, last)
+    return rows.select("entity", "model", "method", "h", "month", *[F.round(c, 1).alias(c) for c in ("value", "lower", "upper")])

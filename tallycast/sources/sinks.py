@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_date, money_text, safe_key
+from ..history.journal import BUCKET, BUCKETS, bucket_of, looked_up
 from ..operators import series
 from ..plans import pipeline
 from ..session import cut_lineage
@@ -87,3 +88,31 @@ def run_batch(ledger: DataFrame, folder: str, months: int = 12, rule: str = "cla
     pipeline.anomaly_rows(results).write.mode("overwrite").parquet(f"{folder}/anomalies")
     write_documents(results, f"{folder}/documents")
     write_summary(pipeline.run_summary(results, f"{folder}/forecasts/entity_key="), f"{folder}/summary")
+
+
+def write_indexed(rows: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Rows of millions of entities in a few files a bucket, with a table of where each entity lies: (entity, file, first_row, n_rows).
+
+    A folder per entity, as above, is as many files as entities; here the files follow the buckets, an entity's rows lie together in its
+    bucket's files, and one with a third of all rows is split over several. The index is a pass over the written keys alone.
+    """
+    dealt = rows.withColumn(BUCKET, bucket_of(F.col("entity"), buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "entity")
+    dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{folder}/rows")
+    written = rows.sparkSession.read.parquet(f"{folder}/rows")
+    places = written.select(BUCKET, "entity", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    index = places.groupBy(BUCKET, "entity", "file").agg(F.min("at").alias("first_row"), F.count("*").alias("n_rows"))
+    index.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "entity").write.mode("overwrite").partitionBy(BUCKET).parquet(f"{folder}/index")
+
+
+def read_indexed(spark: SparkSession, folder: str, entity: str, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of one entity: one bucket of the index, then only the files it names; their row groups of other entities are passed over."""
+    index = spark.read.parquet(f"{folder}/index")
+    found = looked_up(index, "entity", entity, buckets).select("file", "first_row", "n_rows").collect()  # a row for each file that holds it
+    if not found:
+        return spark.read.parquet(f"{folder}/rows").limit(0).drop(BUCKET)
+    rows = spark.read.option("basePath", f"{folder}/rows").parquet(*[f["file"] for f in found])
+    at, file = F.col("_metadata.row_index"), F.col("_metadata.file_path")
+    here = F.lit(False)
+    for f in found:
+        here |= (file == f["file"]) & at.between(f["first_row"], f["first_row"] + f["n_rows"] - 1)
+    return rows.where((F.col("entity") == entity) & here).drop(BUCKET)

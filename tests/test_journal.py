@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallycast.history import journal, tables
-from tallycast.sources import files
+from tallycast.sources import files, sinks
 
 SCHEMA = "id long, owner string, n int"
 
@@ -81,3 +81,18 @@ def test_an_empty_file_beside_a_namesake(spark, tmp_path):
     assert facts["2023"]["stem"] == "a b" and facts["2024"]["file_size"] == 0 and facts["2023"]["delimiter"] == ";"
     tagged, refused = files.read_ledger(spark, f"{tmp_path}/*/*.csv")
     assert tagged.count() == 2 and sorted(r["reason"] for r in refused.collect()) == ["empty file", "empty header"]
+
+
+def test_one_entity_by_the_index_alone(spark, tmp_path):
+    """One entity has a third of all rows and lies in several files; names hold signs that folders escape."""
+    names = [f"e/{i} %" for i in range(300)] + ["hot"]
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("e/"), (F.col("id") % 300).cast("string"), F.lit(" %"))).alias("entity"), F.col("id").alias("h"))
+    folder = str(tmp_path / "indexed")
+    sinks.write_indexed(rows, folder, buckets=4)
+    for name in ("hot", names[7], names[299]):
+        want = sorted(r["h"] for r in rows.where(F.col("entity") == name).collect())
+        assert sorted(r["h"] for r in sinks.read_indexed(spark, folder, name, 4).collect()) == want
+    assert sinks.read_indexed(spark, folder, "nobody", 4).columns == ["entity", "h"]
+    assert sinks.read_indexed(spark, folder, "nobody", 4).count() == 0
+    whole = spark.read.parquet(f"{folder}/index")
+    assert whole.agg(F.sum("n_rows")).first()[0] == 3000 and whole.select("file").distinct().count() <= 8
