@@ -486,23 +486,25 @@ SMOOTHED = f"""s0 AS (
   SELECT entity, a, CAST(0.5 + 0.2 * i.k AS DOUBLE) AS al, CAST(0.5 + 0.2 * j.k AS DOUBLE) AS be, CAST(0.5 + 0.2 * l.k AS DOUBLE) AS ga
   FROM s0, (SELECT 1 AS a), k2 i, k2 j, k2 l
 ), {_smooth("q1", "h1")}, b1 AS (
-  SELECT q1.entity, al, be, ga FROM q1 JOIN s0 ON s0.entity = q1.entity AND q1.t = s0.n
-  QUALIFY row_number() OVER (PARTITION BY q1.entity ORDER BY sse, al, be, ga) = 1
+  SELECT entity, al, be, ga FROM (
+    SELECT q1.entity, al, be, ga, sse > min(sse) OVER (PARTITION BY q1.entity) * (1 + 1e-9) AS worse FROM q1 JOIN s0 ON s0.entity = q1.entity AND q1.t = s0.n)
+  QUALIFY row_number() OVER (PARTITION BY entity ORDER BY worse, al, be, ga) = 1
 ), h2 AS (
   SELECT DISTINCT entity, least(1, greatest(0, round(al + 0.05 * i.k, 6))) AS al,
     least(1, greatest(0, round(be + 0.05 * j.k, 6))) AS be, least(1, greatest(0, round(ga + 0.05 * l.k, 6))) AS ga
   FROM b1, k2 i, k2 j, k2 l
 ), {_smooth("q2", "h2")}, b2 AS (
-  SELECT q2.entity, n, last_month, al, be, ga, lv, tr, se, sse
-  FROM q2 JOIN s0 ON s0.entity = q2.entity AND q2.t = s0.n
-  QUALIFY row_number() OVER (PARTITION BY q2.entity ORDER BY sse, al, be, ga) = 1
+  SELECT * EXCLUDE (worse) FROM (
+    SELECT q2.entity, n, last_month, al, be, ga, lv, tr, se, sse, sse > min(sse) OVER (PARTITION BY q2.entity) * (1 + 1e-9) AS worse
+    FROM q2 JOIN s0 ON s0.entity = q2.entity AND q2.t = s0.n)
+  QUALIFY row_number() OVER (PARTITION BY entity ORDER BY worse, al, be, ga) = 1
 )"""
 
 
 @query(
     "holt_winters",
     f"""WITH RECURSIVE {BASE}, {SMOOTHED} SELECT entity, round(al, 4) AS alpha, round(be, 4) AS beta, round(ga, 4) AS gamma,
-    round(lv, 1) AS level, round(tr, 3) AS trend, round(sse / (n - 12) / 1e6, 2) AS mse_millions,
+    round(lv + 1e-7, 1) AS level, round(tr + 1e-7, 3) AS trend, round(sse / (n - 12) / 1e6, 2) AS mse_millions,
     round((n - 12) * ln(sse / (n - 12)) + 32, 5) AS aic FROM b2""",
 )
 def holt_winters(spark, folder):
@@ -510,8 +512,9 @@ def holt_winters(spark, folder):
     return rows.select(
         "entity",
         *[F.round(f"smooth.{c}", 4).alias(c) for c in ("alpha", "beta", "gamma")],
-        F.round("smooth.level", 1).alias("level"),
-        F.round("smooth.trend", 3).alias("trend"),
+        # Averages of whole cents can end just halfway, where the last digit of a sum would decide.
+        F.round(F.col("smooth.level") + 1e-7, 1).alias("level"),
+        F.round(F.col("smooth.trend") + 1e-7, 3).alias("trend"),
         F.round(F.col("smooth.mse") / 1e6, 2).alias("mse_millions"),
         F.round("smooth.aic", 5).alias("aic"),
     )

@@ -413,7 +413,8 @@ def smoothing_fit(series, season, grids, block_rows=256):
             cube = np.stack([g.ravel() for g in np.meshgrid(line, line, line, indexing="ij")], axis=-1)
             weights = np.clip(np.round(best[:, None, :] + cube[None], 6), 0.0, 1.0)
             sse, level, trend, seasonal = smoothed(some, season, weights)
-            pick = np.argmin(sse, axis=1)
+            # Without a level's change the trend's value doesn't matter: of equal errors the first, whatever their last digits.
+            pick = np.argmax(sse <= sse.min(axis=1, keepdims=True) * (1 + 1e-9), axis=1)
             best = weights[rows, pick]
         for row, i in enumerate(chosen):
             k = pick[row]
