@@ -38,7 +38,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallycast-"))
     return df.checkpoint()
@@ -48,7 +48,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for ``name`` under the one that ``spark.checkpoint.dir`` names; a session on one machine without it gets a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tallycast-")
         spark.conf.set("spark.checkpoint.dir", named)
