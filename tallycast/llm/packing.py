@@ -50,10 +50,10 @@ class Words:
 
     def learn(self, words: set[bytes]) -> None:
         """After this, ``young`` has all of ``words``."""
-        fresh = [w for w in words if w not in self.young]
+        fresh = words.difference(self.young)
         if len(self.young) + len(fresh) > self.most:
             self.old, self.young = self.young, {}
-            fresh = list(words)
+            fresh = words
         unknown = []
         for w in fresh:
             known = self.old.get(w)
@@ -61,30 +61,37 @@ class Words:
                 unknown.append(w)
             else:
                 self.young[w] = known
-        for at in range(0, len(unknown), 500):
-            self._encode(unknown[at : at + 500])
+        for at in range(0, len(unknown), 100):
+            self._encode(unknown[at : at + 100])
 
     def _encode(self, words: list[bytes]) -> None:
         """Simple strings are encoded together: each of their pieces ends with a token that ends a word."""
         simple, counts, others = [], [], []
         for w in words:
             text = w.decode()
-            match = SIMPLE.fullmatch(text)
-            if match:
+            if text.isalpha():
+                simple.append(w)
+                counts.append(1)
+            elif match := SIMPLE.fullmatch(text):
                 simple.append(w)
                 counts.append(bool(match[1]) + bool(match[2]))
             else:
                 others.append(w)
-        ids = np.array(self.tokenizer.encode(b" ".join(simple).decode(), add_special_tokens=False).ids, "<u4")
+        ids = self._ids(b" ".join(simple).decode())
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == sum(counts):
             stops = ends[np.cumsum(counts) - 1].tolist() if counts else []
+            whole = ids.tobytes()
             for w, start, stop in zip(simple, [0, *stops][:-1], stops, strict=True):
-                self.young[w] = ids[start:stop].tobytes()
+                self.young[w] = whole[4 * start : 4 * stop]
         else:  # a letter that isn't one for the tokenizer
             others = words
         for w in others:
-            self.young[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            self.young[w] = self._ids(w.decode()).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        """Without the places in the text, which take the tokenizer time."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 _WORDS: dict[Tokens, Words] = {}
@@ -100,7 +107,7 @@ def _pieces(tokens: Tokens):
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 words = [(text or b"").split() for text in part.column("text").to_pylist()]
-                known.learn({w for some in words for w in some})
+                known.learn(set().union(*words))
                 rows = []
                 for place, some in enumerate(words):
                     ids = b"".join([*map(known.young.__getitem__, some), end])
