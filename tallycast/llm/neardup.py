@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tallycast.functions.names import unused
 
-from . import graph, store
+from . import graph, sieve, store
 
 SHINGLE = 5
 
@@ -166,6 +166,8 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
     wanted = nodes.join(wanted, "node").select("node", "class", "doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     ids = wanted.select("doc_id").distinct()
+    # Texts that can't be wanted don't move.
+    _, rows = sieve.parted(rows, [F.col("doc_id")], ids)
     texts = rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
     # Other rows can have the same doc_id or the same set; one of each set is enough.
     sets = texts.mapInArrow(_sets, "class binary, shingles array<long>").join(wanted, "class").dropDuplicates(["node"]).select("node", "shingles")
@@ -264,7 +266,7 @@ def kept_documents(docs: DataFrame, percent: int = 75, index: Index = Index()) -
     """The rows of ``docs``, one of each group of near-duplicates: the one with the smallest doc_id, null last. Columns stay as they are.
 
     A row is known by its doc_id and its set of shingles, so rows that share a doc_id, or have none, go only as near-duplicates of one that
-    stays. Rows without words all stay.
+    stays. Rows without words all stay. Rows that are surely alone with their doc_id and stay don't move (see :mod:`sieve`).
     """
     rows = signed(docs, index)
     merged = components_of(docs, rows, percent, index).select("class", "root")
@@ -275,7 +277,11 @@ def kept_documents(docs: DataFrame, percent: int = 75, index: Index = Index()) -
     key = F.col("doc_id").cast("long")
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     stays = heads.select("doc_id").union(rows.where("n_shingles = 0").select("doc_id"))
-    counts = store.written(counts.join(stays.distinct().select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi"), "kept-ids")
+    stays = stays.distinct().select(F.col("doc_id").alias("kept_id"), F.lit(True).alias("stays"))
+    counts = counts.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left").select("doc_id", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+    counts = store.written(counts, "kept-ids")
+    alone, docs = sieve.parted(docs, [key], counts.where((F.col("n") > 1) | ~F.col("stays")).select("doc_id"))
+    counts = counts.where("stays")
     # Where a doc_id stands for one row, it decides; elsewhere the row's own set does.
     single = docs.join(counts.where("n = 1").select(F.col("doc_id").alias(id_)), key.eqNullSafe(F.col(id_)), "left_semi")
     repeated = docs.join(counts.where("n > 1").select(F.col("doc_id").alias(id_)), key.eqNullSafe(F.col(id_)), "left_semi")
@@ -283,7 +289,7 @@ def kept_documents(docs: DataFrame, percent: int = 75, index: Index = Index()) -
     chosen = heads.select(F.col("doc_id").alias(id_), F.col("class").alias(head_set))
     chosen = repeated.join(chosen, key.eqNullSafe(F.col(id_)) & (F.col(set_) == F.col(head_set)), "left_semi").dropDuplicates(["doc_id", set_])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return single.union(repeated.where(F.col(set_).isNull()).select(columns)).union(chosen.select(columns))
+    return alone.union(single).union(repeated.where(F.col(set_).isNull()).select(columns)).union(chosen.select(columns))
 
 
 @F.arrow_udf(T.BinaryType())

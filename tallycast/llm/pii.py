@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.names import unused
 
-from . import store
+from . import sieve, store
 
 #: Fixed patterns of the base kinds, in their order. Possessive and anchored to the start of a run, so a match is the same
 #: but a long run without one is read once.
@@ -244,9 +244,14 @@ def report(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
 
 
 def masked(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
-    """``docs`` with each span in ``text`` replaced by its kind in angle brackets; overlapping spans by the first one's."""
+    """``docs`` with each span in ``text`` replaced by its kind in angle brackets; overlapping spans by the first one's.
+
+    Texts that surely hold no span don't move (see :mod:`sieve`).
+    """
     id_, hash_, all_ = unused(docs.columns, "id", "hash", "all")
     found = spans(docs, bootstrap).where(F.size("all") > 0).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("all").alias(all_)).dropDuplicates([id_, hash_])
+    found = store.written(found, "pii-spans")
+    clean, docs = sieve.parted(docs, [docs["doc_id"], F.xxhash64(docs["text"])], found.select(id_, hash_))
     same = docs["doc_id"].eqNullSafe(found[id_]) & (F.xxhash64(docs["text"]) == found[hash_])
     name = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     by_place = F.array_sort(F.transform(all_, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
@@ -260,4 +265,4 @@ def masked(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
 
     whole = F.aggregate(by_place, state, step, lambda have: F.concat(F.array_join(have["out"], ""), F.substring("text", have["at"] + 1, F.length("text"))))
     columns = [F.when(F.col(all_).isNull(), F.col("text")).otherwise(whole).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return docs.join(found, same, "left").select(columns)
+    return clean.union(docs.join(found, same, "left").select(columns))
