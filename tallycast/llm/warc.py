@@ -322,14 +322,12 @@ def register(spark: SparkSession) -> None:
 
 
 def base32(hexadecimal: Column) -> Column:
-    """A hex SHA-1 in base 32: eight groups of 20 bits, four signs each."""
-    signs = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    """A hex SHA-1 in base 32: four groups of 40 bits, eight signs each.
 
-    def group(i: Column) -> Column:
-        bits = F.conv(F.substring(hexadecimal, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(signs, F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), group), "")
+    The groups each name the hash, so it should be a column of a select before, not an expression that would be worked out for each.
+    """
+    digits = F.concat(*[F.lpad(F.conv(F.substring(hexadecimal, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)])
+    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -364,7 +362,9 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     records(pages, least_bytes).write.format("warc").mode("append").save(path)
     number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
     back = spark.read.format("warc").load(path)
-    responses = back.where("record_type = 'response'").select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    # A payload is hashed in a select of its own: once, however often its digest's expression names the hash.
+    measured = back.where("record_type = 'response'").select("record_id", "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"))
+    responses = measured.select(number("record_id").alias("page_id"), "payload_bytes", base32(F.col("sha1")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     heads = spark.read.format("warc").option("payloads", "false").load(path).where("record_type = 'revisit'")
     revisits = heads.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
     return responses.union(revisits)

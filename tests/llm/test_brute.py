@@ -1,5 +1,6 @@
 """Operators that SQL can't express against plain Python, exact round trips, or held-out accuracy, over whole tables."""
 
+import base64
 import hashlib
 import io
 import math
@@ -268,3 +269,13 @@ def test_filters_reach_the_archives(spark, tmp_path):
     assert [r["refers_to"] for r in read.collect()] == ["urn:page:2"]
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "= revisit" not in plan  # nothing is left to be tested above the source
+
+
+def test_payloads_are_hashed_once(spark):
+    """The digest's expression names the hash several times; a payload must not be hashed for each."""
+    digests = ["0" * 40, "0" * 39 + "1", "f" * 40, "0000000000ffffffffff00000000010123456789"]
+    made = spark.createDataFrame([(d,) for d in digests], "sha1 string").select(warc.base32(F.col("sha1")).alias("b")).collect()
+    assert [r["b"] for r in made] == [base64.b32encode(bytes.fromhex(d)).decode() for d in digests]
+    back = warc.round_trip(spark.createDataFrame([(1, "u", "x" * 9), (2, "u", None)], "page_id long, url string, html string"))
+    assert {r["page_id"]: r["payload_digest"] for r in back.collect()} == {1: warc.base32_sha1(b"x" * 9), 2: warc.base32_sha1(b"")}
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
