@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tallycast.functions.names import unused
 
-from . import graph, sieve, store
+from . import graph, sieve, store, workers
 
 SHINGLE = 5
 
@@ -156,7 +156,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signed(docs: DataFrame, index: Index) -> DataFrame:
     """(row, doc_id, n_shingles, class, signature, sketch) for each document, written: a row keeps its number from here on."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    made = rows.mapInArrow(_read_sets(index), "doc_id long, n_shingles long, class binary, signature binary, sketch array<long>")
+    made = rows.mapInArrow(workers.lean(_read_sets(index)), "doc_id long, n_shingles long, class binary, signature binary, sketch array<long>")
     return store.written(made.withColumn("row", F.monotonically_increasing_id()), "signed")
 
 
@@ -170,7 +170,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
     _, rows = sieve.parted(rows, [F.col("doc_id")], ids)
     texts = rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
     # Other rows can have the same doc_id or the same set; one of each set is enough.
-    sets = texts.mapInArrow(_sets, "class binary, shingles array<long>").join(wanted, "class").dropDuplicates(["node"]).select("node", "shingles")
+    sets = texts.mapInArrow(workers.lean(_sets), "class binary, shingles array<long>").join(wanted, "class").dropDuplicates(["node"]).select("node", "shingles")
     sets = store.written(sets, "sets")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
@@ -215,7 +215,7 @@ def components_of(docs: DataFrame, rows: DataFrame, percent: int, index: Index)
 
 def _links(docs: DataFrame, nodes: DataFrame, percent: int, index: Index) -> tuple[DataFrame, DataFrame]:
     """(a, b) links that join all components, and (node, root) of the linked nodes."""
-    keyed = nodes.select("node", "signature").mapInArrow(_keyed(index), "key long, node long")
+    keyed = nodes.select("node", "signature").mapInArrow(workers.lean(_keyed(index)), "key long, node long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     sketches = [F.col("sketch")[i].alias(f"s{i}") for i in range(index.bits // 64)]
     members = keyed.join(shared, "key").join(nodes.select("node", F.col("size").alias("n"), *sketches), "node")
@@ -294,4 +294,5 @@ def kept_documents(docs: DataFrame, percent: int = 75, index: Index = Index()) -
 
 @F.arrow_udf(T.BinaryType())
 def class_of(texts: pa.Array) -> pa.Array:
+    workers.forget()
     return pa.array([hashlib.md5(x.tobytes()).digest() if len(x) else None for x in (shingle_set(text.as_py()) for text in texts)], pa.binary())

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import store, workers
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class Tokens:
     path: str
     length: int = 2048
     end: int = 0
-    #: A worker remembers the ids of up to twice so many white-space separated strings, from task to task.
+    #: A worker remembers the ids of up to twice so many white-space separated strings, from task to task, until other work comes to it.
     remembered: int = 300_000
 
 
@@ -94,14 +94,9 @@ class Words:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
-_WORDS: dict[Tokens, Words] = {}
-
-
 def _pieces(tokens: Tokens):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokens not in _WORDS:
-            _WORDS[tokens] = Words(tokens)
-        known = _WORDS[tokens]
+        known = workers.kept(tokens, lambda: Words(tokens))
         end = np.array([tokens.end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -124,7 +119,7 @@ def _pieces(tokens: Tokens):
 def pieces(docs: DataFrame, tokens: Tokens) -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32), written: every document's ids with the end id, cut only where they're too many."""
     ids = docs.schema["doc_id"].dataType.simpleString()
-    cut = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_pieces(tokens), f"doc_id {ids}, piece int, start long, length long, ids_crc32 long")
+    cut = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(workers.lean(_pieces(tokens), tokens), f"doc_id {ids}, piece int, start long, length long, ids_crc32 long")
     return store.written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 

@@ -9,13 +9,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import store, workers
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words are features too: inflected forms share them.
@@ -129,6 +126,11 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
     that their rows had no part in; a model of all rows is kept for use. Without rows, or for a category with only one
     outcome, the probability is constant: the share of ones; so it is if no word tells anything.
     """
+    # Not at the top: the Python workers import this module too, and pyspark.ml with pandas takes 30 MB of each.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     labels = F.array(*[F.col(c).cast("int") for c in categories])
     rows = labelled.select("doc_id", "text", labels.alias("labels")).where(~F.exists("labels", lambda x: x.isNull()))
     rows = store.written(rows, "toxic-labelled")
@@ -138,7 +140,7 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
     if not docs:
         return Chain(list(categories), {}, [-30.0] * len(categories), [[0.0] * i for i in range(len(categories))])
 
-    counted = rows.select("text", "labels").mapInArrow(_counts(len(categories)), "feature string, n array<bigint>")
+    counted = rows.select("text", "labels").mapInArrow(workers.lean(_counts(len(categories))), "feature string, n array<bigint>")
     sums_of = [F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(len(categories) + 1)]
     counted = store.written(counted.groupBy("feature").agg(*sums_of).where(F.col("n0") >= settings.least_docs), "toxic-features")
     vocabulary: dict[str, int] = {}
@@ -151,7 +153,7 @@ def fit(labelled: DataFrame, categories: list[str], settings: Settings = Setting
 
     size = len(vocabulary)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(settings.folds)).cast("int")
-    indexed = rows.select(fold.alias("fold"), "labels", "text").mapInArrow(_indexed(vocabulary), "fold int, labels array<int>, found array<string>")
+    indexed = rows.select(fold.alias("fold"), "labels", "text").mapInArrow(workers.lean(_indexed(vocabulary)), "fold int, labels array<int>, found array<string>")
     if size:
         indexed = CountVectorizerModel.from_vocabulary(list(vocabulary), "found", "base", binary=True).transform(indexed)
     indexed = indexed.select("fold", "labels", *["base"] * bool(size), F.array().cast("array<double>").alias("chain"))
@@ -198,7 +200,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([x[i] for x in found], pa.float64()) for i in range(len(names))]], ["doc_id", *names])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {ids}, " + ", ".join(f"{n} double" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(workers.lean(score), f"doc_id {ids}, " + ", ".join(f"{n} double" for n in names))
 
 
 def without_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", cut: float = 0.5) -> DataFrame:
@@ -208,6 +210,7 @@ def without_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", cut: f
 
     @F.arrow_udf("double")
     def probability(texts: pa.Array) -> pa.Array:
+        workers.forget()
         return pa.array([model.value.probabilities(features_of(text))[place] for _, some in _slices(texts) for text in some], pa.float64())
 
     return docs.where(probability("text") < cut)
