@@ -3,7 +3,8 @@
 The filter is the innovations form of the state-space model with an approximately diffuse start. Nothing but the model itself moves the
 observation, so a filtered state is known in its first element; the filter's gains depend on the moving-average values alone and its
 innovations are linear in the autoregressive ones. For given moving-average values these therefore have a closed form, and a search
-runs over one value, or two for a seasonal model.
+runs over one value, or two for a seasonal model. A seasonal model's sums come from the errors its state begins with, without the filter's
+matrices.
 """
 
 from __future__ import annotations
@@ -46,6 +47,13 @@ def moments(block: np.ndarray, lengths: np.ndarray, skip: np.ndarray, theta: np.
     ``theta`` and ``big_theta`` have a row for each series and a column for each pair of values. Without ``exact`` all variances are one
     and the errors before the series are zero: the conditional squares.
     """
+    if exact and season > 1 and size == season + 2 < block.shape[1] and (skip >= size).all():
+        return seasonal_moments(block, lengths, skip, theta, big_theta, season)
+    return filtered_moments(block, lengths, skip, theta, big_theta, season, size, exact)
+
+
+def filtered_moments(block: np.ndarray, lengths: np.ndarray, skip: np.ndarray, theta: np.ndarray, big_theta: np.ndarray, season: int, size: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`moments` by the filter itself, month by month."""
     rows, width = block.shape
     lags = (0, 1, season, season + 1) if season else (0, 1)
     shape = theta.shape
@@ -88,6 +96,121 @@ def moments(block: np.ndarray, lengths: np.ndarray, skip: np.ndarray, theta: np.
     return out, log_f
 
 
+def seasonal_moments(block: np.ndarray, lengths: np.ndarray, skip: np.ndarray, theta: np.ndarray, big_theta: np.ndarray, season: int, cells: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`moments` of the exact model with both moving-average values, for a ``skip`` of its state's size at least.
+
+    The first s + 2 months have a diffuse part each, and after them all depends on the errors e(1) .. e(s + 1) that the state then holds.
+    Given these the later errors follow by recursion, so the sums up to a month are those of least squares for them. In e(1) .. e(s) and
+    e(s + 1) + ``big_theta`` e(1) its equations are an arrow: an error moves only the months a whole number of seasons after it, the last
+    unknown all of them, and the diffuse months join neighbours. What counts is the difference between the end and ``skip``.
+    """
+    if theta.shape[1] == 1:  # sums for a single place run in another order; a perfect fit's error, all rounding, would not be the one searched for
+        out, log_f = seasonal_moments(block, lengths, skip, np.repeat(theta, 2, axis=1), np.repeat(big_theta, 2, axis=1), season, cells)
+        return out[..., :1], log_f[:, :1]
+    (rows, k), width = theta.shape, block.shape[1]
+    out, log_f = np.zeros((4, 4, rows, k)), np.zeros((rows, k))
+    lots = max(cells // max(k * width, 1), 1)  # so many rows that what is read again stays in the processor's cache
+    for begin in range(0, rows, lots):
+        at = slice(begin, begin + lots)
+        ends, first = np.minimum(np.maximum(lengths[at], skip[at]), width), np.minimum(skip[at], width)
+        a, b = theta[at], big_theta[at]
+        errors, last, powers = _responses(block[at, : ends.max()], a, b, season)
+        if (first == first[0]).all() and (ends == ends[0]).all():
+            before, live = None, None
+        else:
+            month = np.arange(ends.max())[:, None, None]
+            before, live = (month < first[:, None]) * 1.0, ((month >= first[:, None]) & (month < ends[:, None])) * 1.0
+        left = _season_sums(errors, last, powers, season, 2, first.max(), before)
+        done = _season_sums(errors, last, powers, season, first.min(), ends.max(), live)
+        known, known_product = _season_solved(errors, a, b, season, left)
+        whole, whole_product = _season_solved(errors, a, b, season, [x + y for x, y in zip(left, done, strict=True)])
+        lagged = _lagged(errors, season, first.min(), ends.max(), live)
+        for i in range(4):
+            for j in range(i, 4):
+                out[i, j, at] = out[j, i, at] = np.einsum("trk,trk->rk", lagged[i], lagged[j]) - whole[i][j] + known[i][j]
+        log_f[at] = np.log(whole_product / known_product)
+    return out, log_f
+
+
+def _responses(block: np.ndarray, theta: np.ndarray, big_theta: np.ndarray, season: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Errors with none before the series, after s + 1 zeros; what the last unknown moves each month by; and what the others do, by seasons since."""
+    rows, width = block.shape
+    pad = season + 1
+    errors, last = np.zeros((pad + width, *theta.shape)), np.zeros((width, *theta.shape))
+    months = block.T[:, :, None]
+    for t in range(width):
+        np.subtract(months[t], theta * errors[pad + t - 1], out=errors[pad + t])
+    for t in range(pad + season, pad + width, season):
+        some = errors[t : t + season]
+        some -= big_theta * errors[t - season : t - season + len(some)]
+    fade = -theta
+    for t in range(pad + 1, width):
+        last[t] = fade if t == pad + 1 else fade * last[t - 1]
+    for t in range(pad + 1 + season, width, season):
+        some = last[t : t + season]
+        some -= big_theta * last[t - season : t - season + len(some)]
+    powers = np.ones((-(-max(width - 2, 1) // season), *theta.shape))
+    for i in range(1, len(powers)):
+        np.multiply(powers[i - 1], -big_theta, out=powers[i])
+    return errors, last, powers
+
+
+def _lagged(errors: np.ndarray, season: int, begin: int, end: int, live: np.ndarray | None) -> list[np.ndarray]:
+    """The errors of w(t), w(t-1), w(t-s), w(t-s-1) from month ``begin`` up to ``end``."""
+    parts = [errors[season + 1 - lag + begin : season + 1 - lag + end] for lag in (0, 1, season, season + 1)]
+    return parts if live is None else [part * live[begin:end] for part in parts]
+
+
+def _season_sums(errors: np.ndarray, last: np.ndarray, powers: np.ndarray, season: int, begin: int, end: int, live: np.ndarray | None) -> list[np.ndarray]:
+    """The months' share in the equations: of e(2) .. e(s + 1) with the errors, themselves and the last unknown, and of that with the errors and itself."""
+    shape = powers.shape[1:]
+    lagged = _lagged(errors, season, begin, end, live)
+    moved = last[begin:end] if live is None else last[begin:end] * live[begin:end]
+    sides, own, shared = np.zeros((4, season, *shape)), np.zeros((season, *shape)), np.zeros((season, *shape))
+    for i, power in enumerate(powers):
+        t, upto = max(begin, 2 + i * season), min(end, 2 + (i + 1) * season)
+        if t < upto:
+            to, of = slice(t - 2 - i * season, upto - 2 - i * season), slice(t - begin, upto - begin)
+            for side, part in zip(sides, lagged, strict=True):
+                side[to] += power * part[of]
+            own[to] += power**2 if live is None else power**2 * live[t:upto]
+            shared[to] += power * moved[of]
+    all_sides = np.stack([np.einsum("trk,trk->rk", moved, part) for part in lagged])
+    return [sides, own, shared, all_sides, np.einsum("trk,trk->rk", moved, moved)]
+
+
+def _season_solved(errors: np.ndarray, theta: np.ndarray, big_theta: np.ndarray, season: int, sums: list[np.ndarray]) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """What the unknown errors take off the products, and the determinant of their equations."""
+    sides, own, shared, all_sides, all_own = sums
+    start = errors[season + 1] / DIFFUSE  # the first month's error is all diffuse, and moves the diffuse months after it
+    pushed = np.zeros((season + 2, *theta.shape))
+    pushed[1] += theta * start
+    pushed[season] += big_theta * start
+    pushed[season + 1] += theta * big_theta * start
+    columns = np.empty((5, season, *theta.shape))  # four sides, and the equations' last column
+    for i, lag in enumerate((0, 1, season, season + 1)):
+        columns[i, 0] = errors[season + 2 - lag] - big_theta * sides[i, -1]
+        columns[i, 1:] = sides[i, :-1]
+    columns[0] -= pushed[1:-1] + theta * pushed[2:]
+    columns[4, 0] = -big_theta * (own[-1] + shared[-1])
+    columns[4, 1:] = shared[:-1]
+    columns[4, -1] += theta / DIFFUSE
+    pivots = np.empty((season, *theta.shape))
+    pivots[0] = 1.0 + big_theta**2 * own[-1]
+    pivots[1:] = own[:-1]
+    pivots += (1.0 + theta**2) / DIFFUSE
+    beside = theta / DIFFUSE
+    for j in range(1, season):
+        ratio = beside / pivots[j - 1]
+        pivots[j] -= ratio * beside
+        columns[:, j] -= ratio * columns[:, j - 1]
+    over = columns / pivots
+    corner = own[-1] + 2 * shared[-1] + all_own + 1 / DIFFUSE - np.einsum("trk,trk->rk", columns[4], over[4])
+    ends = [sides[i, -1] + all_sides[i] - (pushed[-1] if i == 0 else 0.0) - np.einsum("trk,trk->rk", columns[i], over[4]) for i in range(4)]
+    taken = [[np.einsum("trk,trk->rk", columns[i], over[j]) + ends[i] * ends[j] / corner if j >= i else None for j in range(4)] for i in range(4)]
+    return taken, pivots.prod(axis=0) * corner
+
+
 def nelder_mead(value, start: np.ndarray, step: float, low: float, high: float, rounds: int = 120, close: float = 1e-7) -> np.ndarray:
     """For each row the point where ``value`` is least, from ``start`` on; all rows at once, and only those that still move.
 
@@ -127,7 +250,7 @@ def nelder_mead(value, start: np.ndarray, step: float, low: float, high: float,
     return corners[np.arange(count), at]
 
 
-def fit(series: list[np.ndarray], skip: np.ndarray, order: tuple[int, int], season_order: tuple[int, int, int], exact: bool, bound: float = np.inf, block_rows: int = 32, fixed: tuple[float, float] | None = None) -> list[tuple]:
+def fit(series: list[np.ndarray], skip: np.ndarray, order: tuple[int, int], season_order: tuple[int, int, int], exact: bool, bound: float = np.inf, block_rows: int = 128, fixed: tuple[float, float] | None = None) -> list[tuple]:
     """(phi, theta, seasonal phi, seasonal theta, weighted squares, months, log of the variances) of each differenced series.
 
     The search begins at the three best points of a coarse grid and at that of the conditional squares on a finer one, so it never ends above
@@ -138,6 +261,7 @@ def fit(series: list[np.ndarray], skip: np.ndarray, order: tuple[int, int], seas
     size = state_size(p, q, sp, sq, season) if exact else (q + season * sq + 1)
     out: list[tuple] = [(None,) * 7] * len(series)
     good = [i for i, v in enumerate(series) if len(v) > max(skip[i], size if exact else 1)]
+    good.sort(key=lambda i: (len(series[i]), skip[i]))  # a block of one length needs no masks
     free = [k for k, used in enumerate((q, sq)) if used] if fixed is None else []
     for begin in range(0, len(good), block_rows):
         chosen = good[begin : begin + block_rows]

@@ -1,5 +1,7 @@
 """The exact likelihood against a textbook filter, the search against fine grids, and failures of single rows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,51 @@ def test_likelihood_is_that_of_the_state_space_model(season, values):
         assert squares[row] == pytest.approx(want, rel=1e-9) and logs[row, 0] == pytest.approx(want_logs, rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("season", [2, 4, 12])
+@pytest.mark.parametrize("first", [(0, 0, 0, 0), (0, 3, 9, 80)])
+def test_seasonal_sums_are_those_of_the_filter(season, first):
+    rng = np.random.default_rng(5)
+    size = season + 2
+    rows = [rng.normal(size=n).cumsum() * 0.3 + rng.normal(size=n) for n in (40, 70, 55, 70)]
+    block, lengths = likelihood._aligned(rows)
+    edge = likelihood.EDGE
+    pairs = np.array([(0, 0), (0.5, 0.5), (-0.7, 0.9), (0.3, 0), (0, -0.8), (edge, -edge), (-edge, -edge), (edge, edge)])
+    theta, big_theta = np.tile(pairs[:, 0], (4, 1)), np.tile(pairs[:, 1], (4, 1))
+    for some in (slice(0, 4), slice(1, 2)):
+        given = block[some], lengths[some], size + np.array(first)[some], theta[some], big_theta[some], season
+        want, want_logs = likelihood.filtered_moments(*given, size, True)
+        got, got_logs = likelihood.seasonal_moments(*given)
+        scale = np.sqrt(np.einsum("iirk,jjrk->ijrk", want, want))
+        assert (abs(got - want) <= 1e-10 * scale).all() and got_logs == pytest.approx(want_logs, rel=1e-10, abs=1e-10)
+
+
+def yearly_months(count):
+    rng = np.random.default_rng(12)
+    return [np.diff(rng.normal(size=n + 1)) + np.tile(rng.normal(size=12), 8)[:n] for n in rng.integers(55, 71, count).tolist()]
+
+
+def test_an_exact_seasonal_fit_costs_no_multiple_of_the_state():
+    rows, skip = yearly_months(32), np.full(32, 14)
+    grids = models.PLANE_SEARCH
+
+    def seconds(run):
+        begin = time.process_time()
+        run()
+        return time.process_time() - begin
+
+    plain = min(seconds(lambda: kernels.css_fit(rows, skip, (1, 1), (1, 1, 12), grids)) for _ in range(3))
+    exact = min(seconds(lambda: likelihood.fit(rows, skip, (1, 1), (1, 1, 12), True)) for _ in range(2))
+    assert exact < 40 * plain  # about 14; with a filter of 14 by 14 elements a month more than 80
+
+
+def test_a_seasonal_fit_does_not_depend_on_the_rows_beside_it():
+    rows, skip = yearly_months(12), np.array([14, 16, 20] * 4)
+    together = np.array(likelihood.fit(rows, skip, (1, 1), (1, 1, 12), True))
+    alone = [likelihood.fit([w], skip[i : i + 1], (1, 1), (1, 1, 12), True)[0] for i, w in enumerate(rows)]
+    assert together == pytest.approx(np.array(alone), rel=1e-5, abs=1e-5)
+    assert together == pytest.approx(np.array(likelihood.fit(rows, skip, (1, 1), (1, 1, 12), True, block_rows=5)), rel=1e-5, abs=1e-5)
+
+
 def simulated(count, months, seed=4):
     rng = np.random.default_rng(seed)
     out = []
